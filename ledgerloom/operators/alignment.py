@@ -179,22 +179,33 @@ def unpivot_wide(df: DataFrame, ids: list[str], columns: list[str], period: str
     return labelled.select(*ids, year.alias(period), amount, F.lit(False).alias("is_restatement"))
 
 
-def route_rows(rows: DataFrame, table_status: str = "table_status") -> DataFrame:
+def route_rows(rows: DataFrame, keys: list[str] | None = None, table_status: str = "table_status") -> DataFrame:
     """Adds ``route``: pass, review or fail, row by row.
 
-    A row with a hard failure fails; a table failed as a whole fails the rows
-    without a status of their own; review rows go to review.
+    A row with a hard failure fails; a table failed as a whole fails its rows
+    without a status of their own, and all its rows when ``keys`` names the
+    table and none of them failed by itself; review rows go to review.
     """
-    status = F.col("row_status")
+    status, table = F.col("row_status"), F.col(table_status)
     no_status = presence(status).isNull()
-    return rows.withColumn(
+    failed = (status == "FAILED_VERIFICATION") | ((table == "FAILED_VERIFICATION") & no_status)
+    routed = rows.withColumn(
         "route",
-        F.when(status == "FAILED_VERIFICATION", "fail")
-        .when((F.col(table_status) == "FAILED_VERIFICATION") & no_status, "fail")
-        .when(status == "NEEDS_REVIEW", "review")
-        .when((F.col(table_status) == "NEEDS_REVIEW") & no_status, "review")
+        F.when(failed, "fail")
+        .when((status == "NEEDS_REVIEW") | ((table == "NEEDS_REVIEW") & ~status.eqNullSafe("MAPPED")), "review")
         .otherwise("pass"),
     )
+    if keys is None:
+        return routed
+    whole = (
+        routed.where(table == "FAILED_VERIFICATION")
+        .groupBy(*keys)
+        .agg(F.count_if(F.col("route") == "fail").alias("_n"))
+        .where("_n = 0")
+    )
+    return routed.join(whole, keys, "left").withColumn(
+        "route", F.when(F.col("_n").isNotNull(), "fail").otherwise(F.col("route"))
+    ).drop("_n")
 
 
 def error_list(rows: DataFrame, keys: list[str], position: str = "row_index", error: str = "critic_error") -> DataFrame:

@@ -106,17 +106,22 @@ def row_status(band: Column, hard: Column, soft: Column, drift: Column, ratio: C
     )
 
 
-def table_status(rows: DataFrame, keys: list[str], status: str = "row_status", document_failures: DataFrame | None = None) -> DataFrame:
+def table_status(
+    rows: DataFrame, keys: list[str], status: str = "row_status",
+    document_failures: DataFrame | None = None, tables: DataFrame | None = None,
+) -> DataFrame:
     """Worst row status per table; a hard document failure fails the table.
 
-    Tables without any row (in ``document_failures`` only) need review unless
-    a failure is recorded for them.
+    With ``tables`` (all table keys) a table without rows is listed too and
+    needs review.
     """
     rank = F.when(F.col(status) == "FAILED_VERIFICATION", 2).when(F.col(status) == "NEEDS_REVIEW", 1).otherwise(0)
     worst = rows.groupBy(*keys).agg(F.max(rank).alias("_r"), F.count(F.lit(1)).alias("row_count"))
     if document_failures is not None:
         hard = document_failures.where("severity = 'hard'").select(*keys).distinct().withColumn("_d", F.lit(2))
         worst = worst.join(hard, keys, "left").withColumn("_r", F.greatest("_r", F.coalesce("_d", F.lit(0)))).drop("_d")
+    if tables is not None:
+        worst = tables.select(*keys).join(worst, keys, "left").fillna({"_r": 1, "row_count": 0})
     return worst.select(
         *keys, "row_count",
         F.when(F.col("_r") == 2, "FAILED_VERIFICATION").when(F.col("_r") == 1, "NEEDS_REVIEW").otherwise("MAPPED").alias("mapping_status"),
