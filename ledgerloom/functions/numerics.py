@@ -123,7 +123,7 @@ def grounded_in(number: Column, source: Column) -> Column:
     compact = F.regexp_replace(source, r"[, \u00a0]", "")
     token = number_token(number)
     two = F.format_string("%,.2f", number)
-    zero = F.format_string("%,.0f", number)
+    zero = F.format_string("%,.0f", F.rint(number))
     brackets = F.format_string("(%,.2f)", F.abs(number))
     found = source.contains(token) | compact.contains(token)
     for text in (two, zero):

@@ -181,7 +181,9 @@ def resolve_document(catalog: DataFrame, question: str, order: str = "document_i
     text = F.lit(question.lower())
     names = lambda c, least=1: (F.length(c) >= least) & text.contains(F.lower(c))
     named = F.coalesce(names(F.col("company_name")), F.lit(False)) | F.coalesce(names(F.col("ticker"), 3), F.lit(False)) | F.coalesce(names(F.col("filename")), F.lit(False))
-    return catalog.groupBy().agg(F.min(F.struct((~named).alias("_miss"), F.col(order), F.col("document_id"))).alias("e")).select("e.document_id")
+    return catalog.groupBy().agg(
+        F.min(F.struct((~named).alias("miss"), F.col(order).alias("ord"), F.col("document_id").alias("document_id"))).alias("e")
+    ).select("e.document_id")
 
 
 def corrections_list(corrections: DataFrame, tenant: str, table: str | None = None, unpromoted: bool = False, limit: int = 50) -> DataFrame:

@@ -28,7 +28,7 @@ def score(
         out = out - F.when(drift_ratio > 0.3, F.least(F.lit(0.25), drift_ratio * 0.5)).otherwise(0.0)
     if misses is not None and checked is not None:
         rate = misses / F.nullif(checked, F.lit(0))
-        out = out - F.coalesce(F.least(F.lit(0.3), rate * 0.4), F.lit(0.0))
+        out = out - F.when(rate > 0, F.least(F.lit(0.3), rate * 0.4)).otherwise(0.0)
     return F.when(hard > 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)))
 
 

@@ -18,7 +18,8 @@ def firsts(df: DataFrame, key: str, order: list[str], row_id: str) -> DataFrame:
     A minimum per key with partial aggregation: a key that a third of all
     rows share sends one value per task through the shuffle.
     """
-    return df.groupBy(key).agg(F.min(F.struct(*order, row_id)).alias("_m")).select(F.col(f"_m.{row_id}").alias(row_id))
+    rank = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(row_id).alias("id"))
+    return df.groupBy(key).agg(F.min(rank).alias("_m")).select(F.col("_m.id").alias(row_id))
 
 
 def flag_duplicates(df: DataFrame, key: str, order: list[str], row_id: str, seen: DataFrame | None = None) -> DataFrame:
