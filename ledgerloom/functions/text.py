@@ -39,21 +39,44 @@ def _hits(text: Column, patterns: list[str]) -> Column:
     return total
 
 
+def _plain_text(text: Column) -> Column:
+    """Lower case with every kind of blank turned into a space."""
+    return F.lower(F.regexp_replace(text, r"[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", " "))
+
+
+def _plain_pattern(pattern: str) -> str:
+    """Patterns with word borders or digits keep the Unicode meaning."""
+    return ("(?U)" + pattern) if ("\\b" in pattern or "\\d" in pattern) else pattern
+
+
+def _gated_hits(plain: Column, patterns: list[str]) -> Column:
+    """Number of patterns found; one alternation decides whether to count at all."""
+    total = F.lit(0)
+    for pattern in patterns:
+        total = total + plain.rlike(_plain_pattern(pattern)).cast("int")
+    gate = "|".join(f"(?:{p})" for p in patterns)
+    return F.when(plain.rlike(_plain_pattern(gate)), total).otherwise(0)
+
+
 # --- classification ----------------------------------------------------------
 
 
 def schema_scores(text: Column, allowed: list[str] | None = None) -> Column:
     """``array<struct<score, rank, schema>>`` of all schemas hit, best first."""
-    scored = [
-        F.struct(
-            (_hits(text, patterns) * F.lit(weight)).alias("score"),
-            F.lit(-rank).alias("rank"),
-            F.lit(schema).alias("schema"),
-        )
-        for rank, (schema, weight, patterns) in enumerate(ROUTER_RULES)
-        if allowed is None or schema in allowed
-    ]
-    return F.sort_array(F.filter(F.array(*scored), lambda s: s["score"] > 0), asc=False)
+
+    def scored(plain: Column) -> Column:
+        entries = [
+            F.struct(
+                (_gated_hits(plain, patterns) * F.lit(weight)).alias("score"),
+                F.lit(-rank).alias("rank"),
+                F.lit(schema).alias("schema"),
+            )
+            for rank, (schema, weight, patterns) in enumerate(ROUTER_RULES)
+            if allowed is None or schema in allowed
+        ]
+        return F.sort_array(F.filter(F.array(*entries), lambda s: s["score"] > 0), asc=False)
+
+    return let(_plain_text(text), scored)
 
 
 def route_schema(text: Column, allowed: list[str] | None = None, min_score: float = ROUTER_MIN_SCORE) -> Column:

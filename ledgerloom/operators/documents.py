@@ -101,13 +101,19 @@ def check_transactions(
 
 
 def first_rows(df: DataFrame, keys: list[str], position: str, fields: dict[str, str], bag: str | None = None) -> DataFrame:
-    """First row of each document: ``fields`` maps output to ``a|b`` alternatives."""
-    names = [n for t in fields.values() for n in t.split("|")]
-    scale = F.col(bag)["context_scale"] if bag else (F.col("context_scale") if "context_scale" in df.columns else F.lit(None).cast("string"))
-    rows = with_numbers(df.withColumn("_scale_text", scale), list(dict.fromkeys(names)), bag)
-    values = [F.coalesce(*[F.col(f"n_{n}") for n in t.split("|")]).alias(out) for out, t in fields.items()]
-    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*values, scale_multiplier(F.col("_scale_text")).alias("scale")), position).alias("_f"))
-    return first.select(*keys, "_f.*")
+    """First row of each document: ``fields`` maps output to ``a|b`` alternatives.
+
+    Only numbers are carried, one ``min_by`` each, so the aggregate stays a
+    hash aggregate.
+    """
+    names = list(dict.fromkeys(n for t in fields.values() for n in t.split("|")))
+    text = F.col(bag)["context_scale"] if bag else (F.col("context_scale") if "context_scale" in df.columns else None)
+    scale = F.lit(1.0) if text is None else scale_multiplier(text)
+    rows = with_numbers(df, names, bag).withColumn("_scale", scale)
+    first = lambda t: F.min_by(F.coalesce(*[F.col(f"n_{n}") for n in t.split("|")]), F.col(position))
+    return rows.groupBy(*keys).agg(
+        *[first(t).alias(out) for out, t in fields.items()], F.min_by("_scale", position).alias("scale")
+    )
 
 
 def _cross(df: DataFrame, keys: list[str], entries: list[Column]) -> DataFrame:
@@ -132,16 +138,13 @@ def transaction_ends(df: DataFrame, keys: list[str], position: str, bag: str | N
     """First row's amounts and the last known balance of each statement."""
     rows = with_numbers(df, ["balance", "deposit_amount", "withdrawal_amount"], bag)
     balance = F.col("n_balance")
-    first = F.min_by(
-        F.struct(
-            balance.alias("first_balance"),
-            F.coalesce("n_deposit_amount", F.lit(0.0)).alias("first_deposit"),
-            F.coalesce("n_withdrawal_amount", F.lit(0.0)).alias("first_withdrawal"),
-        ),
-        position,
+    first = lambda c, name: F.min_by(c, F.col(position)).alias(name)
+    return rows.groupBy(*keys).agg(
+        first(balance, "first_balance"),
+        first(F.coalesce("n_deposit_amount", F.lit(0.0)), "first_deposit"),
+        first(F.coalesce("n_withdrawal_amount", F.lit(0.0)), "first_withdrawal"),
+        F.max_by(balance, F.when(balance.isNotNull(), F.col(position))).alias("last_balance"),
     )
-    last = F.max_by(balance, F.when(balance.isNotNull(), F.col(position)))
-    return rows.groupBy(*keys).agg(first.alias("_f"), last.alias("last_balance")).select(*keys, "_f.*", "last_balance")
 
 
 def bank_header_vs_transactions(headers: DataFrame, transactions: DataFrame, keys: list[str], position: str = "row_index", bag: str | None = None) -> DataFrame:

@@ -585,8 +585,12 @@ def with_verdict(df: DataFrame) -> DataFrame:
 
 
 def long_form(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per violation: keys, then the violation's fields."""
-    return df.select(*keys, F.explode("violations").alias("v")).select(*keys, "v.*")
+    """One row per violation: keys, then the violation's fields.
+
+    The outer form keeps the optimizer from computing the array once more for
+    a filter on its size.
+    """
+    return df.select(*keys, F.explode_outer("violations").alias("v")).where("v IS NOT NULL").select(*keys, "v.*")
 
 
 def soften(rule: Rule) -> Rule:

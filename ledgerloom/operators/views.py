@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import DEFAULT_ROW_LIMIT, FALLBACK_TABLE_ORDER, MAX_ROW_LIMIT, METRIC_SYNONYMS
-from ..functions.hof import merge_maps, presence
+from ..functions.hof import let, merge_maps, presence
 from ..functions.text import blob_numbers, column_name, page_number
 from ..registry import Registry, enriched, lookup_keys, view_name
 
@@ -194,12 +194,18 @@ def with_donors(df: DataFrame, columns: list[str], group: str = "tenant_id", ord
 def lifted_fields(strict: Column, unmapped: Column) -> Column:
     """Both bags as one map that also holds normalised key names."""
     keep = lambda m: F.map_filter(m, lambda _, v: presence(v).isNotNull())
-    plain = merge_maps(keep(unmapped), keep(strict))
-    entries = F.transform(
-        F.map_entries(plain), lambda e: F.struct(column_name(e["key"]).alias("key"), e["value"].alias("value"))
-    )
-    named = F.filter(entries, lambda e, i: (e["key"] != "") & ~F.exists(F.slice(entries, F.lit(1), i), lambda p: p["key"] == e["key"]))
-    return merge_maps(F.map_from_entries(named), plain)
+
+    def named(plain: Column) -> Column:
+        entries = F.transform(
+            F.map_entries(plain), lambda e: F.struct(column_name(e["key"]).alias("key"), e["value"].alias("value"))
+        )
+        fresh = let(
+            F.filter(entries, lambda e: (e["key"] != "") & ~F.map_contains_key(plain, e["key"])),
+            lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda p: p["key"] == e["key"])),
+        )
+        return F.map_concat(plain, F.map_from_entries(fresh))
+
+    return let(merge_maps(keep(unmapped), keep(strict)), named)
 
 
 def metric(fields: Column, name: str) -> Column:

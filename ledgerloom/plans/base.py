@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -30,8 +32,11 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, costly: bool = False) -> DataFrame:
         """Input text whose ``{table}`` marks stand for the tables."""
+        if costly:
+            named = {t: spread(self.table(t)) for t in TABLES if "{%s}" % t in text}
+            return self.spark.sql(text, **named)
         return self.spark.sql(text.format(**{t: f"parquet.`{self.folder}/{t}.parquet`" for t in TABLES}))
 
 
@@ -39,16 +44,17 @@ def for_oracle(text: str) -> str:
     return text.format(**{t: t for t in TABLES})
 
 
-def query(name: str, oracle: str | None = None, **inputs: str):
+def query(name: str, oracle: str | None = None, costly: bool = False, **inputs: str):
     """Register a function of a ``Source``; ``inputs`` become ``WITH`` tables of the oracle.
 
-    The function receives the inputs as DataFrames by name.
+    The function receives the inputs as DataFrames by name.  ``costly`` marks
+    per-row work that is worth spreading when a table comes in few splits.
     """
 
     def register(build: Callable[..., DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             source = Source(spark, folder)
-            return build(source, **{k: source.sql(text) for k, text in inputs.items()})
+            return build(source, **{k: source.sql(text, costly) for k, text in inputs.items()})
 
         run.__name__, run.__doc__ = name, build.__doc__
         if name in QUERIES:

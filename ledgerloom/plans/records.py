@@ -228,6 +228,7 @@ def goldens(g):
     """WITH c AS (SELECT *, TRY_CAST(total AS DOUBLE) AS a, TRY_CAST(predicted AS DOUBLE) AS b FROM g WHERE k % 7 <> 0)
 SELECT k, 'total_amount' AS "column", abs(a - b) <= greatest(0.01, 0.002 * greatest(a, b, 1)) AS match FROM c UNION ALL SELECT k, 'vendor_name', lower(trim(label)) = lower(trim(given)) FROM c""",
     g=GOLD,
+    costly=True,
 )
 def cell_matches(src, g):
     return E.match_cells(goldens(g)).select(F.col("document_id").cast("long").alias("k"), "column", "match")
@@ -238,6 +239,7 @@ def cell_matches(src, g):
     """WITH c AS (SELECT *, TRY_CAST(total AS DOUBLE) AS a, TRY_CAST(predicted AS DOUBLE) AS b FROM g), m AS (SELECT count(*) * 2 AS n, sum(CASE WHEN abs(a - b) <= greatest(0.01, 0.002 * greatest(a, b, 1)) THEN 1 ELSE 0 END + CASE WHEN lower(trim(label)) = lower(trim(given)) THEN 1 ELSE 0 END) AS ok FROM c WHERE k % 7 <> 0)
 SELECT (SELECT count(*) FROM g) AS documents, ok::BIGINT AS cells_matched, n AS cells_total, round(ok / n, 6) AS cell_accuracy, round((SELECT count(*) FILTER (k % 7 <> 0) / count(*) FROM g), 6) AS critic_pass_rate, round((SELECT count(*) FILTER (k % 10 <> 0) / count(*) FROM g), 6) AS schema_accuracy FROM m""",
     g=GOLD,
+    costly=True,
 )
 def eval_summary(src, g):
     gold = goldens(g)

@@ -48,6 +48,7 @@ _CLEAN = """CASE WHEN NOT regexp_matches({0}, '[0-9]') THEN NULL WHEN {0} LIKE '
   {_CLEAN('second')} AS net_income, CASE WHEN variant IN (0, 2) THEN label ELSE label END AS period
 FROM f WHERE target_table = 'standardized_income_statement'""",
     f=FILINGS,
+    costly=True,
 )
 def registry_view(src, f):
     view = V.registry_view(stored(f), "standardized_income_statement", REGISTRY)
@@ -108,6 +109,7 @@ def bag_rows(src, f):
 d AS (SELECT g, bool_or(ok) AS any_ok, arg_min(a, id) FILTER (NOT ok AND a IS NOT NULL) AS donor FROM v GROUP BY g)
 SELECT id, coalesce(a, donor, '') AS a, a IS NULL AND donor IS NOT NULL AS filled FROM v JOIN d USING (g) WHERE ok OR NOT any_ok""",
     f=FILINGS,
+    costly=True,
 )
 def null_fill_donors(src, f):
     rows = f.select("id", "mapping_status", F.col("document_id").alias("g"), F.when(F.col("id") % 4 == 1, F.col("amount")).alias("a"))
@@ -142,6 +144,7 @@ def derived_metrics(src, m):
     "metric_synonyms",
     """SELECT id, coalesce(CASE WHEN amount = 'n/a' THEN 'n/a' ELSE amount END, '') AS total_revenue, second AS net_income FROM f WHERE variant <> 9""",
     f=FILINGS,
+    costly=True,
 )
 def metric_synonyms(src, f):
     rows = stored(f).withColumn("m", V.lifted_fields(F.col("strict"), F.col("unmapped")))
@@ -179,6 +182,7 @@ SELECT id, CASE WHEN given IS NOT NULL THEN given WHEN t1 = 'total_revenue' THEN
   CASE WHEN t2 IS NOT NULL THEN 'x' ELSE '' END AS cogs,
   concat_ws(',', CASE WHEN t1 IS NULL OR (t1 = 'total_revenue' AND given IS NOT NULL) THEN l1 END, CASE WHEN t2 IS NULL THEN l2 END) AS left_over FROM m""",
     d=DRIFT,
+    costly=True,
 )
 def synonym_remap(src, d):
     synonyms = src.spark.createDataFrame(

@@ -1 +1 @@
-
+"""Structured Streaming: assembly, job state, triage, retries, change feeds."""
