@@ -7,7 +7,7 @@ that supports MERGE use ``DataFrame.mergeInto`` instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -23,19 +23,18 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return rows.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*")
 
 
-def merged(current: DataFrame, updates: DataFrame, keys: list[str], order: list[str], keep: list[str] | None = None, deletes: Column | None = None) -> DataFrame:
+def merged(current: DataFrame, updates: DataFrame, keys: list[str], order: list[str], keep: list[str] | None = None) -> DataFrame:
     """Current rows with updates applied.
 
     ``keep`` columns take the newest non-null value; all others are replaced
-    whole.  Keys whose newest row satisfies ``deletes`` disappear.
+    whole.
     """
     rows = current.unionByName(updates, allowMissingColumns=True)
     keep = keep or []
     at = F.struct(*order)
     rest = [c for c in rows.columns if c not in keys and c not in keep]
     held = [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in keep]
-    out = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("_r"), *held).select(*keys, *keep, "_r.*")
-    return out if deletes is None else out.where(~F.coalesce(deletes, F.lit(False)))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("_r"), *held).select(*keys, *keep, "_r.*")
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -47,25 +46,33 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 def upsert(
     updates: DataFrame, path: str, keys: list[str], order: list[str], buckets: int = 64,
-    keep: list[str] | None = None, deletes: Column | None = None,
+    keep: list[str] | None = None,
 ) -> None:
     """Merge updates into the parquet table at ``path``, bucket by bucket.
 
     Only buckets that hold an updated key are read and rewritten.  The merge
     is idempotent (ordered by ``order``), so a repeated batch changes nothing.
+    A deletion is an update whose ``deleted`` is true; it stays as a marker,
+    so an older row that comes late does not bring the key back.
     """
     spark = updates.sparkSession
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     new = updates.withColumn(BUCKET, bucket)
     current = read_or_none(spark, path)
     if current is None:
-        rows = merged(new.limit(0), new, [*keys, BUCKET], order, keep, deletes)
+        rows = merged(new.limit(0), new, [*keys, BUCKET], order, keep)
     else:
         touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
-        rows = cut_lineage(merged(current.where(F.col(BUCKET).isin(touched)), new, [*keys, BUCKET], order, keep, deletes))
+        rows = cut_lineage(merged(current.where(F.col(BUCKET).isin(touched)), new, [*keys, BUCKET], order, keep))
     rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
+def read_live(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of an upserted table without deletion markers."""
+    rows = spark.read.parquet(path).drop(BUCKET)
+    return rows.where(~F.coalesce("deleted", F.lit(False))).drop("deleted") if "deleted" in rows.columns else rows
+
+
 def upsert_rows(rows: DataFrame, path: str, order: list[str], buckets: int = 64) -> None:
     """Stored rows by (document, node, row index); every other column is replaced."""
     upsert(rows, path, ["document_id", "node_id", "row_index"], order, buckets)
@@ -108,9 +115,8 @@ def export_goldens(goldens: DataFrame, path: str) -> None:
 
 
 def upsert_vectors(points: DataFrame, path: str, order: list[str], buckets: int = 64) -> None:
-    """Vector points by id; a point whose newest row has ``deleted`` goes."""
-    deletes = F.col("deleted") if "deleted" in points.columns else None
-    upsert(points, path, ["id"], order, buckets, deletes=deletes)
+    """Vector points by id; ``deleted`` points are no longer read."""
+    upsert(points, path, ["id"], order, buckets)
 
 
 def upsert_edges(edges: DataFrame, path: str, order: list[str], buckets: int = 64) -> None:

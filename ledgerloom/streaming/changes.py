@@ -56,10 +56,10 @@ def write_chunks(changes: DataFrame, path: str, order: list[str], buckets: int =
         updates = rows
         if current is not None:
             touched = rows.select("document_id", "original_node_id", *order).distinct()
-            old = current.drop("_bucket", *order).join(touched, ["document_id", "original_node_id"])
+            old = current.where("NOT deleted").drop("_bucket", *order).join(touched, ["document_id", "original_node_id"])
             stale = old.join(rows.where("NOT deleted").select("id"), "id", "left_anti").withColumn("deleted", F.lit(True))
             updates = rows.unionByName(stale.select(*rows.columns))
-        upsert(updates, path, ["id"], order, buckets, deletes=F.col("deleted"))
+        upsert(updates, path, ["id"], order, buckets)
     finally:
         rows.unpersist()
 
