@@ -20,9 +20,9 @@ from ..fixed_values import (
     UNSCALED_FIELDS,
 )
 
+from .hof import BLANKS as _BLANKS
+
 _DECIMAL_MARK = "\ue000"  # stands for a decimal comma while commas are sorted out
-# every kind of blank, spelled out (much faster than the Unicode flag)
-_BLANKS = r"\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PLAIN = r"^\$?(?:\d{1,15}|\d{1,3}(?:,\d{3}){1,4})(?:\.\d{1,15})?$"
 _NEGATIVE = rf"(?s)^[{_BLANKS}]*(?:-|\(.*\)[{_BLANKS}]*$)|-[{_BLANKS}]*$"
 _PARENTHESES = rf"(?s)^[{_BLANKS}]*\((.*)\)[{_BLANKS}]*$"

@@ -29,7 +29,7 @@ from ..fixed_values import (
     STOP_ENTITIES,
     US_PATTERNS,
 )
-from .hof import any_pattern, let, map_last_wins, presence, strip
+from .hof import BLANKS, any_pattern, let, map_last_wins, presence, strip
 
 
 def _hits(text: Column, patterns: list[str]) -> Column:
@@ -139,7 +139,7 @@ def graph_signal(text: Column, min_length: int = 0, ingest: bool = False) -> Col
 
 def canonical_entity(name: Column) -> Column:
     """Upper case without trailing blanks, dots and commas; null for noise names."""
-    clean = F.upper(strip(F.regexp_replace(strip(name), r"(?U)[\s.,]+$", "")))
+    clean = F.upper(F.regexp_replace(name, f"^[{BLANKS}]+|[{BLANKS}.,]+$", ""))
     return F.when(~clean.isin(STOP_ENTITIES) & (F.length(clean) >= 3), clean)
 
 

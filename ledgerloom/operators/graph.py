@@ -28,9 +28,10 @@ def first_triples(blocks: DataFrame, column: str = "triples", limit: int = TRIPL
 
 def merge_edges(edges: DataFrame, order: str = "seq") -> DataFrame:
     """One edge per (tenant, subject, predicate, object); the newest provenance stays."""
-    return edges.groupBy("tenant_id", "subject", "predicate", "object").agg(
-        F.max_by(F.struct("document_id", "source_page"), order).alias("_p")
-    ).select("tenant_id", "subject", "predicate", "object", "_p.document_id", "_p.source_page")
+    newest = F.max(F.struct(F.col(order), F.col("document_id"), F.col("source_page")))
+    return edges.groupBy("tenant_id", "subject", "predicate", "object").agg(newest.alias("_p")).select(
+        "tenant_id", "subject", "predicate", "object", "_p.document_id", "_p.source_page", f"_p.{order}"
+    )
 
 
 def entities(edges: DataFrame) -> DataFrame:

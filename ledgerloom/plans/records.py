@@ -267,10 +267,7 @@ k AS (SELECT * FROM c WHERE s NOT IN ('THE COMPANY', 'COMPANY') AND length(s) >=
     t=TRIPLES,
 )
 def graph_merge(src, t):
-    edges = G.clean_triples(t)
-    return edges.groupBy("tenant_id", "subject", "predicate", "object").agg(F.max("seq").alias("seq")).join(
-        G.merge_edges(edges).select("tenant_id", "subject", "predicate", "object"), ["tenant_id", "subject", "predicate", "object"], "left_semi"
-    )
+    return G.merge_edges(G.clean_triples(t)).select("tenant_id", "subject", "predicate", "object", "seq")
 
 
 @query("graph_entities", f"WITH {_CLEAN} SELECT DISTINCT tenant_id, s AS name FROM k UNION SELECT DISTINCT tenant_id, o FROM k", t=TRIPLES)
