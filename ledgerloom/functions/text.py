@@ -140,7 +140,7 @@ def graph_signal(text: Column, min_length: int = 0, ingest: bool = False) -> Col
 def canonical_entity(name: Column) -> Column:
     """Upper case without trailing blanks, dots and commas; null for noise names."""
     clean = F.upper(F.regexp_replace(name, f"^[{BLANKS}]+|[{BLANKS}.,]+$", ""))
-    return F.when(~clean.isin(STOP_ENTITIES) & (F.length(clean) >= 3), clean)
+    return let(clean, lambda c: F.when(~c.isin(STOP_ENTITIES) & (F.length(c) >= 3), c))
 
 
 def canonical_predicate(name: Column) -> Column:

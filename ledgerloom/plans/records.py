@@ -265,6 +265,7 @@ k AS (SELECT * FROM c WHERE s NOT IN ('THE COMPANY', 'COMPANY') AND length(s) >=
     "graph_merge",
     f"WITH {_CLEAN} SELECT tenant_id, s AS subject, p AS predicate, o AS object, max(seq) AS seq FROM k GROUP BY ALL",
     t=TRIPLES,
+    costly=True,
 )
 def graph_merge(src, t):
     return G.merge_edges(G.clean_triples(t)).select("tenant_id", "subject", "predicate", "object", "seq")
