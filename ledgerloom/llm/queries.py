@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, near, packing
+from . import decontaminate, language, licenses, lines, near, packing, quality, tokens, toxicity, vectors
 from .common import crc_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@registered
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document before and after cleaning edits, only edited regions encoded again."""
+    index = tokens.token_index(table(spark, folder, "documents"))
+    done = tokens.recount_cleaned(index)
+    leaves = F.size("characters") / 2
+    return done.select(
+        "doc_id", F.col("n_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"),
+        F.length("text").cast("long").alias("n_chars_after"), "n_reencoded", "n_touched", leaves.cast("long").alias("n_leaves"),
+    )
+
+
+@registered
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by a factorisation machine."""
+    docs, held = table(spark, folder, "documents"), crc_bucket("doc_id", 4) == 2
+    machine = quality.train(docs, table(spark, folder, "labels").where(~held))
+    scored = quality.score_quality(docs, machine)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @registered
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of at least 20 code points found in at least 3 documents stay only in the largest of them."""
@@ -49,6 +70,33 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_digest(table(spark, folder, "documents"))
 
 
+@registered
+def op5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest vectors of every fiftieth vector."""
+    points = table(spark, folder, "embeddings")
+    return vectors.nearest(points, points.where("vec_id % 50 = 0"), 5)
+
+
+ORACLES["op5_nearest"] = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])
+             AND list_bool_or([x <> 0 FOR x IN embedding])),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@registered
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document after noisy-channel decoding."""
+    docs, held = table(spark, folder, "documents"), crc_bucket("doc_id", 5) == 0
+    scorer = toxicity.train(docs, table(spark, folder, "labels").where(~held))
+    scored = toxicity.score_toxicity(docs, scorer)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @registered
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents."""
@@ -63,6 +111,21 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, model).withColumn("held_out", crc_bucket("doc_id", 5) == 0)
 
 
+@registered
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    base = F.sort_array(F.array_distinct(F.col("base.label")))
+    every = F.sort_array(F.array_union(F.col("base.label"), F.col("matches.label")))
+    whole = F.least(F.lit(1.0), F.aggregate("matches", F.lit(0.0), lambda t, m: t + (m["end"] - m["start"]) / 20.0))
+    score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(whole)
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.start").alias("first_word"),
+        F.array_max("base.start").alias("last_word"), F.concat_ws(",", base).alias("base_labels"),
+        F.concat_ws(",", every).alias("labels"), score.alias("score"),
+    )
+
+
 @registered
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that contain a benchmark item, with the item and the share of its shingles."""
