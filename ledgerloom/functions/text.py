@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -268,26 +270,37 @@ def ind_as_facts(df: DataFrame, key: str, text: str) -> DataFrame:
 # --- chunks ------------------------------------------------------------------
 
 
-def _cut(text: str, size: int, overlap: int) -> list[str]:
-    """Overlapping pieces that end at the best break inside the window."""
-    if not text:
-        return [""]
-    pieces, start, total = [], 0, len(text)
-    while True:
-        limit = min(start + size, total)
-        cut = limit
-        if limit < total:
-            for mark in CHUNK_BREAKS:
-                at = text.rfind(mark, start, limit)
-                if at > start + overlap:
-                    cut = at + len(mark)
-                    break
-        piece = text[start:cut].strip()
-        if piece:
-            pieces.append(piece)
-        if limit == total:
-            return pieces or [""]
-        start += max(1, cut - start - overlap)
+class Breaks:
+    """Where a text may be cut: for each kind of mark, the sorted ends of all its places."""
+
+    def __init__(self, text: str, marks: Sequence[str] = CHUNK_BREAKS):
+        self.kinds = [
+            (len(mark), [m.start() + len(mark) for m in re.finditer(f"(?={re.escape(mark)})", text)]) for mark in marks
+        ]
+
+    def best(self, after: int, until: int) -> int:
+        """The last end of the first kind that has a mark beginning past ``after`` and ending by ``until``."""
+        for width, ends in self.kinds:
+            last = bisect_right(ends, until)
+            if last and ends[last - 1] - width > after:
+                return ends[last - 1]
+        return until
+
+
+def chunk_spans(text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> Iterator[tuple[int, int]]:
+    """(begin, end) of overlapping windows; a window ends at a break unless none lies past the overlap."""
+    breaks, begin, end = Breaks(text), 0, 0
+    while end < len(text):
+        reach = begin + size
+        end = len(text) if reach >= len(text) else breaks.best(begin + overlap, reach)
+        yield begin, end
+        begin = max(begin + 1, end - overlap)
+
+
+def chunk_list(text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> list[str]:
+    """The windows without surrounding blanks; blank ones are left out, but one chunk always remains."""
+    cut = (text[begin:end].strip() for begin, end in chunk_spans(text, size, overlap))
+    return list(filter(None, cut)) or [""]
 
 
 def chunk_texts(size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP):
@@ -296,7 +309,7 @@ def chunk_texts(size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP):
     @F.pandas_udf("array<string>")
     def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: _cut(t, size, overlap))
+            yield texts.map(lambda t: chunk_list(t or "", size, overlap))
 
     return chunks
 

@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..fixed_values import GRAPH_INGEST_EXTRA_PATTERNS, GRAPH_SIGNAL_PATTERNS, ROUTER_RULES
+from ..fixed_values import CHUNK_BREAKS, CHUNK_CHARS, CHUNK_OVERLAP, GRAPH_INGEST_EXTRA_PATTERNS, GRAPH_SIGNAL_PATTERNS, ROUTER_RULES
 from ..functions import text as X
 from ..functions.hof import presence
-from ..session import spread
 from .base import query
 
 # Business phrases chosen by the order's numbers, around its own text.
@@ -188,11 +187,27 @@ def page_tag_facts(src):
     return X.tag_facts(src.table("pages"), "page_id", "html", r"(?is)<(title|h1|h2|h3)[^>]*>(.*?)</(?:title|h1|h2|h3)>")
 
 
-@query("text_chunks")
+def _last_break(mark: str) -> str:
+    """SQL text: end of the last mark within the window ``w``, null unless it begins past the overlap."""
+    m = "'" + mark.replace("\n", "' || chr(10) || '") + "'"
+    at = f"length(w) - strpos(reverse(w), reverse({m})) - {len(mark) - 1}"
+    return f"CASE WHEN strpos(w, {m}) > 0 AND {at} > {CHUNK_OVERLAP} THEN {at} + {len(mark)} END"
+
+
+@query(
+    "text_chunks",
+    f"""WITH RECURSIVE c AS (
+  SELECT doc_id, text, 0 AS s, 0 AS e, 0 AS n FROM documents
+  UNION ALL
+  SELECT doc_id, text, s2, s2 + CASE WHEN s2 + {CHUNK_CHARS} >= length(text) THEN length(w) ELSE coalesce({", ".join(_last_break(m) for m in CHUNK_BREAKS)}, length(w)) END, n + 1
+  FROM (SELECT *, substring(text, s2 + 1, {CHUNK_CHARS}) AS w FROM (SELECT *, CASE WHEN n = 0 THEN 0 ELSE greatest(s + 1, e - {CHUNK_OVERLAP}) END AS s2 FROM c WHERE e < length(text)) a) b),
+t AS (SELECT doc_id, n, trim(substring(text, s + 1, e - s), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS chunk_text FROM c WHERE n > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunk_count FROM t WHERE chunk_text <> '')
+SELECT d.doc_id, coalesce(chunk_count, 1)::INTEGER AS chunk_count, coalesce(chunk_index, 0)::INTEGER AS chunk_index, coalesce(chunk_text, '') AS chunk_text FROM documents d LEFT JOIN k USING (doc_id)""",
+)
 def text_chunks(src):
-    """Whole documents in overlapping chunks (checked against brute force in the tests)."""
-    docs = spread(src.table("documents").select("doc_id", "text"))
-    return X.chunk_text(docs, "text")
+    """Whole documents in overlapping chunks."""
+    return X.chunk_text(src.table("documents").select("doc_id", "text"), "text")
 
 
 @query(
