@@ -8,8 +8,6 @@ reduced row, not a huge task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,7 +123,7 @@ def invoice_header_vs_lines(headers: DataFrame, lines: DataFrame, keys: list[str
     head = first_rows(headers, keys, position, {"total": "total_amount", "subtotal": "subtotal_amount|subtotal"}, bag)
     names = ["total_amount", "total_price", "amount"]
     value = F.coalesce(*[F.col(f"n_{n}") for n in names])
-    sums = with_numbers(lines, names, bag).groupBy(*keys).agg(F.sum(value).alias("line_sum"))
+    sums = with_numbers(lines, names, bag).groupBy(*keys).agg(F.sum(value.cast("decimal(30,6)")).cast("double").alias("line_sum"))
     both = head.join(sums.where("line_sum IS NOT NULL"), keys)
     target = F.coalesce("subtotal", "total")
     fails = target.isNotNull() & ~nearly_equal(F.col("line_sum"), target, F.col("scale"))
@@ -181,36 +179,6 @@ def income_vs_cash_flow(income: DataFrame, cash: DataFrame, keys: list[str], pos
     ])
 
 
-def with_related(rows: DataFrame) -> DataFrame:
-    """Rows of every schema of a document, nested ones included.
-
-    Input: document_id, target_table, row_index, data map, related
-    ``map<schema, array<map>>``.  Nested rows of a schema that the document
-    also has directly are ignored; of several nesting rows the first counts.
-    """
-    own = rows.select("document_id", "target_table", "row_index", "data")
-    nested = (
-        rows.where("row_index = 0")
-        .select("document_id", F.explode("related").alias("target_table", "_rows"))
-        .select("document_id", "target_table", F.posexplode("_rows").alias("row_index", "data"))
-    )
-    fresh = nested.join(own.select("document_id", "target_table").distinct(), ["document_id", "target_table"], "left_anti")
-    return own.unionByName(fresh.withColumn("row_index", F.col("row_index").cast(dict(own.dtypes)["row_index"])))
-
-
-def check_bundle(rows: DataFrame) -> DataFrame:
-    """All cross-table checks over (document_id, target_table, row_index, data)."""
-    of = lambda table: rows.where(F.col("target_table") == table)
-    keys, cf = ["document_id"], of("standardized_cash_flow")
-    parts = [
-        invoice_header_vs_lines(of("vendor_invoice_headers"), of("invoice_line_items"), keys, bag="data"),
-        bank_header_vs_transactions(of("bank_statement_headers"), of("bank_statement_transactions"), keys, bag="data"),
-        balance_vs_cash_flow(of("standardized_balance_sheet"), cf, keys, bag="data"),
-        income_vs_cash_flow(of("standardized_income_statement"), cf, keys, bag="data"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def line_items_total(items: Column) -> Column:
     """Σ of nested line items (``array<map>``); unparseable amounts count as zero."""
     amount = lambda m: F.coalesce(parse_number(F.coalesce(F.nullif(m["amount"], F.lit("")), m["total_amount"])), F.lit(0.0))

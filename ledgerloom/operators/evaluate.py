@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hof import strip
 from ..functions.numerics import nearly_equal, parse_number
-from .documents import check_document_rows
-from .rules import ROW_RULES
+from .critic import document_violations
 
 
 def cell_match(expected: Column, predicted: Column, allowed: Column | float = 0.01) -> Column:
@@ -25,18 +24,43 @@ def golden_rows(goldens: DataFrame) -> DataFrame:
     return goldens.select("document_id", "target_table", F.posexplode("extracted_rows").alias("row_index", "data"))
 
 
+def scored(goldens: DataFrame) -> Column:
+    """Documents that expect a failure are judged by their rules alone."""
+    return ~F.coalesce("expect_fail", F.lit(False)) & ~F.coalesce("expect_soft", F.lit(False))
+
+
+def _matches(cells: Column, rows: Column) -> Column:
+    """Gold cells with their prediction, looked up inside the record."""
+    def one(c: Column) -> Column:
+        row = F.get(rows, c["row_index"])
+        predicted = F.when(c["row_index"] >= 0, row[c["column"]])
+        allowed = F.coalesce(c["tolerance"], F.lit(0.01))
+        return F.struct(
+            c["row_index"].alias("row_index"), c["column"].alias("column"), c["value"].alias("value"), predicted.alias("predicted"),
+            cell_match(c["value"], predicted, allowed).alias("match"),
+        )
+
+    return F.transform(cells, one)
+
+
 def match_cells(goldens: DataFrame) -> DataFrame:
     """One row per gold cell with its prediction and whether it matches."""
-    rows = golden_rows(goldens).select("document_id", "row_index", F.explode("data").alias("column", "predicted"))
-    cells = goldens.where(~F.coalesce("expect_fail", F.lit(False)) & ~F.coalesce("expect_soft", F.lit(False))).select(
-        "document_id", F.inline("cells")
-    )
-    joined = cells.join(rows, ["document_id", "row_index", "column"], "left")
-    return joined.withColumn("match", cell_match(F.col("value"), F.col("predicted"), F.col("tolerance")))
+    matched = goldens.where(scored(goldens)).select("document_id", _matches(F.col("cells"), F.col("extracted_rows")).alias("m"))
+    return matched.select("document_id", F.inline("m"))
 
 
-def rule_outcome(goldens: DataFrame, violations: DataFrame) -> DataFrame:
+def count_cells(goldens: DataFrame) -> DataFrame:
+    """``cells_total, cells_matched`` of each golden, counted in its own row."""
+    matched = F.when(scored(goldens), F.filter(_matches(F.col("cells"), F.col("extracted_rows")), lambda m: m["match"]))
+    counted = F.when(scored(goldens), F.size("cells"))
+    zero = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long")
+    return goldens.withColumns({"cells_total": zero(counted), "cells_matched": zero(F.size(matched))})
+
+
+def rule_outcome(goldens: DataFrame, violations: DataFrame, keep: list[str] | None = None, identities: Column | None = None) -> DataFrame:
     """Per document: did the rules behave as the golden expects?"""
+    if identities is not None:
+        goldens = goldens.withColumn("identities", identities)
     counts = violations.groupBy("document_id").agg(
         F.count_if(F.col("severity") == "hard").alias("hard"), F.count_if(F.col("severity") == "soft").alias("soft")
     )
@@ -48,38 +72,30 @@ def rule_outcome(goldens: DataFrame, violations: DataFrame) -> DataFrame:
     )
     return joined.select(
         "document_id", "target_table", (F.col("predicted_table") == F.col("target_table")).alias("schema_ok"),
-        ok.alias("critic_ok"), "hard", "soft",
+        ok.alias("critic_ok"), "hard", "soft", *(keep or []),
     )
 
 
 def golden_violations(goldens: DataFrame) -> DataFrame:
-    """Built-in row rules over the golden rows of every schema that has rules."""
-    rows = golden_rows(goldens)
-    parts = [
-        check_document_rows(rows.where(F.col("target_table") == t), t, ["document_id"], "row_index", bag="data")
-        for t in ROW_RULES
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def relation_cells(goldens: DataFrame, outcome: DataFrame) -> DataFrame:
-    """Declared identities count as cells that match when the rules behaved."""
-    declared = goldens.where(~F.coalesce("expect_fail", F.lit(False)) & ~F.coalesce("expect_soft", F.lit(False))).select(
-        "document_id", F.inline("relations")
-    ).where("type = 'sum_equals'")
-    return declared.join(outcome.select("document_id", "critic_ok"), "document_id").select(
-        "document_id", F.col("left").alias("column"), F.col("critic_ok").alias("match")
-    )
+    """The document critic over goldens of every schema: row rules, running balances, related tables, missing critics."""
+    return document_violations(golden_rows(goldens))
 
 
-def per_document(cells: DataFrame, outcome: DataFrame) -> DataFrame:
-    counted = cells.groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("cells_total"), F.count_if("match").alias("cells_matched")
-    )
-    return outcome.join(counted, "document_id", "left").fillna(0, ["cells_total", "cells_matched"])
+def evaluated(goldens: DataFrame) -> DataFrame:
+    """One row per golden: schema, rules and cells as expected, declared identities counted as cells."""
+    outcome = rule_outcome(count_cells(goldens), golden_violations(goldens), ["cells_total", "cells_matched", "identities"], _identities(goldens))
+    added = lambda c: F.when(c, F.col("identities")).otherwise(0)
+    return outcome.withColumns({
+        "cells_total": F.col("cells_total") + F.col("identities"),
+        "cells_matched": F.col("cells_matched") + added(F.col("critic_ok")),
+    }).drop("identities")
+
+
+def _identities(goldens: DataFrame) -> Column:
+    if "relations" not in goldens.columns:
+        return F.lit(0)
+    declared = F.size(F.filter("relations", lambda r: r["type"] == "sum_equals"))
+    return F.when(scored(goldens), F.greatest(F.coalesce(declared, F.lit(0)), F.lit(0))).otherwise(0)
 
 
 def summary(documents: DataFrame) -> DataFrame:
@@ -112,6 +128,6 @@ def validate_goldens(goldens: DataFrame) -> DataFrame:
     """
     kept = goldens.where(F.size("extracted_rows") > 0)
     hard = golden_violations(kept).where("severity = 'hard'").groupBy("document_id").agg(
-        F.min_by("rule_id", F.struct("row_index", "seq")).alias("export_note")
+        F.min_by("rule_id", F.struct(F.col("row_index").isNull(), "row_index", "seq")).alias("export_note")
     )
     return kept.drop("expect_fail").join(hard, "document_id", "left").withColumn("expect_fail", F.col("export_note").isNotNull())

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment as A
 from ..operators import confidence as C
+from ..operators import critic as K
 from ..operators import documents as D
 from ..operators import rules as R
 from ..operators.segmented import running_total
@@ -125,42 +126,61 @@ def stmt_cross_checks(src, st):
     return found.select("k", "rule_id", F.round("expected", 2).alias("expected"))
 
 
+# Each order is a document with rows of all seven tables; the statements come nested or as rows of their own.
+BUNDLE = """
+SELECT l_orderkey AS k, l_linenumber AS n, c, o_custkey % 4 = 0 AS bad_invoice, o_custkey % 5 = 0 AS bad_bank,
+  o_custkey % 6 = 0 AS bad_cash, o_custkey % 7 = 0 AS bad_income, o_custkey % 2 = 0 AS nested, o_custkey % 3 = 0 AS no_subtotal
+FROM (SELECT l_orderkey, l_linenumber, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS c FROM {lineitem} GROUP BY l_orderkey, l_linenumber) x
+JOIN {orders} ON l_orderkey = o_orderkey"""
+
+
 @query(
     "document_bundle",
-    f"""WITH h AS (SELECT o_custkey AS c, min(o_orderkey) AS k FROM orders GROUP BY o_custkey),
-hd AS (SELECT c, h.k, o_totalprice AS sub FROM h JOIN orders o ON o.o_orderkey = h.k),
-ls AS (SELECT o_custkey AS c, sum(o_totalprice) AS s FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey),
-inv AS (SELECT c, 'cross.inv.header_vs_lines' AS rule_id, 'hard' AS severity FROM hd JOIN ls USING (c) WHERE NOT {eq("s", "sub")}),
-bal AS (SELECT c, 'cross.stmt.is_vs_cf_net_income' AS rule_id, 'soft' AS severity FROM hd WHERE k % 3 = 0 AND NOT {eq("sub", "sub * 1.01")})
-SELECT * FROM inv UNION ALL SELECT * FROM bal""",
+    f"""WITH s AS (SELECT k, sum(c) / 100.0 AS t, any_value(bad_invoice) AS bi, any_value(bad_bank) AS bb, any_value(bad_cash) AS bc, any_value(bad_income) AS bn, any_value(no_subtotal) AS ns,
+  arg_min(c, n) / 100.0 AS first FROM b GROUP BY k),
+v AS (SELECT k, 'cross.inv.header_vs_lines' AS rule_id, CASE WHEN ns THEN 'soft' ELSE 'hard' END AS severity, NOT {eq("t * 2", "t")} AS fails, bi AS bad FROM s
+ UNION ALL SELECT k, 'cross.bank.closing_vs_last_tx', 'hard', NOT {eq("t * 3", "t")}, bb FROM s
+ UNION ALL SELECT k, 'cross.bank.opening_vs_first_tx', 'soft', NOT {eq("t", "0")}, bb FROM s
+ UNION ALL SELECT k, 'cross.stmt.cf_ending_vs_bs_cash', 'soft', NOT {eq("t * 2", "t")}, bc FROM s
+ UNION ALL SELECT k, 'cross.stmt.cf_change_vs_bs_delta', 'soft', NOT {eq("t", "t * 4 / 10")}, bc FROM s
+ UNION ALL SELECT k, 'cross.stmt.is_vs_cf_net_income', 'soft', NOT {eq("t", "t * 5")}, bn FROM s)
+SELECT k, rule_id, severity FROM v WHERE bad AND fails""",
+    b=BUNDLE,
 )
-def document_bundle(src):
-    """Rows of all schemas of a document, related rows nested in the first header."""
-    orders = src.table("orders")
-    s = lambda c: F.col(c).cast("string")
-    by = orders.groupBy(F.col("o_custkey").alias("c"))
-    heads = by.agg(F.min_by(F.struct("o_orderkey", "o_totalprice"), "o_orderkey").alias("h"))
-    pair = lambda a, b: F.create_map(F.lit(a), b)
-    total = F.col("h.o_totalprice")
-    nested = F.when(
-        F.col("h.o_orderkey") % 3 == 0,
-        F.create_map(
-            F.lit("standardized_income_statement"), F.array(pair("net_income", total.cast("string"))),
-            F.lit("standardized_cash_flow"), F.array(pair("net_income", (total * 1.01).cast("string"))),
+def document_bundle(src, b):
+    """Rows of all tables of a document, half of the statements nested in its first header."""
+    text = lambda c: F.format_string("%.2f", c / 100.0)
+    row = lambda **cells: F.map_from_entries(F.array(*[F.struct(F.lit(n), text(v)) for n, v in cells.items()]))
+    lines = running_total(b, ["k"], "n", F.col("c"), "balance")
+    flags = ["bad_invoice", "bad_bank", "bad_cash", "bad_income", "nested", "no_subtotal"]
+    totals = b.groupBy("k").agg(F.sum("c").alias("t"), *[F.first(f).alias(f) for f in flags])
+    t, zero = F.col("t"), F.lit(0)
+    statements = {
+        "standardized_balance_sheet": row(cash_and_equivalents=t, beginning_cash=zero),
+        "standardized_cash_flow": row(
+            net_change_in_cash=F.when(F.col("bad_cash"), F.floor(t * 4 / 10)).otherwise(t), cash_at_end=F.when(F.col("bad_cash"), 2 * t).otherwise(t),
+            net_income=F.when(F.col("bad_income"), 5 * t).otherwise(t),
         ),
+        "standardized_income_statement": row(net_income=t),
+    }
+    held = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":['), F.to_json(r), F.lit("]")) for n, r in statements.items()]), F.lit("}"))
+    invoice = F.when(F.col("no_subtotal"), row(total_amount=F.when(F.col("bad_invoice"), 2 * t).otherwise(t))).otherwise(
+        row(subtotal_amount=F.when(F.col("bad_invoice"), 2 * t).otherwise(t))
     )
-    rows = heads.select(
-        s("c").alias("document_id"), F.lit("vendor_invoice_headers").alias("target_table"), F.lit(0).cast("long").alias("row_index"),
-        pair("subtotal_amount", total.cast("string")).alias("data"), nested.alias("related"),
-    ).unionByName(
-        orders.where("o_orderkey % 2 = 0").select(
-            s("o_custkey").alias("document_id"), F.lit("invoice_line_items").alias("target_table"), F.col("o_orderkey").alias("row_index"),
-            pair("amount", s("o_totalprice")).alias("data"),
-        ),
-        allowMissingColumns=True,
+    invoice = F.when(F.col("nested"), F.map_concat(invoice, F.create_map(F.lit("_related"), held))).otherwise(invoice)
+    bank = row(opening_balance=F.when(F.col("bad_bank"), t).otherwise(zero), closing_balance=F.when(F.col("bad_bank"), 3 * t).otherwise(t))
+    of = lambda table, df, data, index=F.lit(0): df.select(
+        F.col("k").cast("string").alias("document_id"), F.lit(table).alias("target_table"), index.cast("long").alias("row_index"), data.alias("data")
     )
-    found = D.check_bundle(D.with_related(rows))
-    return found.select(F.col("document_id").cast("long").alias("c"), "rule_id", "severity")
+    parts = [of("vendor_invoice_headers", totals, invoice), of("bank_statement_headers", totals, bank)]
+    parts += [of(n, totals.where("NOT nested"), r) for n, r in statements.items()]
+    parts += [of("invoice_line_items", lines, row(amount=F.col("c")), F.col("n")),
+              of("bank_statement_transactions", lines, row(deposit_amount=F.col("c"), balance=F.col("balance")), F.col("n"))]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    found = K.document_violations(rows).where("row_index IS NULL")
+    return found.select(F.col("document_id").cast("long").alias("k"), "rule_id", "severity")
 
 
 @query(

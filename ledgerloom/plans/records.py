@@ -207,47 +207,88 @@ def review_issues(src, e):
 
 # --- evaluation --------------------------------------------------------------
 
-GOLD = f"""
-SELECT o_orderkey AS k, {money('CAST(round(o_totalprice * 100) AS BIGINT)')} AS total, CASE WHEN o_orderkey % 9 = 0 THEN {money('CAST(round(o_totalprice * 200) AS BIGINT)')} ELSE {money('CAST(round(o_totalprice * 100) AS BIGINT)')} END AS predicted,
-  CASE WHEN o_orderkey % 4 = 0 THEN ' ' || o_orderpriority ELSE o_orderpriority END AS label, CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE upper(o_orderpriority) END AS given FROM {{orders}}"""
+# Goldens of six tables made from orders: c cents split into a + b.  `bad` documents break a rule,
+# `flip` turns the expectation round, `off` spoils the gold cell, `lost` the predicted table.
+GOLD = """
+SELECT o_orderkey AS k, o_orderkey % 6 AS kind, c, CAST(floor(c / 2) AS BIGINT) AS a, c - CAST(floor(c / 2) AS BIGINT) AS b,
+  o_custkey % 9 = 0 AS bad, o_custkey % 7 = 0 AS flip, o_custkey % 11 = 0 AS off, o_custkey % 10 = 0 AS lost
+FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM {orders}) x"""
+
+GOLD_TABLES = [
+    "vendor_invoice_headers", "bank_statement_transactions", "standardized_balance_sheet", "standardized_cash_flow", "receipt_headers", "purchase_order_headers",
+]
 
 
 def goldens(g):
-    struct = lambda name, value: F.struct(F.lit(0).alias("row_index"), F.lit(name).alias("column"), value.alias("value"), F.lit(0.01).alias("tolerance"))
-    rows = F.create_map(F.lit("total_amount"), F.col("predicted"), F.lit("subtotal_amount"), F.col("predicted"), F.lit("vendor_name"), F.col("given"))
+    """Typed goldens; the wrong amounts of bad documents are whole multiples of the total."""
+    k, c, a, b = F.col("kind"), F.col("c"), F.col("a"), F.col("b")
+    wrong = F.when(F.col("bad"), c).otherwise(0)
+    text = lambda cents: F.format_string("%.2f", cents / 100.0)
+    row = lambda **cells: F.map_from_entries(F.array(*[F.struct(F.lit(n), v if n == "_related" else text(v)) for n, v in cells.items()]))
+    nested = lambda table, *rows: F.concat(F.lit('{"' + table + '":['), F.concat_ws(",", *[F.to_json(r) for r in rows]), F.lit("]}"))
+    none = F.lit(0)
+    rows = [
+        F.array(row(subtotal_amount=c, total_amount=c, _related=nested("invoice_line_items", row(total_amount=a), row(amount=b + wrong)))),
+        F.array(row(deposit_amount=c, balance=5 * c), row(withdrawal_amount=a, balance=5 * c - a + 3 * wrong)),
+        F.array(row(total_assets=c, total_liabilities=a, total_shareholders_equity=b + wrong)),
+        F.array(row(net_cash_from_operating_activities=c, net_cash_from_investing_activities=none, net_cash_from_financing_activities=none, net_change_in_cash=c,
+                    cash_at_end=3 * c, _related=nested("standardized_balance_sheet", row(cash_and_equivalents=3 * c + 6 * wrong, prior_cash_and_equivalents=2 * c)))),
+        F.array(row(subtotal=a + wrong, tax_amount=b, total_amount=c)),
+        F.array(row(subtotal_amount=a + wrong, tax_amount=b, total_value=c)),
+    ]
+    names = [(0, "total_amount"), (1, "balance"), (0, "total_assets"), (0, "cash_at_end"), (0, "total_amount"), (0, "total_value")]
+    by = lambda parts: F.element_at(F.array(*[F.lit(p) if isinstance(p, (str, int)) else p for p in parts]), (k + 1).cast("int"))
+    index, column = by([n[0] for n in names]), by([n[1] for n in names])
+    extracted = rows[-1]
+    for i, r in enumerate(rows[:-1]):
+        extracted = F.when(k == i, r).otherwise(extracted)
+    predicted = F.get(extracted, index)[column]
+    cell = F.struct(
+        index.cast("int").alias("row_index"), column.alias("column"),
+        F.when(F.col("off"), F.concat(F.lit("1"), predicted)).otherwise(predicted).alias("value"), F.lit(0.01).alias("tolerance"),
+    )
+    relation = F.struct(F.lit("sum_equals").alias("type"), F.lit("total_assets").alias("left"), F.lit("total_liabilities").alias("right"))
+    fails, table = F.col("bad") != F.col("flip"), by(GOLD_TABLES)
     return g.select(
-        F.col("k").cast("string").alias("document_id"), F.lit("vendor_invoice_headers").alias("target_table"),
-        F.when(F.col("k") % 10 == 0, "receipt_headers").otherwise("vendor_invoice_headers").alias("predicted_table"),
-        F.array(rows).alias("extracted_rows"), F.array(struct("total_amount", F.col("total")), struct("vendor_name", F.col("label"))).alias("cells"),
-        (F.col("k") % 7 == 0).alias("expect_fail"), F.lit(False).alias("expect_soft"),
+        F.col("k").cast("string").alias("document_id"), table.alias("target_table"),
+        F.when(F.col("lost"), "utility_bills").otherwise(table).alias("predicted_table"), extracted.alias("extracted_rows"), F.array(cell).alias("cells"),
+        F.when(k == 2, F.array(relation)).otherwise(F.array().cast("array<struct<type:string,left:string,right:string>>")).alias("relations"),
+        (fails & (k != 3)).alias("expect_fail"), (fails & (k == 3)).alias("expect_soft"),
     )
 
 
+_GOLD_ROWS = """o AS (SELECT *, CASE WHEN kind = 3 THEN NOT (flip AND NOT bad) ELSE NOT flip END AS critic_ok, bad = flip AS scored FROM g),
+d AS (SELECT *, CASE WHEN scored THEN 1 + CASE WHEN kind = 2 THEN 1 ELSE 0 END ELSE 0 END AS total,
+  CASE WHEN scored THEN CASE WHEN off THEN 0 ELSE 1 END + CASE WHEN kind = 2 AND critic_ok THEN 1 ELSE 0 END ELSE 0 END AS matched FROM o)"""
+
+
+@query("cell_matches", 'SELECT k, NOT off AS match FROM g WHERE bad = flip', g=GOLD)
+def cell_matches(src, g):
+    return E.match_cells(goldens(g)).select(F.col("document_id").cast("long").alias("k"), "match")
+
+
 @query(
-    "cell_matches",
-    """WITH c AS (SELECT *, TRY_CAST(total AS DOUBLE) AS a, TRY_CAST(predicted AS DOUBLE) AS b FROM g WHERE k % 7 <> 0)
-SELECT k, 'total_amount' AS "column", abs(a - b) <= greatest(0.01, 0.002 * greatest(a, b, 1)) AS match FROM c UNION ALL SELECT k, 'vendor_name', lower(trim(label)) = lower(trim(given)) FROM c""",
+    "golden_documents",
+    f"""WITH {_GOLD_ROWS}
+SELECT k, critic_ok, NOT lost AS schema_ok, CASE WHEN bad AND kind <> 3 THEN 1 ELSE 0 END::BIGINT AS hard, CASE WHEN bad AND kind = 3 THEN 2 ELSE 0 END::BIGINT AS soft,
+  total::BIGINT AS cells_total, matched::BIGINT AS cells_matched FROM d""",
     g=GOLD,
-    costly=True,
 )
-def cell_matches(src, g):
-    return E.match_cells(goldens(g)).select(F.col("document_id").cast("long").alias("k"), "column", "match")
+def golden_documents(src, g):
+    out = E.evaluated(goldens(g))
+    return out.select(F.col("document_id").cast("long").alias("k"), "critic_ok", "schema_ok", "hard", "soft", "cells_total", "cells_matched")
 
 
 @query(
     "eval_summary",
-    """WITH c AS (SELECT *, TRY_CAST(total AS DOUBLE) AS a, TRY_CAST(predicted AS DOUBLE) AS b FROM g), m AS (SELECT count(*) * 2 AS n, sum(CASE WHEN abs(a - b) <= greatest(0.01, 0.002 * greatest(a, b, 1)) THEN 1 ELSE 0 END + CASE WHEN lower(trim(label)) = lower(trim(given)) THEN 1 ELSE 0 END) AS ok FROM c WHERE k % 7 <> 0)
-SELECT (SELECT count(*) FROM g) AS documents, ok::BIGINT AS cells_matched, n AS cells_total, round(ok / n, 6) AS cell_accuracy, round((SELECT count(*) FILTER (k % 7 <> 0) / count(*) FROM g), 6) AS critic_pass_rate, round((SELECT count(*) FILTER (k % 10 <> 0) / count(*) FROM g), 6) AS schema_accuracy FROM m""",
+    f"""WITH {_GOLD_ROWS}
+SELECT count(*) AS documents, sum(matched)::BIGINT AS cells_matched, sum(total)::BIGINT AS cells_total, round(sum(matched) / sum(total), 6) AS cell_accuracy,
+  round(count(*) FILTER (critic_ok) / count(*), 6) AS critic_pass_rate, round(count(*) FILTER (NOT lost) / count(*), 6) AS schema_accuracy FROM d""",
     g=GOLD,
-    costly=True,
 )
 def eval_summary(src, g):
-    gold = goldens(g)
-    from ..operators.documents import check_document_rows
-
-    found = check_document_rows(E.golden_rows(gold), "vendor_invoice_headers", ["document_id"], "row_index", bag="data")
-    outcome = E.rule_outcome(gold, found)
-    return E.summary(E.per_document(E.match_cells(gold), outcome))
+    """Six tables: running balances, nested lines and statements, identities, totals."""
+    return E.summary(E.evaluated(goldens(g)))
 
 
 # --- graph -------------------------------------------------------------------

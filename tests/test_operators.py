@@ -165,6 +165,42 @@ def test_golden_validation(spark):
     assert got == {"g1": False, "g2": True}
 
 
+GOLDENS = {  # name: (table, rows, expectation, (hard, soft))
+    "tx_break": ("bank_statement_transactions", [{"deposit_amount": 10, "balance": 110}, {"withdrawal_amount": 5, "balance": 300}], "_expect_critic_fail", (1, 0)),
+    "tx_fine": ("bank_statement_transactions", [{"deposit_amount": 10, "balance": 110}, {"withdrawal_amount": 5, "balance": "105.00"}], None, (0, 0)),
+    "closing": ("bank_statement_headers", [{"opening_balance": 100, "closing_balance": 500, "total_deposits": 400, "total_withdrawals": 0, "_related": {"bank_statement_transactions": [{"deposit_amount": 10, "balance": 110}]}}], "_expect_critic_fail", (1, 0)),
+    "lines": ("vendor_invoice_headers", [{"subtotal_amount": 100, "total_amount": 100, "_related": {"invoice_line_items": [{"total_amount": 30}, {"amount": "50"}]}}], "_expect_critic_fail", (1, 0)),
+    "one_line": ("vendor_invoice_headers", [{"total_amount": 100, "subtotal_amount": 100, "_related": {"invoice_line_items": {"total_amount": 100}}}], None, (0, 0)),
+    "cash": ("standardized_cash_flow", [{"net_change_in_cash": 50, "net_cash_from_operating_activities": 50, "net_cash_from_investing_activities": 0, "net_cash_from_financing_activities": 0, "cash_at_end": 250, "_related": {"standardized_balance_sheet": [{"cash_and_equivalents": 900}]}}], "_expect_soft_fail", (0, 1)),
+    "sheet": ("standardized_balance_sheet", [{"total_assets": "1.000,00", "total_liabilities": "600", "total_shareholders_equity": "(400)"}], "_expect_critic_fail", (1, 0)),
+    "ledger": ("general_ledger", [{"amount": 1}], "_expect_critic_fail", (1, 0)),
+    "memo": ("memos", [{"amount": 1}], None, (0, 0)),
+}
+
+
+def test_document_critic_on_golden_files(spark, folder):
+    import json
+    import pathlib
+
+    from ledgerloom.operators import critic
+    from ledgerloom.sources import readers
+
+    for name, (table, rows, expects, _) in GOLDENS.items():
+        own = {"extracted_row": rows[0]} if len(rows) == 1 else {"extracted_rows": rows}
+        pathlib.Path(folder, f"{name}.json").write_text(json.dumps({"document_id": name, "target_table": table, **own, **({expects: True} if expects else {}),
+                                                                    "relations": [{"type": "sum_equals", "left": "a", "right": "b"}]}))
+    goldens = readers.goldens(spark, folder)
+    financial = (*critic.FINANCIAL_SCHEMAS, "general_ledger")
+    found = critic.document_violations(evaluate.golden_rows(goldens), financial=financial)
+    got = {n: [0, 0] for n in GOLDENS}
+    for r in found.collect():
+        got[r.document_id][0 if r.severity == "hard" else 1] += 1
+    assert {n: tuple(v) for n, v in got.items()} == {n: g[3] for n, g in GOLDENS.items()}
+    out = {r.document_id: (r.critic_ok, r.cells_total, r.cells_matched) for r in evaluate.evaluated(goldens).collect()}
+    assert all(ok == (n != "ledger") for n, (ok, *_) in out.items())
+    assert out["tx_fine"][1:] == (1, 1) and out["lines"][1:] == (0, 0)
+
+
 def test_filters_and_limits():
     with pytest.raises(ValueError):
         views.parse_filters('{"x": 1}', ["a"])
