@@ -14,6 +14,8 @@ from pyspark.sql.utils import AnalysisException
 from ..session import cut_lineage
 
 BUCKET = "_bucket"
+BATCH = "batch_id"
+_LAYOUT = "_layout"  # a name that table reads skip
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -38,25 +40,43 @@ def merged(current: DataFrame, updates: DataFrame, keys: list[str], order: list[
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``; None only if nothing is stored there.  Any other trouble is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no folder, or one without a data file
+            return None
+        raise
+
+
+def bucket_count(spark: SparkSession, path: str, wanted: int) -> int:
+    """The number of buckets stored with the table; the first call stores it."""
+    try:
+        return int(spark.read.json(f"{path}/{_LAYOUT}", schema="buckets int").first()["buckets"])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if read_or_none(spark, path) is not None:
+        raise ValueError(f"{path} holds rows but no bucket count")
+    spark.range(1).select(F.lit(wanted).alias("buckets")).coalesce(1).write.json(f"{path}/{_LAYOUT}")
+    return wanted
 
 
 def upsert(
     updates: DataFrame, path: str, keys: list[str], order: list[str], buckets: int = 64,
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, writers: int = 4,
 ) -> None:
     """Merge updates into the parquet table at ``path``, bucket by bucket.
 
-    Only buckets that hold an updated key are read and rewritten.  The merge
-    is idempotent (ordered by ``order``), so a repeated batch changes nothing.
-    A deletion is an update whose ``deleted`` is true; it stays as a marker,
-    so an older row that comes late does not bring the key back.
+    Only buckets that hold an updated key are read and rewritten, each by up
+    to ``writers`` tasks.  ``buckets`` counts for a new table; later calls use
+    the number stored with it.  The merge is idempotent (ordered by
+    ``order``), so a repeated batch changes nothing.  A deletion is an update
+    whose ``deleted`` is true; it stays as a marker, so an older row that
+    comes late does not bring the key back.
     """
     spark = updates.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(bucket_count(spark, path, buckets))).cast("int")
     new = updates.withColumn(BUCKET, bucket)
     current = read_or_none(spark, path)
     if current is None:
@@ -64,7 +84,8 @@ def upsert(
     else:
         touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
         rows = cut_lineage(merged(current.where(F.col(BUCKET).isin(touched)), new, [*keys, BUCKET], order, keep))
-    rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    dealt = rows.repartition(BUCKET, F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(writers)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
 def read_live(spark: SparkSession, path: str) -> DataFrame:
@@ -90,9 +111,15 @@ def update_by_id(current: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.withColumns(new).drop("_hit", *[f"_n_{c}" for c in fields])
 
 
-def append(rows: DataFrame, path: str, partition: list[str] | None = None) -> None:
-    writer = rows.write.mode("append")
-    (writer.partitionBy(*partition) if partition else writer).parquet(path)
+def append(rows: DataFrame, path: str, partition: list[str] | None = None, batch: int | None = None) -> None:
+    """Add rows.  With a stream's ``batch`` number they form that batch's partition, which a replay replaces."""
+    if batch is None:
+        writer = rows.write.mode("append")
+        (writer.partitionBy(*partition) if partition else writer).parquet(path)
+        return
+    numbered = rows.withColumn(BATCH, F.lit(batch).cast("long"))
+    writer = numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(BATCH, *(partition or [])).parquet(path)
 
 
 def insert_ignore(rows: DataFrame, path: str, keys: list[str]) -> None:
@@ -104,9 +131,9 @@ def insert_ignore(rows: DataFrame, path: str, keys: list[str]) -> None:
     append(fresh, path)
 
 
-def fan_out(rows: DataFrame, path: str, route: str = "route") -> None:
+def fan_out(rows: DataFrame, path: str, route: str = "route", batch: int | None = None) -> None:
     """One folder per route (pass, review, fail)."""
-    rows.write.mode("append").partitionBy(route).parquet(path)
+    append(rows, path, [route], batch)
 
 
 def export_goldens(goldens: DataFrame, path: str) -> None:

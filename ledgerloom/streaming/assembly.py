@@ -124,6 +124,6 @@ def assemble(ready: DataFrame, staged: DataFrame) -> DataFrame:
 def start_staging(nodes: DataFrame, path: str, checkpoint: str, **trigger):
     """Append every arriving node to the staging table, by tenant."""
     return (
-        nodes.writeStream.foreachBatch(lambda batch, _: append(batch, path, ["tenant_id"]))
+        nodes.writeStream.foreachBatch(lambda batch, number: append(batch, path, ["tenant_id"], number))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
     )

@@ -71,18 +71,18 @@ def start_chunk_sync(changes: DataFrame, path: str, checkpoint: str, order: list
     )
 
 
-def write_promotions(changes: DataFrame, rows_path: str, out_path: str) -> None:
+def write_promotions(changes: DataFrame, rows_path: str, out_path: str, number: int = 0) -> None:
     """Send waiting rows of changed schemas to alignment again.
 
     ``changes``: op and the after state with target_table.
     """
     rows = changes.sparkSession.read.parquet(rows_path)
     tables = changes.select("op", F.col("after.target_table").alias("target_table"))
-    append(requeue(promotable_rows(tables, rows)), out_path)
+    append(requeue(promotable_rows(tables, rows)), out_path, batch=number)
 
 
 def start_auto_promote(changes: DataFrame, rows_path: str, out_path: str, checkpoint: str, **trigger):
     return (
-        changes.writeStream.foreachBatch(lambda batch, _: write_promotions(batch, rows_path, out_path))
+        changes.writeStream.foreachBatch(lambda batch, number: write_promotions(batch, rows_path, out_path, number))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
     )

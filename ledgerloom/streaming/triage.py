@@ -10,12 +10,13 @@ from ..operators.dedup import claim_etags, cleanup_list, new_etags, status_event
 from ..sources.sinks import append, insert_ignore, read_or_none
 
 
-def write_triaged(events: DataFrame, root: str, order: list[str]) -> None:
+def write_triaged(events: DataFrame, root: str, order: list[str], number: int = 0) -> None:
     """Triage one batch against the hashes stored under ``root``.
 
     Writes routed events, status events and the cleanup list, then remembers
     the new hashes with the event that brought them.  A repeated batch finds
-    its own first events again, so it routes them as before.
+    its own first events again, so it routes them as before; with its
+    ``number`` it replaces what it wrote.
     """
     stored = read_or_none(events.sparkSession, f"{root}/hashes")
     seen = None
@@ -25,9 +26,9 @@ def write_triaged(events: DataFrame, root: str, order: list[str]) -> None:
     routed = triage(events, seen, order)
     batch = routed.persist()
     try:
-        append(batch, f"{root}/routed", ["route"])
-        append(status_events(batch), f"{root}/status")
-        append(cleanup_list(batch), f"{root}/cleanup")
+        append(batch, f"{root}/routed", ["route"], number)
+        append(status_events(batch), f"{root}/status", batch=number)
+        append(cleanup_list(batch), f"{root}/cleanup", batch=number)
         insert_ignore(
             batch.where("NOT is_duplicate").select("file_hash_sha256", "event_id"), f"{root}/hashes", ["file_hash_sha256"]
         )
@@ -37,7 +38,7 @@ def write_triaged(events: DataFrame, root: str, order: list[str]) -> None:
 
 def start_triage(events: DataFrame, root: str, checkpoint: str, order: list[str], **trigger):
     return (
-        events.writeStream.foreachBatch(lambda batch, _: write_triaged(batch, root, order))
+        events.writeStream.foreachBatch(lambda batch, number: write_triaged(batch, root, order, number))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
     )
 
@@ -47,13 +48,17 @@ def claimed_once(discovered: DataFrame, time: str = "event_time", seconds: int =
     return discovered.withWatermark(time, f"{seconds} seconds").dropDuplicatesWithinWatermark(["etag"])
 
 
-def write_discovered(events: DataFrame, root: str, order: str = "key") -> None:
-    """Keep objects whose etag is not stored yet and remember their etags."""
+def write_discovered(events: DataFrame, root: str, order: str = "key", number: int = 0) -> None:
+    """Keep objects whose etag is not stored yet and remember their etags.
+
+    The objects are written first: a batch that broke off between the two
+    writes finds them new again and, with its ``number``, replaces them.
+    """
     known = read_or_none(events.sparkSession, f"{root}/etags")
     none = events.select("etag").limit(0)
     fresh = claim_etags(new_etags(events, none, none if known is None else known), order).persist()
     try:
-        append(fresh, f"{root}/new_objects")
+        append(fresh, f"{root}/new_objects", batch=number)
         insert_ignore(fresh.select("etag"), f"{root}/etags", ["etag"])
     finally:
         fresh.unpersist()
@@ -62,7 +67,7 @@ def write_discovered(events: DataFrame, root: str, order: str = "key") -> None:
 def start_discovery(events: DataFrame, root: str, checkpoint: str, **trigger):
     """Small batches: read at most 500 messages or wait a second (set the first on the source)."""
     return (
-        events.writeStream.foreachBatch(lambda batch, _: write_discovered(batch, root))
+        events.writeStream.foreachBatch(lambda batch, number: write_discovered(batch, root, number=number))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
     )
 

@@ -126,9 +126,9 @@ def test_triage_stream_dedups_over_batches(spark, folder):
     assert got == {"e1": "NEW_DOCUMENT", "e2": "EXACT_DUPLICATE", "e3": "VERSION_UPDATE", "e4": "EXACT_DUPLICATE", "e5": "NEW_DOCUMENT"}
     assert sorted(r.s3_uri for r in spark.read.parquet(f"{folder}/cleanup").collect()) == ["s3://b/2", "s3://b/4"]
     again = spark.read.schema(schema).json(f"{folder}/in/2.json")
-    triage.write_triaged(again, folder, ["seq"])  # the same batch once more routes the same
-    kept = spark.read.parquet(f"{folder}/routed").select("event_id", "result").distinct()
-    assert kept.count() == 5
+    triage.write_triaged(again, folder, ["seq"], 1)  # the second batch once more routes the same and adds nothing
+    assert {r.event_id: r.result for r in spark.read.parquet(f"{folder}/routed").collect()} == got
+    assert spark.read.parquet(f"{folder}/routed").count() == 5
 
 
 def test_discovery_keeps_new_etags(spark, folder):
@@ -251,3 +251,40 @@ def test_upsert_keeps_named_fields_and_other_buckets(spark, folder):
     new = spark.createDataFrame([(1, None, "z")], "id int, user_id string, s string")
     assert sorted((r.id, r.user_id, r.s) for r in sinks.update_by_id(current, new).collect()) == [(1, "u", "z"), (2, "v", "y")]
     assert F is not None
+
+
+def test_replayed_batches_add_nothing(spark, folder):
+    """The same batch number writes the same rows again; other numbers add."""
+    event = lambda i, h: (i, f"e{i}", "t", f"s3://b/{i}", h, {"is_version_update": "false", "original_filename": "f"})
+    schema = "seq int, event_id string, tenant_id string, s3_uri string, file_hash_sha256 string, metadata map<string,string>"
+    batches = [spark.createDataFrame([event(1, "a"), event(2, "a")], schema), spark.createDataFrame([event(3, "a"), event(4, "b")], schema)]
+    count = lambda name: spark.read.parquet(f"{folder}/{name}").count()
+    for number, batch in enumerate(batches):
+        triage.write_triaged(batch, folder, ["seq"], number)
+    before = [count(n) for n in ("routed", "status", "cleanup", "hashes")]
+    for number, batch in enumerate(batches):
+        triage.write_triaged(batch, folder, ["seq"], number)
+    assert [count(n) for n in ("routed", "status", "cleanup", "hashes")] == before and before[0] == 4
+    found = spark.createDataFrame([("t", "b", "k", "x")], "tenant_id string, bucket string, key string, etag string")
+    for _ in range(2):
+        triage.write_discovered(found, f"{folder}/d", number=5)
+    assert spark.read.parquet(f"{folder}/d/new_objects").count() == 1
+    rows = spark.createDataFrame([(1, "pass"), (2, "fail")], "k int, route string")
+    for number in (0, 0, 1):
+        sinks.fan_out(rows, f"{folder}/routes", batch=number)
+    assert spark.read.parquet(f"{folder}/routes").count() == 4
+
+
+def test_upsert_keeps_its_layout_and_raises_what_it_cannot_read(spark, folder):
+    import pytest
+
+    rows = lambda r: spark.createDataFrame(r, "id int, v string, seq int")
+    sinks.upsert(rows([(i, "old", 1) for i in range(40)]), f"{folder}/t", ["id"], ["seq"], buckets=8)
+    sinks.upsert(rows([(3, "new", 2), (99, "new", 2)]), f"{folder}/t", ["id"], ["seq"], buckets=64)
+    got = {r.id: r.v for r in spark.read.parquet(f"{folder}/t").collect()}
+    assert len(got) == 41 and got[3] == got[99] == "new" and got[4] == "old"
+    assert sinks.read_or_none(spark, f"{folder}/nothing") is None
+    rows([(1, "a", 1)]).write.parquet(f"{folder}/c/x=1/y=1")
+    rows([(1, "a", 1)]).write.parquet(f"{folder}/c/z=1")
+    with pytest.raises(Exception):
+        sinks.read_or_none(spark, f"{folder}/c").collect()
