@@ -155,8 +155,6 @@ FALLBACK_TABLE_ORDER = [
     "vendor_invoice_headers",
 ]
 
-DEFAULT_ROW_LIMIT = 100
-MAX_ROW_LIMIT = 500
 
 # --- confidence ------------------------------------------------------------
 
@@ -421,7 +419,6 @@ STOP_ENTITIES = [
     "YEAR", "TOTAL", "AMOUNT", "FINANCIAL STATEMENTS", "STATEMENT", "CURRENCY",
     "NET REVENUE", "BALANCE SHEET", "INCOME STATEMENT", "ASSETS", "LIABILITIES",
 ]
-TRIPLES_PER_BLOCK = 5
 
 # Template -> (edge types or None for any, side whose name is searched, undirected)
 GRAPH_TEMPLATES = {
@@ -431,16 +428,13 @@ GRAPH_TEMPLATES = {
     "auditors": (["AUDITS", "STATUTORY_AUDITOR"], "object", False),
     "relationships": (None, "subject", True),
 }
-GRAPH_RESULT_LIMIT = 50
 
 RERANK_TERMS = [
     "operating income", "interest expense", "term loan", "ebit",
     "cash and cash equivalents", "short-term debt", "repayable", "repay",
 ]
 VECTOR_CANDIDATES = 50
-RERANK_CANDIDATES = 15
 VECTOR_RETURNED = 5
-SNIPPET_CHARS = 500
 DEFAULT_VECTOR_DIM = 384
 DEFAULT_VECTOR_VALUE = 1e-5
 

@@ -153,9 +153,11 @@ def column_name(label: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(label, r"[^a-zA-Z0-9_]+", "_"), r"^_+|_+$", ""))
 
 
-def file_slug(value: Column) -> Column:
+def file_slug(value: Column, longest: int | None = None) -> Column:
+    """A name for files; cut only if asked, as cut names may meet."""
     clean = F.regexp_replace(strip(F.coalesce(presence(value), F.lit("correction"))), r"[^a-zA-Z0-9_-]+", "_")
-    clean = F.substring(F.lower(F.regexp_replace(clean, r"^_+|_+$", "")), 1, 80)
+    clean = F.lower(F.regexp_replace(clean, r"^_+|_+$", ""))
+    clean = clean if longest is None else F.substring(clean, 1, longest)
     return F.coalesce(presence(clean), F.lit("correction"))
 
 
@@ -247,15 +249,16 @@ def tag_facts(df: DataFrame, key: str, text: str, tag_pattern: str, first_wins:
     return found.groupBy(key, "concept").agg(pick("value", "pos").alias("value"))
 
 
-def ixbrl_facts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Inline facts: numbers (last wins), then texts of other concepts (first wins, 500 characters)."""
+def ixbrl_facts(df: DataFrame, key: str, text: str, text_chars: int | None = None) -> DataFrame:
+    """Inline facts: numbers (last wins), then texts of other concepts (first wins, cut only if asked)."""
     rows = df.where(F.col(text).rlike(r"(?i)<ix:non"))
     found = _tagged(rows, key, text, "number", _tag_pattern("nonFraction")).unionByName(
         _tagged(rows, key, text, "text", _tag_pattern("nonNumeric"))
     )
     number = F.max_by("value", F.when(F.col("kind") == "number", F.col("pos")))
     words = F.min_by("value", F.when(F.col("kind") == "text", F.col("pos")))
-    return found.groupBy(key, "concept").agg(F.coalesce(number, F.substring(words, 1, 500)).alias("value"))
+    words = words if text_chars is None else F.substring(words, 1, text_chars)
+    return found.groupBy(key, "concept").agg(F.coalesce(number, words).alias("value"))
 
 
 IND_AS_PATTERN = (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hof import presence
+from .views import at_most
 
 ACTIVE = ("PENDING", "IN_PROGRESS", "EXTRACTING")
 TERMINAL = ("COMPLETED", "FAILED", "DUPLICATE")
@@ -53,21 +54,22 @@ def with_job_uri(entries: DataFrame, jobs: DataFrame) -> DataFrame:
     return entries.join(jobs.select("document_id", "s3_uri"), "document_id", "left")
 
 
-def newest(df: DataFrame, by: str = "created_at", limit: int = 100, tie: str | None = None) -> DataFrame:
+def newest(df: DataFrame, by: str = "created_at", limit: int | None = None, tie: str | None = None) -> DataFrame:
+    """Newest first; the first ``limit`` if asked."""
     order = [F.col(by).desc_nulls_last()] + ([F.col(tie)] if tie else [])
-    return df.orderBy(*order).limit(limit)
+    return at_most(df.orderBy(*order), limit)
 
 
-def pending_reviews(reviews: DataFrame, jobs: DataFrame, tenant: str, limit: int = 100) -> DataFrame:
+def pending_reviews(reviews: DataFrame, jobs: DataFrame, tenant: str, limit: int | None = None) -> DataFrame:
     chosen = reviews.where((F.col("tenant_id") == tenant) & (F.col("status") == "PENDING"))
     return with_job_uri(newest(chosen, limit=limit, tie="id"), jobs)
 
 
-def dead_letters(entries: DataFrame, jobs: DataFrame, tenant: str, limit: int = 100) -> DataFrame:
+def dead_letters(entries: DataFrame, jobs: DataFrame, tenant: str, limit: int | None = None) -> DataFrame:
     return with_job_uri(newest(entries.where(F.col("tenant_id") == tenant), limit=limit, tie="task_id"), jobs)
 
 
-def recent_jobs(jobs: DataFrame, tenant: str, now: Column | None = None, limit: int = 50) -> DataFrame:
+def recent_jobs(jobs: DataFrame, tenant: str, now: Column | None = None, limit: int | None = None) -> DataFrame:
     """Active jobs and those touched within 24 hours, newest first."""
     now = F.current_timestamp() if now is None else now
     chosen = jobs.where(F.col("tenant_id") == tenant).where(
@@ -143,7 +145,7 @@ def promotable_rows(changes: DataFrame, rows: DataFrame) -> DataFrame:
     return waiting.join(offers, "target_table").drop("target_table").withColumnRenamed("schema", "target_table")
 
 
-def work_list(tasks: DataFrame, agents: DataFrame, tenant: str, limit: int = 50) -> DataFrame:
+def work_list(tasks: DataFrame, agents: DataFrame, tenant: str, limit: int | None = None) -> DataFrame:
     named = tasks.where(F.col("tenant_id") == tenant).join(
         agents.select(F.col("id").alias("agent_id"), F.col("name").alias("agent_name")), "agent_id"
     )
@@ -186,14 +188,14 @@ def resolve_document(catalog: DataFrame, question: str, order: str = "document_i
     ).select("e.document_id")
 
 
-def corrections_list(corrections: DataFrame, tenant: str, table: str | None = None, unpromoted: bool = False, limit: int = 50) -> DataFrame:
+def corrections_list(corrections: DataFrame, tenant: str, table: str | None = None, unpromoted: bool = False, limit: int | None = None) -> DataFrame:
     chosen = corrections.where(F.col("tenant_id") == tenant)
     if table:
         chosen = chosen.where(F.col("target_table") == table)
     if unpromoted:
         chosen = chosen.where(~F.col("promoted"))
-    return newest(chosen, limit=max(1, min(int(limit or 50), 200)), tie="id")
+    return newest(chosen, limit=limit, tie="id")
 
 
-def unpromoted_corrections(corrections: DataFrame, limit: int = 200) -> DataFrame:
+def unpromoted_corrections(corrections: DataFrame, limit: int | None = None) -> DataFrame:
     return newest(corrections.where(~F.col("promoted")), limit=limit, tie="id")

@@ -59,36 +59,38 @@ def dictionary_events(mappings: DataFrame) -> DataFrame:
 
 
 def critic_needle(error: Column, rule_id: Column | None = None) -> Column:
-    """What to look for in earlier errors: the rule id, else the first 80 characters."""
+    """What to look for in earlier errors: the rule id, else the whole error."""
     named = presence(F.regexp_extract(error, r"(?i)\[([a-z0-9_.]+)\]", 1))
-    found = F.coalesce(named, F.substring(error, 1, 80))
+    found = F.coalesce(named, error)
     return found if rule_id is None else F.coalesce(presence(rule_id), found)
 
 
 def few_shot(
-    corrections: DataFrame, needles: DataFrame, limit: int = 3, tie: str = "id"
+    corrections: DataFrame, needles: DataFrame, limit: int = 3, tie: str = "id", considered: int | None = None
 ) -> DataFrame:
     """Best corrections per (tenant_id, target_table).
 
-    The newest ``max(4·limit, 12)`` are considered and those whose error
-    contains the needle come first.  ``needles``: tenant_id, target_table,
-    needle.  Both row-number filters are pushed below the shuffle as group
-    limits.
+    Those whose error contains the needle come first, then the newest.
+    ``considered`` restricts the choice to so many of the newest.
+    ``needles``: tenant_id, target_table, needle.  Row-number filters are
+    pushed below the shuffle as group limits.
     """
     keys = ["tenant_id", "target_table"]
     recent = Window.partitionBy(*keys).orderBy(F.col("created_at").desc(), F.col(tie))
-    newest = corrections.withColumn("_r", F.row_number().over(recent)).where(F.col("_r") <= max(limit * 4, 12))
+    newest = corrections
+    if considered is not None:
+        newest = corrections.withColumn("_r", F.row_number().over(recent)).where(F.col("_r") <= considered).drop("_r")
     joined = newest.join(needles, keys)
     hit = F.lower(F.coalesce("critic_error", F.lit(""))).contains(F.lower("needle")) & presence(F.col("needle")).isNotNull()
     scored = joined.withColumn("match_score", F.when(hit, 10).otherwise(0))
-    best = Window.partitionBy(*keys).orderBy(F.col("match_score").desc(), "_r")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("_r", "needle")
+    best = Window.partitionBy(*keys).orderBy(F.col("match_score").desc(), F.col("created_at").desc(), F.col(tie))
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("needle")
 
 
-def few_shot_text(patches: Column, error: Column, limit: int = 8) -> Column:
-    """One example as prompt text; at most ``limit`` patches."""
+def few_shot_text(patches: Column, error: Column, limit: int | None = None) -> Column:
+    """One example as prompt text; all patches, or the first ``limit``."""
     lines = F.transform(
-        F.slice(patches, 1, limit),
+        patches if limit is None else F.slice(patches, 1, limit),
         lambda p: F.concat(p["column"], F.lit(": "), F.coalesce(p["before"], F.lit("null")), F.lit(" → "), F.coalesce(p["after"], F.lit("null"))),
     )
     return F.concat_ws("\n", F.concat(F.lit("critic was "), F.coalesce(error, F.lit(""))), F.array_join(lines, "\n"))
@@ -112,7 +114,7 @@ def to_golden(corrections: DataFrame) -> DataFrame:
         F.lit("hitl_correction").alias("_source"),
         F.col("id").alias("_correction_id"),
         F.col("critic_error").alias("_critic_error"),
-        F.concat_ws("_", F.lit("hitl"), file_slug(table), file_slug(F.substring(F.col("id").cast("string"), 1, 12))).alias("file_name"),
+        F.concat_ws("_", F.lit("hitl"), file_slug(table), file_slug(F.col("id").cast("string"))).alias("file_name"),
     )
 
 
@@ -124,14 +126,14 @@ def mark_promoted(corrections: DataFrame, promoted: DataFrame) -> DataFrame:
 
 
 def review_issues(
-    tables: DataFrame, limit: int = 50
+    tables: DataFrame, limit: int | None = None
 ) -> DataFrame:
     """Issues and summary for a reviewer, per table.
 
     Input per table: key columns plus target_table, metas ``array<map>`` (one
     per row), drifted ``array<string>``, errors ``array<string>``.  One issue
     per row error and per unmapped field, then per drifted column and error
-    not covered yet; at most ``limit`` issues are shown, all are counted.
+    not covered yet; all are listed, or the first ``limit``, and all are counted.
     """
     issue = lambda row, column, current, text, question: F.struct(
         row.alias("row_index"), column.alias("column"), current.alias("current_value"),
@@ -172,12 +174,12 @@ def review_issues(
         F.when(F.size("drifted") > 0, F.concat(F.lit("Drifted columns: "), F.array_join("drifted", ", "), F.lit("."))),
         F.when(F.size("errors") > 0, F.concat(F.lit("Critic: "), F.get("errors", F.lit(0)))),
     )
-    return listed.withColumns({"summary": summary, "issues": F.slice("_all", 1, limit)}).drop("_rows", "_all")
+    return listed.withColumns({"summary": summary, "issues": F.col("_all") if limit is None else F.slice("_all", 1, limit)}).drop("_rows", "_all")
 
 
-def review_message(summary: Column, issues: Column, target_table: Column, drifted: Column, questions: int = 3) -> Column:
-    """Summary with up to three questions; without a summary a line on the drift."""
-    asked = F.filter(F.transform(F.slice(issues, 1, questions), lambda i: i["question"]), lambda q: presence(q).isNotNull())
+def review_message(summary: Column, issues: Column, target_table: Column, drifted: Column, questions: int | None = None) -> Column:
+    """Summary with its questions, or the first few; without a summary a line on the drift."""
+    asked = F.filter(F.transform(issues if questions is None else F.slice(issues, 1, questions), lambda i: i["question"]), lambda q: presence(q).isNotNull())
     with_summary = F.concat_ws(" | ", summary, presence(F.array_join(asked, " · ")))
     table = F.coalesce(target_table, F.lit("unknown"))
     no_summary = F.when(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed_values import GRAPH_RESULT_LIMIT, GRAPH_TEMPLATES, TRIPLES_PER_BLOCK
+from ..fixed_values import GRAPH_TEMPLATES
 from ..functions.text import canonical_entity, canonical_predicate
 
 
@@ -20,10 +20,10 @@ def clean_triples(triples: DataFrame) -> DataFrame:
     ).where("subject <> object")  # false for a null on either side
 
 
-def first_triples(blocks: DataFrame, column: str = "triples", limit: int = TRIPLES_PER_BLOCK) -> DataFrame:
-    """The first few triples of each text block (``array<struct>``), exploded."""
+def first_triples(blocks: DataFrame, column: str = "triples", limit: int | None = None) -> DataFrame:
+    """The triples of each text block (``array<struct>``), exploded; the first ``limit`` of each if asked."""
     rest = [c for c in blocks.columns if c != column]
-    return blocks.select(*rest, F.inline(F.slice(column, 1, limit)))
+    return blocks.select(*rest, F.inline(column if limit is None else F.slice(column, 1, limit)))
 
 
 def merge_edges(edges: DataFrame, order: str = "seq") -> DataFrame:
@@ -40,11 +40,11 @@ def entities(edges: DataFrame) -> DataFrame:
     return ends.distinct()
 
 
-def one_hop(edges: DataFrame, template: str, tenant: str, name: str, limit: int | None = GRAPH_RESULT_LIMIT) -> DataFrame:
+def one_hop(edges: DataFrame, template: str, tenant: str, name: str, limit: int | None = None) -> DataFrame:
     """(subject, predicate, object) around names containing ``name``.
 
     Templates match on the edge's type.  ``relationships`` reads edges in
-    both directions.  ``limit=None`` returns everything.
+    both directions.  ``limit`` asks for the first by name.
     """
     types, side, undirected = GRAPH_TEMPLATES[template]
     scoped = edges.where(F.col("tenant_id") == tenant).select("subject", "predicate", "object")
@@ -72,7 +72,7 @@ def correct_edges(edges: DataFrame, fixes: DataFrame) -> DataFrame:
     return joined.withColumn("predicate", F.coalesce("new_predicate", "predicate")).drop("new_predicate")
 
 
-def top_neighbours(edges: DataFrame, per_entity: int = GRAPH_RESULT_LIMIT) -> DataFrame:
+def top_neighbours(edges: DataFrame, per_entity: int) -> DataFrame:
     """At most ``per_entity`` edges per subject, by name (a top-k report)."""
     w = Window.partitionBy("tenant_id", "subject").orderBy("predicate", "object")
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_entity)

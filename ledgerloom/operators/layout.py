@@ -183,13 +183,16 @@ def carry_scale(tables: DataFrame, keys: list[str], position: str, scale: str, h
     return out
 
 
-def text_sample(nodes: DataFrame, keys: list[str], position: str = "ord", limit: int = 10_000, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """(keys, sample): text nodes in order until more than ``limit`` characters, cut there."""
+def text_sample(nodes: DataFrame, keys: list[str], position: str = "ord", limit: int | None = None, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """(keys, sample): text nodes in order, all or until more than ``limit`` characters, cut there."""
     texts = nodes.where((F.col("type") == "TEXT") & presence(F.col("content")).isNotNull())
-    before = running_total(texts, keys, position, F.length("content"), "_before", inclusive=False, width=width)
-    kept = before.where(F.col("_before") <= limit)
+    kept = texts
+    if limit is not None:
+        before = running_total(texts, keys, position, F.length("content"), "_before", inclusive=False, width=width)
+        kept = before.where(F.col("_before") <= limit)
     parts = F.transform(F.array_sort(F.collect_list(F.struct(position, "content"))), lambda s: s["content"])
-    return kept.groupBy(*keys).agg(F.substring(F.array_join(parts, "\n"), 1, limit).alias("sample"))
+    sample = F.array_join(parts, "\n")
+    return kept.groupBy(*keys).agg((sample if limit is None else F.substring(sample, 1, limit)).alias("sample"))
 
 
 # --- trees and routing -------------------------------------------------------

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import citation_link
 
-MAX_REFERENCES = 20
-
 
 def keep_first_refs(refs: DataFrame, keys: list[str], position: str, payload: list[str] | None = None) -> DataFrame:
     """One reference per (keys, document, page), the first; page defaults to 1."""
@@ -30,10 +28,11 @@ def union_refs(left: DataFrame, right: DataFrame, keys: list[str], position: str
     return kept.withColumn(position, F.col(f"_pos.{position}")).withColumn("source_rank", F.col("_pos._src")).drop("_pos")
 
 
-def numbered_citations(refs: DataFrame, keys: list[str], position: str, limit: int = MAX_REFERENCES) -> DataFrame:
-    """The first references of an answer, numbered, with their links (a top-k list)."""
+def numbered_citations(refs: DataFrame, keys: list[str], position: str, limit: int | None = None) -> DataFrame:
+    """The references of an answer, numbered, with their links; the first ``limit`` if asked."""
     w = Window.partitionBy(*keys).orderBy(position, "document_id", "source_page")
-    top = refs.withColumn("number", F.row_number().over(w)).where(F.col("number") <= limit)
+    top = refs.withColumn("number", F.row_number().over(w))
+    top = top if limit is None else top.where(F.col("number") <= limit)
     bbox = F.col("source_bbox") if "source_bbox" in refs.columns else F.array().cast("array<float>")
     link = citation_link(F.col("document_id").cast("string"), F.col("source_page"), bbox)
     return top.withColumn("link", link)

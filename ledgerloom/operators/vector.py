@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import (
     DEFAULT_VECTOR_DIM,
     DEFAULT_VECTOR_VALUE,
-    RERANK_CANDIDATES,
     RERANK_TERMS,
-    SNIPPET_CHARS,
     VECTOR_CANDIDATES,
     VECTOR_RETURNED,
 )
@@ -110,11 +108,11 @@ def keyword_score(text: Column, question: str) -> Column:
     return total
 
 
-def rerank(candidates: DataFrame, question: str, text: str = "text", k: int = VECTOR_RETURNED, pool: int = RERANK_CANDIDATES, tie: str = "id") -> DataFrame:
-    """The best of the first candidates by keywords; the vector score breaks ties."""
-    first = candidates.orderBy(F.col("score").desc(), tie).limit(pool)
+def rerank(candidates: DataFrame, question: str, text: str = "text", k: int = VECTOR_RETURNED, pool: int | None = None, tie: str = "id", snippet_chars: int | None = None) -> DataFrame:
+    """The best ``k`` by keywords, of all candidates or of the first ``pool``; the vector score breaks ties."""
+    first = candidates if pool is None else candidates.orderBy(F.col("score").desc(), tie).limit(pool)
     scored = first.withColumn("keyword_score", keyword_score(F.col(text), question))
-    return scored.withColumn("snippet", F.substring(text, 1, SNIPPET_CHARS)).orderBy(
+    return scored.withColumn("snippet", F.col(text) if snippet_chars is None else F.substring(text, 1, snippet_chars)).orderBy(
         F.col("keyword_score").desc(), F.col("score").desc(), tie
     ).limit(k)
 

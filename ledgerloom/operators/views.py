@@ -14,7 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import DEFAULT_ROW_LIMIT, FALLBACK_TABLE_ORDER, MAX_ROW_LIMIT, METRIC_SYNONYMS
+from ..fixed_values import FALLBACK_TABLE_ORDER, METRIC_SYNONYMS
 from ..functions.hof import let, merge_maps, presence
 from ..functions.text import blob_numbers, column_name, page_number
 from ..registry import Registry, enriched, lookup_keys, view_name
@@ -100,8 +100,11 @@ def filtered(df: DataFrame, filters: dict) -> DataFrame:
     return df
 
 
-def clamp_limit(limit: int | None) -> int:
-    return max(1, min(int(limit or DEFAULT_ROW_LIMIT), MAX_ROW_LIMIT))
+def at_most(df: DataFrame, limit: int | None) -> DataFrame:
+    """All rows, or exactly as many as asked for; a service clamps what its callers may ask."""
+    if limit is not None and limit < 1:
+        raise ValueError(f"a limit of {limit} rows")
+    return df if limit is None else df.limit(limit)
 
 
 def status_order(status: str = "mapping_status") -> Column:
@@ -110,7 +113,7 @@ def status_order(status: str = "mapping_status") -> Column:
 
 def by_status(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Mapped, then review, then other rows; row index with nulls last."""
-    return df.orderBy(status_order(), F.col("row_index").asc_nulls_last(), F.col("id")).limit(clamp_limit(limit))
+    return at_most(df.orderBy(status_order(), F.col("row_index").asc_nulls_last(), F.col("id")), limit)
 
 
 def exact_rows(
@@ -166,9 +169,9 @@ def bag_rows(rows: DataFrame, tenant: str, document: str | None = None, table: s
     return kept.withColumn("fields", merge_maps(merge_maps(numbers, unmapped), strict))
 
 
-def target_tables(rows: DataFrame, limit: int = 200) -> DataFrame:
+def target_tables(rows: DataFrame, limit: int | None = None) -> DataFrame:
     named = rows.where(presence(F.col("target_table")).isNotNull())
-    return named.select("target_table").distinct().orderBy("target_table").limit(limit)
+    return named.select("target_table").distinct().orderBy("target_table").transform(lambda d: at_most(d, limit))
 
 
 def with_donors(df: DataFrame, columns: list[str], group: str = "tenant_id", order: str = "id") -> DataFrame:

@@ -56,11 +56,12 @@ def sibling_context(src, n):
 @query(
     "text_sample",
     """WITH t AS (SELECT *, coalesce(sum(length(content)) OVER (PARTITION BY d ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n WHERE type = 'TEXT' AND content <> '')
-SELECT d, md5(substring(string_agg(content, chr(10) ORDER BY ord), 1, 400)) AS sample FROM t WHERE before <= 400 GROUP BY d""",
+SELECT d, md5(string_agg(content, chr(10) ORDER BY ord)) AS whole, md5(substring(string_agg(content, chr(10) ORDER BY ord) FILTER (before <= 400), 1, 400)) AS sample FROM t GROUP BY d""",
     n=TURNS,
 )
 def text_sample(src, n):
-    return L.text_sample(n, ["d"], limit=400).select("d", F.md5("sample").alias("sample"))
+    whole = L.text_sample(n, ["d"]).select("d", F.md5("sample").alias("whole"))
+    return whole.join(L.text_sample(n, ["d"], limit=400, width=8).select("d", F.md5("sample").alias("sample")), "d")
 
 
 @query(
@@ -211,7 +212,7 @@ def keep_first_refs(src, r):
 @query(
     "numbered_citations",
     """WITH f AS (SELECT answer, document_id, source_page, min(seq) AS seq FROM r GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY seq) AS number FROM f)
-SELECT answer, number, document_id || '#page=' || CAST(source_page AS VARCHAR) || CASE WHEN seq % 2 = 0 THEN '&bbox=1.5,2.5,3.5,4.5' ELSE '' END AS link FROM n WHERE number <= 20""",
+SELECT answer, number, document_id || '#page=' || CAST(source_page AS VARCHAR) || CASE WHEN seq % 2 = 0 THEN '&bbox=1.5,2.5,3.5,4.5' ELSE '' END AS link FROM n""",
     r=REFS,
 )
 def numbered_citations(src, r):

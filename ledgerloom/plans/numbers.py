@@ -43,7 +43,6 @@ s8 AS (SELECT *, CASE
     "parse_numbers",
     f"WITH {PARSE_STAGES} SELECT k, n, cell, round((CASE WHEN neg THEN -1 ELSE 1 END) * TRY_CAST(digits AS DOUBLE) * scale, 2) AS number FROM s8",
     cells=NUMBER_CELLS,
-    costly=True,
 )
 def parse_numbers(src, cells):
     return cells.withColumn("number", F.round(N.parse_number(F.col("cell")), 2))
@@ -72,7 +71,6 @@ FROM {orders}"""
     WHEN lower(note) LIKE '%lakh%' OR lower(note) LIKE '% lac%' THEN 1e5
     WHEN note LIKE '%000%' THEN 1e3 ELSE 1.0::DOUBLE END AS m FROM notes)""",
     notes=SCALE_TEXTS,
-    costly=True,
 )
 def scale(src, notes):
     note = F.col("note")
@@ -116,7 +114,6 @@ SELECT k, token, contains(body, token) OR contains(replace(replace(body, ',', ''
   OR contains(body, format('{:,.0f}', price)) OR contains(replace(replace(body, ',', ''), ' ', ''), printf('%.0f', price)) AS grounded
 FROM t""",
     prices=PRICES,
-    costly=True,
 )
 def grounding(src, prices):
     return prices.select("k", N.number_token(F.col("price")).alias("token"), N.grounded_in(F.col("price"), F.col("body")).alias("grounded"))

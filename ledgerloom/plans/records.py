@@ -163,7 +163,7 @@ def synonym_infer(src, e):
 
 @query(
     "few_shot_topk",
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, target_table ORDER BY created_at DESC, id) AS n FROM e), s AS (SELECT *, CASE WHEN contains(critic_error, 'bs.identity') THEN 10 ELSE 0 END AS match_score FROM r WHERE n <= 12)
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, target_table ORDER BY created_at DESC, id) AS n FROM e), s AS (SELECT *, CASE WHEN contains(critic_error, 'bs.identity') THEN 10 ELSE 0 END AS match_score FROM r)
 SELECT tenant_id, target_table, id, match_score, row_number() OVER (PARTITION BY tenant_id, target_table ORDER BY match_score DESC, n) AS rank FROM s QUALIFY rank <= 3""",
     e=EDITS,
 )
@@ -191,7 +191,7 @@ def promoted_flags(src, e):
 
 @query(
     "review_issues",
-    "SELECT id, CASE WHEN critic_error = 'other' THEN 1 ELSE 2 END + CASE WHEN added THEN 1 ELSE 0 END AS issues, 'Review of ' || target_table || ' with ' || CAST(CASE WHEN critic_error = 'other' THEN 1 ELSE 2 END + CASE WHEN added THEN 1 ELSE 0 END AS VARCHAR) || ' issue(s).' || CASE WHEN added THEN ' Drifted columns: Zusatz.' ELSE '' END AS summary FROM e",
+    "SELECT id, CASE WHEN critic_error = 'other' THEN '' ELSE '(row):' || critic_error || ';' END || 'Feld:' || bal || CASE WHEN added THEN ';Zusatz:' ELSE '' END AS issues, 'Review of ' || target_table || ' with ' || CAST(CASE WHEN critic_error = 'other' THEN 1 ELSE 2 END + CASE WHEN added THEN 1 ELSE 0 END AS VARCHAR) || ' issue(s).' || CASE WHEN added THEN ' Drifted columns: Zusatz.' ELSE '' END AS summary FROM e",
     e=EDITS,
 )
 def review_issues(src, e):
@@ -202,7 +202,8 @@ def review_issues(src, e):
         "metas": F.array(meta), "drifted": F.when(F.col("added"), F.array(F.lit("Zusatz"))).otherwise(F.array().cast("array<string>")),
         "errors": F.array().cast("array<string>"),
     })
-    return C.review_issues(rows).select("id", F.size("issues").alias("issues"), "summary")
+    text = lambda i: F.concat(i["column"], F.lit(":"), F.coalesce(i["current_value"], F.when(i["column"] == "(row)", i["issue"]), F.lit("")))
+    return C.review_issues(rows).select("id", F.array_join(F.transform("issues", text), ";").alias("issues"), "summary")
 
 
 # --- evaluation --------------------------------------------------------------
@@ -306,7 +307,6 @@ k AS (SELECT * FROM c WHERE s NOT IN ('THE COMPANY', 'COMPANY') AND length(s) >=
     "graph_merge",
     f"WITH {_CLEAN} SELECT tenant_id, s AS subject, p AS predicate, o AS object, max(seq) AS seq FROM k GROUP BY ALL",
     t=TRIPLES,
-    costly=True,
 )
 def graph_merge(src, t):
     return G.merge_edges(G.clean_triples(t)).select("tenant_id", "subject", "predicate", "object", "seq")
@@ -332,7 +332,7 @@ for _name, _types, _side in (
 
     query(
         f"graph_{_name}",
-        f"WITH {_CLEAN} SELECT DISTINCT s AS subject, p AS predicate, o AS object FROM k WHERE tenant_id = 't1' AND p IN ({_types}) AND contains(lower({_side}), '{'supplier#00000000' if _side == 's' else 'nation_1'}') ORDER BY 1, 2, 3 LIMIT 50",
+        f"WITH {_CLEAN} SELECT DISTINCT s AS subject, p AS predicate, o AS object FROM k WHERE tenant_id = 't1' AND p IN ({_types}) AND contains(lower({_side}), '{'supplier#00000000' if _side == 's' else 'nation_1'}')",
         t=TRIPLES,
     )(_hop)
 
@@ -368,11 +368,24 @@ def graph_neighbours(src, t):
 
 @query(
     "first_triples",
-    "SELECT o_custkey AS d, o_orderkey AS n FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) <= 5",
+    "SELECT o_custkey AS d, o_orderkey AS n FROM orders",
 )
 def first_triples(src):
-    w = src.table("orders").groupBy(F.col("o_custkey").alias("d"), "o_orderstatus").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("n")))).alias("triples"))
-    return G.first_triples(w).select("d", "n")
+    """All triples of every block."""
+    return G.first_triples(triple_blocks(src)).select("d", "n")
+
+
+@query(
+    "first_triples_of_block",
+    "SELECT o_custkey AS d, o_orderkey AS n FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) <= 5",
+)
+def first_triples_of_block(src):
+    """The first five of every block, as asked."""
+    return G.first_triples(triple_blocks(src), limit=5).select("d", "n")
+
+
+def triple_blocks(src):
+    return src.table("orders").groupBy(F.col("o_custkey").alias("d"), "o_orderstatus").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("n")))).alias("triples"))
 
 
 # --- vectors -----------------------------------------------------------------
@@ -413,7 +426,7 @@ def vector_topk_batch(src):
 
 @query(
     "keyword_rerank",
-    """WITH c AS (SELECT doc_id AS id, text, n_chars / 7 % 101 AS s FROM documents ORDER BY n_chars / 7 % 101 DESC, doc_id LIMIT 15)
+    """WITH c AS (SELECT doc_id AS id, text, n_chars / 7 % 101 AS s FROM documents )
 SELECT id, (CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'ion') AS INT) + CAST(contains(lower(text), 'ebit') AS INT) * 3)::DOUBLE AS keyword_score FROM c ORDER BY keyword_score DESC, s DESC, id LIMIT 5""",
 )
 def keyword_rerank(src):

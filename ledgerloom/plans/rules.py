@@ -73,7 +73,6 @@ _BS = f"""b AS (SELECT k, {', '.join(f"{_D(c)} AS {c}" for c in ('total_assets',
         source="m", more=_BS,
     ),
     t=BALANCE,
-    costly=True,
 )
 def balance_sheet(src, t):
     return verdict(R.check_rows(t, "standardized_balance_sheet"))
@@ -122,7 +121,6 @@ _GP2 = f"(revenue_from_operations - cost_of_goods_sold IS NULL OR NOT {eq('gross
         source="m2", more=_IS,
     ),
     t=INCOME,
-    costly=True,
 )
 def income_statement(src, t):
     return verdict(R.check_rows(t, "standardized_income_statement"))
@@ -295,7 +293,6 @@ _LINE_STOP = "(total_amount IS NOT NULL AND quantity IS NULL)"
         ("inv.line.identity", "NOT " + eq("total_amount", "quantity * unit_price - coalesce(discount_amount, 0) + coalesce(tax_amount, 0)")),
     )),
     t=LINES,
-    costly=True,
 )
 def lines(src, t):
     return verdict(R.check_rows(t, "invoice_line_items"))
@@ -422,7 +419,6 @@ FROM {{orders}}"""
         ("grounding.value_not_in_source.subtotal_amount", "k % 3 = 0"),
     )),
     t=GROUND,
-    costly=True,
 )
 def grounding_rule(src, t):
     return verdict(R.check_rows(t, "vendor_invoice_headers", source_text="body"))

@@ -26,7 +26,6 @@ FROM {orders}"""
   CASE k % 6 WHEN 4 THEN content WHEN 5 THEN '' ELSE o_orderstatus || ',' || CAST(o_custkey AS VARCHAR) || ';x,' END AS rows
 FROM c JOIN orders ON o_orderkey = k""",
     c=CELLS,
-    costly=True,
 )
 def normalize_tables(src, c):
     t = c.withColumn("t", T.normalize_table(F.col("content"))).withColumn("n", T.table_notation(F.col("content")))
@@ -40,7 +39,6 @@ def normalize_tables(src, c):
   '| Item | Amount |' || chr(10) || '|---|---|' || chr(10) || '| ' || o_orderstatus || ' | ' || CAST(o_custkey AS VARCHAR) || ' |' || chr(10) || '| x |  |' END AS markdown,
   CASE k % 6 WHEN 4 THEN -1 WHEN 5 THEN -1 ELSE 2 END AS amounts FROM c JOIN orders ON o_orderkey = k""",
     c=CELLS,
-    costly=True,
 )
 def table_markdown(src, c):
     t = c.withColumn("t", T.normalize_table(F.col("content")))
@@ -55,7 +53,6 @@ PAIRS = """SELECT event_id AS k, 'Type: ' || event_type || chr(10) || ' User = '
     "key_value_lines",
     "SELECT event_id AS k, 'last ' || event_type AS type, CAST(user_id AS VARCHAR) AS user, 'http://x=1' AS url, 3 AS keys, true AS looks FROM events",
     p=PAIRS,
-    costly=True,
 )
 def key_value_lines(src, p):
     m = p.withColumn("m", T.key_value_lines(F.col("body"))).withColumn("looks", T.looks_key_value(F.col("body")))
@@ -75,7 +72,6 @@ SELECT o_orderkey AS k, CASE o_orderkey % 9
   (3, false, 'table.not_json:hard', 0, 0.0), (4, false, 'table.empty:hard', 0, 0.0), (5, true, 'table.fallback_blob:soft', 0, 0.0), (6, false, 'table.schema:hard', 0, 0.0), (7, true, 'table.sparse:soft', 0, 0.875), (8, false, 'table.ragged_rows:hard', 2, 0.0))
 SELECT k, ok, issues, ragged, ratio::DOUBLE AS ratio FROM s JOIN r ON v = k % 9""",
     s=STRUCTURES,
-    costly=True,
 )
 def structure_critic(src, s):
     r = s.withColumn("r", T.structure_report(F.col("content")))
@@ -87,7 +83,6 @@ def structure_critic(src, s):
     "structure_preflight",
     "SELECT k, k % 9 IN (2, 3, 4, 6, 8) AS rejected, CASE k % 9 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS issues FROM s",
     s=STRUCTURES,
-    costly=True,
 )
 def structure_preflight(src, s):
     v = s.withColumn("v", A.structure_preflight(T.structure_report(F.col("content"))))
@@ -161,7 +156,6 @@ w AS (SELECT d, i, ord, page, name, sep, gap, ord AS head, page AS hp, name AS h
     "table_stitch",
     "WITH RECURSIVE " + _WALK.format(ok="hs = t.sep AND t.page IN (hp, hp + 1) AND hn = t.name") + " SELECT d, head, ord FROM w",
     n=NODES,
-    costly=True,
 )
 def table_stitch(src, n):
     tables = S.parsed_tables(n, ["d"])
@@ -172,7 +166,6 @@ def table_stitch(src, n):
     "page_table_merge",
     "WITH RECURSIVE " + _WALK.format(ok="hg = t.gap AND t.page = hp + 1") + " SELECT d, head, ord FROM w",
     n=NODES,
-    costly=True,
 )
 def page_table_merge(src, n):
     tables = S.parsed_tables(n, ["d"], skip_weak=False)
@@ -184,7 +177,6 @@ def page_table_merge(src, n):
     "WITH RECURSIVE " + _WALK.format(ok="hs = t.sep AND t.page IN (hp, hp + 1) AND hn = t.name")
     + """ SELECT w.d, head, w.ord AS part, regexp_extract(content, ':\\["(\\d+)"\\],', 1) || '|' || regexp_extract(content, 'Amount":\\["(\\d+)"', 1) AS cells FROM w JOIN n ON n.d = w.d AND n.ord = w.ord""",
     n=NODES,
-    costly=True,
 )
 def stitched_rows(src, n):
     rows = S.stitched_rows(n, ["d"])

@@ -34,7 +34,6 @@ _SCORES = ", ".join(f"struct_pack(s := ({_hits(ps)}) * {w}::DOUBLE, r := {-i}, n
 c AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, r DESC) AS p, lead(s) OVER (PARTITION BY k ORDER BY s DESC, r DESC) AS s2 FROM b)
 SELECT t.k, CASE WHEN s >= 1.5 AND (s2 IS NULL OR s >= s2 + 0.75) THEN n ELSE '' END AS schema, round(coalesce(s, 0), 4) AS score FROM t LEFT JOIN c ON c.k = t.k AND p = 1""",
     t=PHRASES,
-    costly=True,
 )
 def schema_router(src, t):
     return t.select("k", X.route_schema(F.col("body")).alias("r")).select("k", "r.schema", F.round("r.score", 4).alias("score"))
@@ -46,7 +45,6 @@ def schema_router(src, t):
   CAST(regexp_matches(body, '(?i)form\s+10-?k') AS INT) + CAST(contains(lower(body), 'us-gaap') AS INT) + CAST(regexp_matches(body, '(?i)item\s+8\.') AS INT) AS u FROM t)
 SELECT k, CASE WHEN i > u THEN 'IND' WHEN u > i THEN 'US' ELSE 'GLOBAL' END AS jurisdiction FROM h""",
     t=PHRASES,
-    costly=True,
 )
 def jurisdiction(src, t):
     return t.select("k", X.jurisdiction(F.col("body")).alias("jurisdiction"))
@@ -78,7 +76,6 @@ _SIGNALS = "|".join(GRAPH_SIGNAL_PATTERNS)
     "graph_signals",
     f"""SELECT k, regexp_matches(body, '(?i)({_SIGNALS})') AS routed, length(trim(body)) >= 40 AND regexp_matches(body, '(?i)({'|'.join(GRAPH_SIGNAL_PATTERNS + GRAPH_INGEST_EXTRA_PATTERNS)})') AS ingested FROM t""",
     t=PHRASES,
-    costly=True,
 )
 def graph_signals(src, t):
     return t.select("k", X.graph_signal(F.col("body")).alias("routed"), X.graph_signal(F.col("body"), 40, ingest=True).alias("ingested"))
@@ -90,7 +87,6 @@ def graph_signals(src, t):
   regexp_matches(lower(body), '\b(total|sum|average|avg|count|how many|aggregate|across all|overall|rollup|mean|median)\b') AS aggregation,
   coalesce(TRY_CAST(CASE WHEN TRY_CAST(regexp_extract(body, '(?i)\b(?:page|pg)\.?\s*(\d{1,3})\b', 1) AS INT) BETWEEN 1 AND 500 THEN regexp_extract(body, '(?i)\b(?:page|pg)\.?\s*(\d{1,3})\b', 1) END AS INT), 1) AS page FROM t""",
     t=PHRASES,
-    costly=True,
 )
 def text_flags(src, t):
     b = F.col("body")
@@ -124,7 +120,6 @@ SELECT k, CASE WHEN error = '' AND status IN ('FAILED', 'NEEDS_REVIEW') AND tab
   CASE k % 5 WHEN 0 THEN 'initial' WHEN 1 THEN 'repair' WHEN 2 THEN 'focused_repair' ELSE 'escalated_repair' END AS tier,
   regexp_matches(lower(error || ' ' || status), 'no critic registered|unknown_table|ocr returned empty|permanent') AS dead FROM b""",
     t=FAILURES,
-    costly=True,
 )
 def failure_class(src, t):
     e, s, tab = F.col("error"), F.col("status"), F.col("tab")
@@ -158,7 +153,6 @@ XBRL = """SELECT o_orderkey AS k, '<html><ix:nonFraction contextRef="c" name="us
     """SELECT k, 'Revenues' AS concept, CASE WHEN k % 3 = 0 THEN CAST(k AS VARCHAR) ELSE regexp_extract(body, '<b>(\\d+)</b>', 1) END AS value FROM t
 UNION ALL SELECT k, 'Name', 'N' || CAST(k % 50 AS VARCHAR) FROM t""",
     t=XBRL,
-    costly=True,
 )
 def ixbrl_facts(src, t):
     return X.ixbrl_facts(t, "k", "body")
@@ -212,7 +206,7 @@ def text_chunks(src):
 
 @query(
     "column_names",
-    r"SELECT p_partkey AS k, lower(regexp_replace(regexp_replace(' ' || p_name || ' (' || p_brand || ')!', '[^a-zA-Z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g')) AS name, substring(lower(regexp_replace(regexp_replace(trim(p_name || '/' || p_type), '[^a-zA-Z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g')), 1, 80) AS slug FROM part",
+    r"SELECT p_partkey AS k, lower(regexp_replace(regexp_replace(' ' || p_name || ' (' || p_brand || ')!', '[^a-zA-Z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g')) AS name, lower(regexp_replace(regexp_replace(trim(p_name || '/' || p_type), '[^a-zA-Z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug FROM part",
 )
 def column_names(src):
     p = src.table("part")

@@ -48,7 +48,6 @@ _CLEAN = """CASE WHEN NOT regexp_matches({0}, '[0-9]') THEN NULL WHEN {0} LIKE '
   {_CLEAN('second')} AS net_income, CASE WHEN variant IN (0, 2) THEN label ELSE label END AS period
 FROM f WHERE target_table = 'standardized_income_statement'""",
     f=FILINGS,
-    costly=True,
 )
 def registry_view(src, f):
     view = V.registry_view(stored(f), "standardized_income_statement", REGISTRY)
@@ -70,11 +69,11 @@ def typed_dates(src, f):
     "exact_rows",
     f"""SELECT id, sys_document_id, mapping_status, total_revenue FROM (SELECT id, document_id AS sys_document_id, mapping_status, row_index, {_CLEAN('amount')} AS total_revenue
 FROM f WHERE target_table = 'standardized_income_statement' AND tenant_id = 't1' AND label = '1-URGENT')
-ORDER BY CASE mapping_status WHEN 'MAPPED' THEN 0 WHEN 'NEEDS_REVIEW' THEN 1 ELSE 2 END, row_index NULLS LAST, id LIMIT 500""",
+ORDER BY CASE mapping_status WHEN 'MAPPED' THEN 0 WHEN 'NEEDS_REVIEW' THEN 1 ELSE 2 END, row_index NULLS LAST, id""",
     f=FILINGS,
 )
 def exact_rows(src, f):
-    rows = V.exact_rows(stored(f), "standardized_income_statement", REGISTRY, "t1", filters={"period": "1-URGENT"}, limit=9999)
+    rows = V.exact_rows(stored(f), "standardized_income_statement", REGISTRY, "t1", filters={"period": "1-URGENT"})
     return rows.select("id", "sys_document_id", "mapping_status", "total_revenue")
 
 
@@ -83,7 +82,7 @@ def exact_rows(src, f):
     """WITH s AS (SELECT *, CASE WHEN document_id = 'd7' AND target_table = 'corporate_subsidiaries' THEN 0
    WHEN document_id = 'd7' THEN 1 + CASE target_table WHEN 'standardized_balance_sheet' THEN 0 WHEN 'standardized_income_statement' THEN 1 WHEN 'standardized_cash_flow' THEN 2 WHEN 'vendor_invoice_headers' THEN 3 ELSE 99 END
    WHEN target_table = 'corporate_subsidiaries' THEN 1000 END AS b FROM f WHERE tenant_id = 't1')
-SELECT id, target_table, document_id FROM s WHERE b = (SELECT min(b) FROM s) ORDER BY CASE mapping_status WHEN 'MAPPED' THEN 0 WHEN 'NEEDS_REVIEW' THEN 1 ELSE 2 END, row_index, id LIMIT 100""",
+SELECT id, target_table, document_id FROM s WHERE b = (SELECT min(b) FROM s) ORDER BY CASE mapping_status WHEN 'MAPPED' THEN 0 WHEN 'NEEDS_REVIEW' THEN 1 ELSE 2 END, row_index, id""",
     f=FILINGS,
 )
 def fallback_scan(src, f):
@@ -109,7 +108,6 @@ def bag_rows(src, f):
 d AS (SELECT g, bool_or(ok) AS any_ok, arg_min(a, id) FILTER (NOT ok AND a IS NOT NULL) AS donor FROM v GROUP BY g)
 SELECT id, coalesce(a, donor, '') AS a, a IS NULL AND donor IS NOT NULL AS filled FROM v JOIN d USING (g) WHERE ok OR NOT any_ok""",
     f=FILINGS,
-    costly=True,
 )
 def null_fill_donors(src, f):
     rows = f.select("id", "mapping_status", F.col("document_id").alias("g"), F.when(F.col("id") % 4 == 1, F.col("amount")).alias("a"))
@@ -144,7 +142,6 @@ def derived_metrics(src, m):
     "metric_synonyms",
     """SELECT id, coalesce(CASE WHEN amount = 'n/a' THEN 'n/a' ELSE amount END, '') AS total_revenue, second AS net_income FROM f WHERE variant <> 9""",
     f=FILINGS,
-    costly=True,
 )
 def metric_synonyms(src, f):
     rows = stored(f).withColumn("m", V.lifted_fields(F.col("strict"), F.col("unmapped")))
@@ -152,7 +149,7 @@ def metric_synonyms(src, f):
     return rows.select("id", F.coalesce(V.metric(F.col("m"), "total_revenue"), note).alias("total_revenue"), V.metric(F.col("m"), "net_income").alias("net_income"))
 
 
-@query("target_tables", "SELECT DISTINCT target_table FROM f ORDER BY 1 LIMIT 200", f=FILINGS)
+@query("target_tables", "SELECT DISTINCT target_table FROM f ORDER BY 1", f=FILINGS)
 def target_tables(src, f):
     return V.target_tables(stored(f))
 
@@ -182,7 +179,6 @@ SELECT id, CASE WHEN given IS NOT NULL THEN given WHEN t1 = 'total_revenue' THEN
   CASE WHEN t2 IS NOT NULL THEN 'x' ELSE '' END AS cogs,
   concat_ws(',', CASE WHEN t1 IS NULL OR (t1 = 'total_revenue' AND given IS NOT NULL) THEN l1 END, CASE WHEN t2 IS NULL THEN l2 END) AS left_over FROM m""",
     d=DRIFT,
-    costly=True,
 )
 def synonym_remap(src, d):
     synonyms = src.spark.createDataFrame(
@@ -313,7 +309,7 @@ REVIEWS = "SELECT doc_id AS id, CASE WHEN doc_id % 10 = 1 THEN 't9' ELSE 't1' EN
 
 @query(
     "review_queue",
-    "SELECT r.id, r.document_id, coalesce(j.s3_uri, '') AS s3_uri FROM (SELECT * FROM rev WHERE tenant_id = 't1' AND status = 'PENDING' ORDER BY created_at DESC, id LIMIT 100) r LEFT JOIN jobs j USING (document_id)",
+    "SELECT r.id, r.document_id, coalesce(j.s3_uri, '') AS s3_uri FROM (SELECT * FROM rev WHERE tenant_id = 't1' AND status = 'PENDING' ORDER BY created_at DESC, id) r LEFT JOIN jobs j USING (document_id)",
     jobs=JOBS, rev=REVIEWS,
 )
 def review_queue(src, jobs, rev):
@@ -359,7 +355,7 @@ def discarded_reviews(src, rev):
 
 @query(
     "recent_jobs",
-    "SELECT o_orderkey AS document_id, o_orderstatus AS status FROM orders WHERE o_custkey % 2 = 0 AND (o_orderstatus = 'P' OR o_orderdate > TIMESTAMP '1999-01-02 00:00:00' - INTERVAL 24 HOURS) ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
+    "SELECT o_orderkey AS document_id, o_orderstatus AS status FROM orders WHERE o_custkey % 2 = 0 AND (o_orderstatus = 'P' OR o_orderdate > TIMESTAMP '1999-01-02 00:00:00' - INTERVAL 24 HOURS) ORDER BY o_orderdate DESC, o_orderkey",
 )
 def recent_jobs(src):
     status = F.when(F.col("o_orderstatus") == "P", "PENDING").otherwise(F.col("o_orderstatus"))
@@ -393,7 +389,7 @@ def active_counts(src, jobs):
 
 @query(
     "work_list",
-    "SELECT o_orderkey AS id, c_name AS agent_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
+    "SELECT o_orderkey AS id, c_name AS agent_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey",
 )
 def work_list(src):
     tasks = src.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("agent_id"), F.col("o_orderstatus").alias("tenant_id"), F.col("o_orderdate").alias("updated_at"))

@@ -54,13 +54,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all task slots for a costly projection over few input splits.
-
-    A frame that already has at least as many partitions as there are slots
-    (any table of real size) is returned as it is.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
