@@ -197,7 +197,7 @@ def page_headings(src):
     return L.headings(spans, ["d"]).where("heading IS NOT NULL").select("d", "heading")
 
 
-REFS = "SELECT user_id % 50 AS answer, event_id AS seq, CAST(user_id AS STRING) AS document_id, CAST(floor(value) AS INT) % 4 AS source_page FROM {events}"
+REFS = "SELECT user_id AS answer, event_id AS seq, event_type AS document_id, CAST(floor(value) AS INT) AS source_page FROM {events}"
 
 
 @query(

@@ -53,14 +53,14 @@ def cleanup_list(src):
 
 @query(
     "etag_anti",
-    """WITH e AS (SELECT event_id, 'e' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS etag FROM events), r AS (SELECT DISTINCT 'e' || CAST(o_orderkey AS VARCHAR) AS etag FROM orders WHERE o_orderkey % 3 = 0), k AS (SELECT DISTINCT 'e' || CAST(o_orderkey AS VARCHAR) AS etag FROM orders WHERE o_orderkey % 5 = 0)
+    """WITH e AS (SELECT event_id, 'e' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS etag FROM events), r AS (SELECT DISTINCT 'e' || CAST(o_orderkey AS VARCHAR) AS etag FROM orders WHERE o_orderstatus = 'F'), k AS (SELECT DISTINCT 'e' || CAST(o_orderkey AS VARCHAR) AS etag FROM orders WHERE o_orderstatus = 'P')
 SELECT etag, min(event_id) AS event_id FROM e WHERE etag NOT IN (SELECT etag FROM r) AND etag NOT IN (SELECT etag FROM k) GROUP BY etag""",
 )
 def etag_anti(src):
     tag = lambda c: F.concat(F.lit("e"), c.cast("string")).alias("etag")
     events = src.table("events").select("event_id", tag(F.round(F.col("value") * 100).cast("long")))
-    orders = src.table("orders").select("o_orderkey", tag(F.col("o_orderkey")))
-    new = D.new_etags(events, orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 5 = 0"))
+    orders = src.table("orders").select("o_orderstatus", tag(F.col("o_orderkey")))
+    new = D.new_etags(events, orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'P'"))
     return D.claim_etags(new, "event_id")
 
 
@@ -436,10 +436,10 @@ def keyword_rerank(src):
 
 @query(
     "vector_default",
-    "SELECT doc_id AS k, coalesce(round(embedding[1]::DOUBLE, 4), round(1e-5, 4)) AS first, vec_id IS NULL AS is_default FROM documents LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 2 = 0) ON vec_id = doc_id WHERE trim(text) <> ''",
+    "SELECT doc_id AS k, coalesce(round(embedding[1]::DOUBLE, 4), round(1e-5, 4)) AS first, vec_id IS NULL AS is_default FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE trim(text) <> ''",
 )
 def vector_default(src):
     nodes = src.table("documents").select(F.col("doc_id").alias("k"), F.col("doc_id").cast("string").alias("document_id"), F.lit("n").alias("node_id"), F.lit("TEXT").alias("type"), F.col("text").alias("content"))
-    vectors = src.table("embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").cast("string").alias("document_id"), F.lit("n").alias("node_id"), F.col("embedding").alias("vector"))
+    vectors = src.table("embeddings").select(F.col("vec_id").cast("string").alias("document_id"), F.lit("n").alias("node_id"), F.col("embedding").alias("vector"))
     out = V.with_vectors(nodes, vectors)
     return out.select("k", F.round(F.col("vector")[0].cast("double"), 4).alias("first"), (F.size("vector") == 384).alias("is_default"))

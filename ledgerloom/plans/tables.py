@@ -98,7 +98,7 @@ def json_quarantine(src, s):
     "row_batches",
     """WITH n AS (SELECT k, b, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS target FROM (SELECT k, i, CAST(floor(i / 10) AS BIGINT) AS b FROM p) GROUP BY k, b)
 SELECT n.k, n.b AS batch, target, coalesce((SELECT string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FROM p WHERE p.k = n.k AND i BETWEEN n.b * 10 - 3 AND n.b * 10 - 1), '') AS context FROM n""",
-    p="SELECT p_size AS k, p_partkey % 100 AS i FROM {part} WHERE p_partkey % 100 < p_size GROUP BY p_size, p_partkey % 100",
+    p="SELECT l_suppkey AS k, l_orderkey AS i FROM {lineitem} GROUP BY l_suppkey, l_orderkey",
 )
 def row_batches(src, p):
     out = A.row_batches(p, ["k"], "i", ["k"])
@@ -106,19 +106,21 @@ def row_batches(src, p):
     return out.select("k", "batch", text("target_rows").alias("target"), text("context_rows").alias("context"))
 
 
-YEARS = """SELECT o_custkey AS k, max(CASE WHEN year(o_orderdate) = 1995 THEN o_orderkey END) AS y95, max(CASE WHEN year(o_orderdate) = 1996 THEN o_orderkey END) AS y96, max(o_orderpriority) AS label FROM {orders} GROUP BY o_custkey"""
+YEARS = "SELECT o_orderkey AS k, year(o_orderdate) AS y, o_custkey AS a, o_orderpriority AS label FROM {orders}"
 
 
 @query(
     "unpivot_years",
-    """SELECT k, label, '1995' AS period, coalesce(CAST(y95 AS VARCHAR), '') AS amount FROM y WHERE k % 3 <> 0 UNION ALL SELECT k, label, '1996', coalesce(CAST(y96 AS VARCHAR), '') FROM y WHERE k % 3 <> 0
+    """SELECT k, label, CAST(y AS VARCHAR) AS period, CAST(a AS VARCHAR) AS amount FROM y WHERE k % 3 <> 0 UNION ALL SELECT k, label, CAST(y + 1 AS VARCHAR), CAST(k AS VARCHAR) FROM y WHERE k % 3 <> 0
 UNION ALL SELECT k, label, '', '' FROM y WHERE k % 3 = 0""",
     y=YEARS,
 )
 def unpivot_years(src, y):
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    two = F.create_map(F.lit("label"), F.col("label"), F.lit("FY1995"), text("y95"), F.lit("1996"), text("y96"))
-    one = F.create_map(F.lit("label"), F.col("label"), F.lit("1996"), text("y96"))
+    """Two years in a row become two rows; rows of one year stay."""
+    text = lambda c: F.col(c).cast("string")
+    later = (F.col("y") + 1).cast("string")
+    two = F.create_map(F.lit("label"), F.col("label"), F.concat(F.lit("FY"), text("y")), text("a"), later, text("k"))
+    one = F.create_map(F.lit("label"), F.col("label"), later, text("k"))
     rows = y.select("k", F.when(F.col("k") % 3 != 0, two).otherwise(one).alias("data"))
     m = F.col("data")
     g = lambda c: F.coalesce(m[c], F.lit(""))
@@ -127,12 +129,13 @@ def unpivot_years(src, y):
 
 @query(
     "unpivot_wide",
-    "SELECT k, '1995' AS period, coalesce(y95, -1) AS amount FROM y UNION ALL SELECT k, '1996', coalesce(y96, -1) FROM y",
+    "SELECT k, CAST(p AS VARCHAR) AS period, CASE WHEN y = p THEN a ELSE -1 END AS amount FROM y, range(1992, 1999) r(p)",
     y=YEARS,
 )
 def unpivot_wide(src, y):
-    wide = y.select("k", F.col("y95").alias("FY1995"), F.col("y96").alias("1996"))
-    return A.unpivot_wide(wide, ["k"], ["FY1995", "1996"]).select("k", "period", F.coalesce("amount", F.lit(-1)).alias("amount"))
+    names = {p: f"FY{p}" if p % 2 else str(p) for p in range(1992, 1999)}
+    wide = y.select("k", *[F.when(F.col("y") == p, F.col("a")).alias(n) for p, n in names.items()])
+    return A.unpivot_wide(wide, ["k"], list(names.values())).select("k", "period", F.coalesce("amount", F.lit(-1)).alias("amount"))
 
 
 # A document per customer; its orders are nodes: tables that share headers run on.
@@ -184,17 +187,17 @@ def stitched_rows(src, n):
 
 
 CARRIED = """SELECT l_orderkey AS d, l_partkey * 8 + l_linenumber AS i, CASE WHEN l_partkey % 3 = 0 THEN 'in millions' WHEN l_partkey % 7 = 0 THEN 'in thousands' END AS scale,
-  CASE WHEN l_suppkey % 4 = 0 THEN 'h' || CAST(l_suppkey AS STRING) END AS headers FROM {lineitem} GROUP BY l_orderkey, l_partkey, l_linenumber, l_suppkey"""
+  CASE WHEN min(l_suppkey) % 4 = 0 THEN 'h' || CAST(min(l_suppkey) AS STRING) END AS headers FROM {lineitem} GROUP BY l_orderkey, l_partkey, l_linenumber"""
 
 
 @query(
     "carry_scale",
     """SELECT d, i, coalesce(last_value(scale IGNORE NULLS) OVER w, '') AS context_scale, coalesce(last_value(headers IGNORE NULLS) OVER w, '') AS carried_headers
 FROM c WINDOW w AS (PARTITION BY d ORDER BY i, coalesce(headers, '') ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
-    c=CARRIED.replace("GROUP BY l_orderkey, l_partkey, l_linenumber, l_suppkey", "WHERE l_suppkey % 2 = 0 GROUP BY l_orderkey, l_partkey, l_linenumber, l_suppkey").replace("l_suppkey % 4 = 0 THEN", "min(l_suppkey) % 4 = 0 THEN").replace("'h' || CAST(l_suppkey AS STRING)", "'h' || CAST(min(l_suppkey) AS STRING)").replace("l_linenumber, l_suppkey", "l_linenumber"),
+    c=CARRIED,
 )
 def carry_scale(src, c):
     from ..operators.layout import carry_scale as carry
 
-    out = carry(c, ["d"], "i", "scale", "headers")
+    out = carry(c, ["d"], "i", "scale", "headers", width=64)  # narrow: most orders cross segments
     return out.select("d", "i", F.coalesce("context_scale", F.lit("")).alias("context_scale"), F.coalesce("carried_headers", F.lit("")).alias("carried_headers"))

@@ -282,7 +282,7 @@ JOBS = """
 SELECT CAST(doc_id AS STRING) AS document_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 't' || CAST(doc_id % 2 AS STRING) END AS tenant_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source || '.pdf' END AS filename,
   CASE WHEN doc_id % 4 = 0 THEN 'Company ' || lang END AS company_name, CASE WHEN doc_id % 5 = 0 THEN 'TCK' || CAST(doc_id % 7 AS STRING) END AS ticker, CAST(NULL AS STRING) AS fiscal_period,
   's3://b/' || CAST(doc_id AS STRING) AS s3_uri, CASE doc_id % 6 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'IN_PROGRESS' WHEN 2 THEN 'FAILED' ELSE 'COMPLETED' END AS status, n_chars AS age
-FROM {documents} WHERE doc_id % 8 <> 0"""
+FROM {documents}"""
 LABELS = "SELECT CAST(doc_id AS STRING) AS document_id, 't' || CAST((doc_id + quality) % 2 AS STRING) AS tenant_id, CAST(quality AS STRING) AS q, CAST(toxic AS STRING) AS x FROM {labels}"
 
 
@@ -399,11 +399,11 @@ def work_list(src):
 
 @query(
     "task_prompts",
-    "SELECT o_orderkey AS id, coalesce(c_mktsegment, '') AS system_prompt FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey",
+    "SELECT o_orderkey AS id, coalesce(c_mktsegment, '') AS system_prompt FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
 )
 def task_prompts(src):
     tasks = src.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("agent_id"))
-    agents = src.table("customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("system_prompt"))
+    agents = src.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("system_prompt"))
     return K.with_prompt(tasks, agents).select("id", F.coalesce("system_prompt", F.lit("")).alias("system_prompt"))
 
 
