@@ -8,7 +8,7 @@ from ..operators import critic as K
 from ..operators import documents as D
 from ..operators import rules as R
 from ..operators.segmented import running_total
-from .base import query
+from .base import ORACLES, query
 from .rules import LINES, _LINE_STOP, eq
 
 # --- invoices ----------------------------------------------------------------
@@ -78,7 +78,17 @@ SELECT k, row_index, rule_id, severity, round(expected, 2)::DOUBLE AS expected F
     moves=MOVES,
 )
 def running_balance(src, moves):
-    found = D.check_transactions(statement_lines(moves), ["k"], "row_index")
+    return balances(moves)
+
+
+@query("running_balance_narrow", ORACLES["running_balance"])
+def running_balance_narrow(src):
+    """The same over segments of eight, so that balances are carried between many of them."""
+    return balances(src.sql(MOVES), width=8)
+
+
+def balances(moves, **width):
+    found = D.check_transactions(statement_lines(moves), ["k"], "row_index", **width)
     return found.select("k", "row_index", "rule_id", "severity", F.round(F.coalesce("expected", F.lit(-1.0)), 2).alias("expected"))
 
 

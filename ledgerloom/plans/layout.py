@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import jobs as J
 from ..operators import layout as L
 from ..operators import refs as R
-from .base import query
+from .base import ORACLES, query
 
 BOXES = """
 SELECT l_orderkey AS page, l_partkey * 10 + l_linenumber AS box_id, CAST((l_suppkey * 7) % 60 AS DOUBLE) AS y0, CAST(l_partkey % 500 AS DOUBLE) AS x0 FROM {lineitem} GROUP BY l_orderkey, l_partkey, l_linenumber, l_suppkey"""
@@ -42,6 +42,12 @@ def section_assign(src, n):
     return L.with_sections(n, ["d"]).select("d", "ord", F.coalesce("section_id", F.lit("")).alias("section_id"))
 
 
+@query("section_assign_narrow", ORACLES["section_assign"])
+def section_assign_narrow(src):
+    """The same over segments of four nodes."""
+    return L.with_sections(src.sql(TURNS), ["d"], width=4).select("d", "ord", F.coalesce("section_id", F.lit("")).alias("section_id"))
+
+
 @query(
     "sibling_context",
     """WITH t AS (SELECT d, ord, CASE WHEN type = 'TEXT' AND content <> '' THEN content END AS t FROM n),
