@@ -143,7 +143,7 @@ def cast_by_type(value: Column, kind: str, field: str | None = None) -> Column:
     if kind == "float":
         return parse_number(value, field)
     if kind == "int":
-        return parse_number(value, field).try_cast("int")
+        return F.round(parse_number(value, field)).try_cast("bigint")
     return value
 
 

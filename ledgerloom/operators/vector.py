@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +17,7 @@ from ..fixed_values import (
 from ..functions.ids import name_uuid
 
 QUERY_BLOCK = 256
+POINT_PART = 8192
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
@@ -48,50 +47,35 @@ def top_k(points: DataFrame, query: list[float], tenant: str | None = None, docu
 
 
 def top_k_batch(points: DataFrame, queries: DataFrame, k: int = VECTOR_CANDIDATES, vector: str = "vector", tie: str = "id") -> DataFrame:
-    """(query_id, id, score, rank) for a set of query vectors.
+    """The ``k`` best points of every query (``query_id, query_vector``) by cosine, ties by ``tie``.
 
-    Queries are read in blocks of ``QUERY_BLOCK``; each block is a constant
-    matrix that every task multiplies with its Arrow batches, keeping the k
-    best per query and batch.  No pair of query and point is materialised.
+    Blocks of queries meet parts of the points as groups of bounded size; each
+    group keeps ``k`` per query.  Neither side passes through the driver.
     """
-    types = dict(points.dtypes)
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, {tie} {types[tie]}, score double"
-    blocks: list[DataFrame] = []
-    ids: list = []
-    rows: list = []
-
-    def scan(ids: list, rows: list) -> DataFrame:
-        matrix = np.asarray(rows, dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        names = np.asarray(ids)
-
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if batch.empty:
-                    continue
-                x = np.asarray(batch[vector].tolist(), dtype=np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                scores = x @ matrix.T
-                keys = batch[tie].to_numpy()
-                for j in range(scores.shape[1]):
-                    best = np.lexsort((keys, -scores[:, j]))[:k]
-                    yield pd.DataFrame({"query_id": names[j], tie: keys[best], "score": scores[best, j]})
-
-        return points.select(tie, vector).mapInPandas(part, schema)
-
-    for row in queries.select("query_id", "query_vector").toLocalIterator():
-        ids.append(row[0])
-        rows.append([float(x) for x in row[1]])
-        if len(ids) == QUERY_BLOCK:
-            blocks.append(scan(ids, rows))
-            ids, rows = [], []
-    if ids:
-        blocks.append(scan(ids, rows))
-    if not blocks:
-        return points.sparkSession.createDataFrame([], schema + ", rank int")
-    found = blocks[0]
-    for block in blocks[1:]:
-        found = found.unionByName(block)
+    kind = dict(points.dtypes)[tie]
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {tie} {kind}, score double"
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = max(1, -(-points.count() // POINT_PART))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.select("query_id", "query_vector", deal("query_id", blocks).alias("_block"), every(parts).alias("_part"))
+    right = points.select(tie, vector, deal(tie, parts).alias("_part"), every(blocks).alias("_block"))
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        m = np.asarray(rows.tolist(), dtype=np.float64)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame({"query_id": asked["query_id"][:0], tie: held[tie][:0], "score": np.zeros(0)})
+        scores, keys = unit(asked["query_vector"]) @ unit(held[vector]).T, held[tie].to_numpy()
+        order = np.stack([np.lexsort((keys, -row))[:k] for row in scores])
+        return pd.DataFrame({
+            "query_id": np.repeat(asked["query_id"].to_numpy(), order.shape[1]), tie: keys[order].reshape(-1),
+            "score": np.take_along_axis(scores, order, 1).reshape(-1),
+        })
+
+    found = left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInPandas(best, schema)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), tie)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

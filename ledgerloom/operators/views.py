@@ -48,7 +48,7 @@ def typed(column: str, kind: str) -> Column:
     if kind == "float":
         return clean_number(value)
     if kind == "int":
-        return clean_number(value, "int")
+        return F.round(clean_number(value, "decimal(38,6)")).cast("bigint")  # 1,234.50 is a number too
     if kind == "datetime":
         return clean_cast(value, "timestamp")
     if kind in ("bool", "boolean"):
@@ -150,7 +150,7 @@ def fallback_rows(rows: DataFrame, table: str, tenant: str, document: str, limit
     )
     ranked = scoped.where(mine | asked).withColumn("_branch", branch)
     best = ranked.groupBy("tenant_id").agg(F.min("_branch").alias("_best"))
-    chosen = ranked.join(best, "tenant_id").where(F.col("_branch") == F.col("_best"))
+    chosen = ranked.join(F.broadcast(best), "tenant_id").where(F.col("_branch") == F.col("_best"))  # one row: the one tenant
     return by_status(chosen.drop("_branch", "_best"), limit)
 
 

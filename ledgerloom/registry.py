@@ -21,7 +21,7 @@ Registry = dict[str, dict[str, str]]
 SPARK_TYPES = {
     "str": T.StringType(),
     "float": T.DoubleType(),
-    "int": T.IntegerType(),
+    "int": T.LongType(),
     "datetime": T.TimestampType(),
     "bool": T.BooleanType(),
     "boolean": T.BooleanType(),
