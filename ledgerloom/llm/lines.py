@@ -129,7 +129,8 @@ def repeated_lines(docs: DataFrame, documents: int = MIN_DOCUMENTS, batches: int
     for batch in range(batches):
         store.add(lines.where(F.col("batch") == batch).select("doc_id", "hi", "lo"))
     held = store.runs()
-    frequent = LineRuns.merged(held).where(F.col("documents") >= documents)
+    # written: a plain table on this side lets adaptive execution split the lines of a very frequent key
+    frequent = written(LineRuns.merged(held).where(F.col("documents") >= documents), "frequent")
     gone = lines.join(frequent, ["hi", "lo"]).where("doc_id <> keeper")
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
 
