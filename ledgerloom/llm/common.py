@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +52,10 @@ def byte_texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.large_binary()).to_pylist()
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces_of(batches: Iterator[pa.RecordBatch], limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of about ``limit`` bytes of text (one row at least)."""
     for batch in batches:
-        sizes = np.array([len(t) if t is not None else 0 for t in byte_texts(batch)], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         begin, total = 0, 0
         for i, size in enumerate(sizes):
             if i > begin and total + size > limit:
@@ -63,6 +64,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000) -> Iter
             total += int(size)
         if begin < batch.num_rows:
             yield batch.slice(begin)
+        pa.default_memory_pool().release_unused()  # workers are reused: give the batch's memory back
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,7 +77,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash; forgets everything at ``limit`` words, so memory is bounded."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

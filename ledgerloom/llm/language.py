@@ -92,7 +92,7 @@ def context_counts(learnt: DataFrame, languages: list[str], table: np.ndarray, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, 1_000_000):
             codes = [
                 contexts(text, table, base, order) + number[lang] * size
                 for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch))
@@ -116,9 +116,11 @@ def code_lengths(codes: np.ndarray, n: np.ndarray, base: int, order: int) -> np.
         total = np.bincount(low // base, weights=times, minlength=rows)
         with np.errstate(divide="ignore", invalid="ignore"):
             escape = np.where(kinds > 0, -np.log2(kinds / (total + kinds)), 0.0).astype(np.float32)
-        bits = escape[:, None] + bits[np.arange(rows) % len(bits)]
+        bits = np.tile(bits, (rows // len(bits), 1))  # the shorter context is the end of the longer one
+        bits += escape[:, None]
         bits.reshape(-1)[low] = -np.log2(times / (total + kinds)[low // base])
-    return np.minimum(np.rint(bits.reshape(-1) / UNIT), 65_535).astype(np.uint16)
+    bits *= 1 / UNIT
+    return np.minimum(np.rint(bits, out=bits), 65_535, out=bits).reshape(-1).astype(np.uint16)
 
 
 class Model:

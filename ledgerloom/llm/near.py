@@ -113,7 +113,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in pieces_of(batches, 6_000_000):
+        for batch in pieces_of(batches, 3_000_000):
             sets = _sets(batch, words)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             owner = np.repeat(np.arange(len(sets)), sizes)
@@ -241,14 +241,13 @@ def open_pairs(mixed: DataFrame, classes: DataFrame, threshold: int) -> DataFram
                 if not apart.any():
                     continue
                 i, j = np.nonzero(apart & (agreement(regs[left], regs[right]) >= floor))
-                x, y = left[i], right[j]
-                if not len(x):
-                    continue
-                same = (regs[x] == regs[y]).reshape(len(x), -1, BAND_ROWS).all(axis=2)
                 mine = band_of(regs[begin], bucket[begin])
-                once = same.argmax(axis=1) == mine
-                first.append(np.minimum(docs[x[once]], docs[y[once]]))
-                second.append(np.maximum(docs[x[once]], docs[y[once]]))
+                for part in range(0, len(i), 4096):
+                    x, y = left[i[part : part + 4096]], right[j[part : part + 4096]]
+                    same = (regs[x] == regs[y]).reshape(len(x), -1, BAND_ROWS).all(axis=2)
+                    once = same.argmax(axis=1) == mine
+                    first.append(np.minimum(docs[x[once]], docs[y[once]]))
+                    second.append(np.maximum(docs[x[once]], docs[y[once]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["a", "b"])
 
     dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "doc")
@@ -297,15 +296,15 @@ def confirmed(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            last: tuple = (None, None)
-            for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "xa", "xb"))):
-                if last[0] != a:
-                    last = (a, np.frombuffer(x, dtype=np.uint64))
-                one, other = last[1], np.frombuffer(y, dtype=np.uint64)
-                both = len(one) + len(other) - len(np.union1d(one, other))
-                good.append(100 * both >= threshold * (len(one) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for row in range(batch.num_rows):  # views into the batch, no copies
+                one, other = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=np.uint64) for c in ("xa", "xb"))
+                at = np.minimum(np.searchsorted(one, other), len(one) - 1)
+                both = int((one[at] == other).sum())
+                good[row] = 100 * both >= threshold * (len(one) + len(other) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+            del batch
+            pa.default_memory_pool().release_unused()
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     packed = written(members.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(pack, "doc long, elements binary"), "sets")

@@ -150,7 +150,7 @@ def word_features(word: str) -> list[str]:
 class Cache(dict):
     """word -> anything; starts again at ``limit`` words."""
 
-    def __init__(self, read, limit: int = 200_000):
+    def __init__(self, read, limit: int = 100_000):
         super().__init__()
         self.read, self.limit = read, limit
 
