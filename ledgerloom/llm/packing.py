@@ -48,20 +48,28 @@ class ByteTokens(dict):
     SPECIAL = "<|"
     UNSAFE = re.compile(r" (?:\s|$)")
 
-    def __init__(self, json_path: str, ranks_path: str, limit: int = 200_000):
+    def __init__(self, json_path: str, ranks_path: str, limit: int = 100_000):
         super().__init__()
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding(
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.whole = Tokenizer.from_file(json_path)
+        self.json_path, self._whole = json_path, None
         self.limit = limit
 
+    @property
+    def whole(self):
+        """The tokenizer itself, loaded for the first text with a special token's string."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.json_path)
+        return self._whole
+
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
@@ -159,7 +167,7 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = pieces.sparkSession
     kept = written(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slices = max(1, -(-sum(counts.values()) // PIECE_ROWS))
+    slices = max(-(-sum(counts.values()) // PIECE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(slices)).cast("int")
     salted = kept.withColumn("_slice", salt)
     order = [c for c in kept.columns if c != "length"]
