@@ -26,8 +26,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @registered
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of every document before and after cleaning edits, only edited regions encoded again."""
-    index = tokens.token_index(table(spark, folder, "documents"))
-    done = tokens.recount_cleaned(index)
+    done = tokens.recount_cleaned(table(spark, folder, "documents").select("doc_id", "text"))
     leaves = F.size("characters") / 2
     return done.select(
         "doc_id", F.col("n_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"),

@@ -187,17 +187,19 @@ def _edited(frame: DataFrame, edits_of: Callable[[pa.RecordBatch, int, str], lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_at(json_path, ranks_path)
         for batch in pieces_of(batches):
-            trees = [batch.column(c).to_pylist() for c in ("characters", "tokens")]
-            own, edits = [], []
+            indexed = "characters" in batch.schema.names
+            trees = [batch.column(c).to_pylist() for c in ("characters", "tokens")] if indexed else None
+            own, edits, before = [], [], []
             for i, t in enumerate(byte_texts(batch)):
-                counted = Counted((t or b"").decode(), coder, trees[0][i], trees[1][i])
+                counted = Counted((t or b"").decode(), coder, *((trees[0][i], trees[1][i]) if trees else ()))
+                before.append(counted.total)
                 edits.append(edits_of(batch, i, counted.text))
                 counted.edit(edits[-1])
                 own.append(counted)
             columns = [
                 batch.column("doc_id"), pa.array([c.text for c in own], pa.string()), pa.array([c.total for c in own], pa.int64()),
-                pa.array([c.characters for c in own], _TREE), pa.array([c.tokens for c in own], _TREE), batch.column("n_tokens"),
-                *(pa.array(v, pa.int64()) for v in ([len(e) for e in edits], [c.reencoded for c in own], [c.touched for c in own])),
+                pa.array([c.characters for c in own], _TREE), pa.array([c.tokens for c in own], _TREE),
+                *(pa.array(v, pa.int64()) for v in (before, [len(e) for e in edits], [c.reencoded for c in own], [c.touched for c in own])),
             ]
             yield pa.RecordBatch.from_arrays(
                 columns, ["doc_id", "text", "n_tokens", "characters", "tokens", "n_before", "n_edits", "n_reencoded", "n_touched"]
@@ -231,7 +233,11 @@ def cleaning_edits(text: str) -> list[Edit]:
     return [(m.start(), m.end(), m[1] or "<address>") for m in NOISE.finditer(text)]
 
 
-def recount_cleaned(index: DataFrame, edits_of: Callable[[str], list[Edit]] = cleaning_edits, json_path: str | None = None,
+def recount_cleaned(frame: DataFrame, edits_of: Callable[[str], list[Edit]] = cleaning_edits, json_path: str | None = None,
                     ranks_path: str | None = None) -> DataFrame:
-    """The index after the edits that ``edits_of`` makes of each text, without a join."""
-    return _edited(index, lambda batch, i, text: edits_of(text), json_path, ranks_path)
+    """The index after the edits that ``edits_of`` makes of each text, without a join.
+
+    ``frame`` is an index, or documents, which the same tasks index first.
+    """
+    frame = frame if "characters" in frame.columns else texts(frame)
+    return _edited(frame, lambda batch, i, text: edits_of(text), json_path, ranks_path)
