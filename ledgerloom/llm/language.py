@@ -4,16 +4,18 @@ Every language has a context tree of byte symbols: how often each symbol
 followed each context of up to ``ORDER`` symbols.  A symbol that its context
 has not seen escapes to the next shorter context (escape method C), down to a
 uniform guess.  The statistics are frozen before scoring, so the code length
-of a symbol depends on its context alone: all code lengths are tabulated once
-and a text costs one look-up per byte and language.  The language with the
-shortest code wins.
+of a symbol depends on its context alone.  The language with the shortest
+code wins.
 
-Symbols fold bytes: A-Z to a-z, white space to a space, digits to one symbol,
-other ASCII to one symbol; bytes from 0x80 that the training texts hold have
-a symbol each, up to ``SYMBOLS`` in all, and the rest share one.
+Order and alphabet are the same at every input.  Symbols fold ASCII: A-Z to
+a-z, white space to a space, digits to one symbol, the rest to one symbol;
+every byte from 0x80 is a symbol of its own.  Only contexts that occur are
+kept, as sorted arrays.  The code lengths of the most frequent ones are
+tabulated for all languages, as far as ``TABLE_BYTES`` reach; those of the
+others are worked out when a text has them, with the same result.
 
 Counting covers all learnt documents: tasks count, Spark adds, and the driver
-gets only the sums, whose number is bounded by the size of the table.
+gets only the sums, one for each context and symbol of a language.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0,
 as is every text when nothing could be learnt.  Rows with null ``lang`` or
@@ -36,7 +38,8 @@ from .common import byte_texts, pieces_of, texts
 UNKNOWN = "und"
 ORDER = 3
 SYMBOLS = 64
-TABLE_BYTES = 96_000_000
+BASE = 157  # symbols of the fixed alphabet
+TABLE_BYTES = 64_000_000  # of tabulated code lengths; affects speed only
 UNIT = 1 / 2048  # code lengths are kept in fixed point, in bits
 _START = 0  # the symbol of a space; texts begin in the context of spaces
 
@@ -69,6 +72,16 @@ def symbol_map(counts: dict[int, int], symbols: int = SYMBOLS) -> np.ndarray:
     return table
 
 
+def byte_symbols() -> np.ndarray:
+    """Symbol of each byte: 0 space, 1 digit, 2 other ASCII, 3 to 28 letters, then every byte from 0x80."""
+    table = np.full(256, 2, dtype=np.int64)
+    table[[0x20, *range(0x09, 0x0E)]] = _START
+    table[0x30:0x3A] = 1
+    table[0x41:0x5B] = table[0x61:0x7B] = np.arange(3, 29)
+    table[0x80:] = np.arange(29, BASE)
+    return table
+
+
 def contexts(text: bytes, table: np.ndarray, base: int, order: int) -> np.ndarray:
     """The number of each symbol with the ``order`` symbols before it, as digits of ``base``."""
     symbols = np.concatenate([np.full(order, _START, np.int64), table[np.frombuffer(text, np.uint8)]])
@@ -123,36 +136,131 @@ def code_lengths(codes: np.ndarray, n: np.ndarray, base: int, order: int) -> np.
     return np.minimum(np.rint(bits, out=bits), 65_535, out=bits).reshape(-1).astype(np.uint16)
 
 
+class Sparse:
+    """Values by (key, language), only where there are some."""
+
+    def __init__(self, keys: np.ndarray, languages: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, start = np.unique(keys[order], return_index=True)
+        self.start = np.append(start, len(keys))
+        self.languages, self.values = languages[order], values[order]
+
+    def add_to(self, rows: np.ndarray, keys: np.ndarray) -> None:
+        """Adds the values of each key to its row of all languages."""
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        row = np.nonzero(self.keys[place] == keys)[0]
+        begin = self.start[place[row]]
+        many = self.start[place[row] + 1] - begin
+        at = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        rows[np.repeat(row, many), self.languages[at]] += self.values[at]
+
+
+class Places:
+    """Place of a number among different numbers: a hash table that whole arrays are looked up in."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(4, int(2 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            out = self.slots[slot] != left
+            left, slot = left[out], (slot[out] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 for those that are not there."""
+        slot = self._slot(keys)
+        place = self.slots[slot]
+        if len(self.keys):
+            wrong = np.nonzero((place >= 0) & (self.keys[place] != keys))[0]
+            while len(wrong):
+                slot[wrong] = (slot[wrong] + 1) & (len(self.slots) - 1)
+                place[wrong] = self.slots[slot[wrong]]
+                wrong = wrong[(place[wrong] >= 0) & (self.keys[place[wrong]] != keys[wrong])]
+        return place
+
+
 class Model:
-    """Frozen statistics; the look-up table is built where it is used."""
+    """Frozen statistics: sorted codes of (language, context, symbol) and their counts; the rest is built where it is used."""
 
-    def __init__(self, languages: list[str], symbols: np.ndarray, base: int, order: int,
-                 counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.languages, self.symbols, self.base, self.order, self.counts = languages, symbols, base, order, counts
-        self._table: np.ndarray | None = None
+    def __init__(self, languages: list[str], symbols: np.ndarray, base: int, order: int, codes: np.ndarray, n: np.ndarray,
+                 table_bytes: int = TABLE_BYTES):
+        self.languages, self.symbols, self.base, self.order = languages, symbols, base, order
+        self.codes, self.n, self.table_bytes = codes, n, table_bytes
+        self._levels: list[tuple[Sparse, Sparse]] | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_table": None}
-
-    @property
-    def table(self) -> np.ndarray:
-        if self._table is None:
-            size = self.base ** (self.order + 1)
-            table = np.zeros((size, len(self.languages)), dtype=np.uint16)
-            for i, lang in enumerate(self.languages):
-                table[:, i] = code_lengths(*self.counts[lang], self.base, self.order)
-            self._table = table
-        return self._table
+        return {**self.__dict__, "_levels": None, "_places": None, "_table": None}
+
+    def _build(self) -> None:
+        """Escapes of contexts, and what a seen symbol takes off the escape and the shorter context's code length."""
+        size = self.base ** (self.order + 1)
+        language, code = self.codes // size, self.codes % size
+        self._levels, shorter, shorter_bits = [], None, None
+        for k in range(self.order + 1):
+            width = self.base ** (k + 1)
+            low, place = np.unique(language * width + code % width, return_inverse=True)
+            times = np.bincount(place, weights=self.n, minlength=len(low))
+            heads, head = np.unique(low // self.base, return_inverse=True)
+            kinds = np.bincount(head)
+            total = np.bincount(head, weights=times)
+            escape = -np.log2(kinds / (total + kinds))
+            bits = -np.log2(times / (total + kinds)[head])
+            own, gram = low // width, low % width
+            if k:
+                narrow = width // self.base
+                below = shorter_bits[np.searchsorted(shorter, own * narrow + gram % narrow)]
+            else:
+                below = np.full(len(low), 8.0)  # order -1: uniform over bytes
+            rows = width // self.base
+            self._levels.append((Sparse(heads % rows, heads // rows, escape), Sparse(gram, own, bits - escape[head] - below)))
+            shorter, shorter_bits = low, bits
+        keys, place = np.unique(code, return_inverse=True)
+        most = max(0, self.table_bytes // (4 * max(1, len(self.languages))))
+        if len(keys) > most:
+            seen = np.bincount(place, weights=self.n)
+            keys = np.sort(keys[np.argsort(-seen, kind="stable")[:most]])
+        self._places, self._table = Places(keys), self.rows(keys)
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """Code length, in ``UNIT``, of each (context, symbol) in every language: PPM, escape method C, no exclusions."""
+        out = np.empty((len(codes), len(self.languages)), dtype=np.int32)
+        step = max(1, 1_000_000 // max(1, len(self.languages)))
+        for begin in range(0, len(codes), step):
+            part = codes[begin : begin + step]
+            bits = np.full((len(part), len(self.languages)), 8.0)
+            for k, (escapes, symbols) in enumerate(self._levels):
+                gram = part % self.base ** (k + 1)
+                escapes.add_to(bits, gram // self.base)
+                symbols.add_to(bits, gram)
+            out[begin : begin + step] = np.rint(bits / UNIT)
+        return out
 
     def lengths(self, text: bytes) -> np.ndarray:
         """Code length of the whole text in bits, per language."""
-        total = np.zeros(len(self.languages))
-        step = 1 << 18
+        if self._levels is None:
+            self._build()
+        total = np.zeros(len(self.languages), dtype=np.int64)
+        step = 1 << 16
         for begin in range(0, len(text), step):
             overlap = min(begin, self.order)
             codes = contexts(text[begin - overlap : begin + step], self.symbols, self.base, self.order)[overlap:]
-            total += self.table[codes].sum(axis=0, dtype=np.int64) * UNIT
-        return total
+            place = self._places.find(codes)
+            if (place < 0).any():
+                rare, times = np.unique(codes[place < 0], return_counts=True)
+                some = max(1, 4_000_000 // len(self.languages))
+                for i in range(0, len(rare), some):
+                    total += times[i : i + some] @ self.rows(rare[i : i + some]).astype(np.int64)
+                place = place[place >= 0]
+            some = max(1, 4_000_000 // len(self.languages))
+            for i in range(0, len(place), some):
+                total += self._table[place[i : i + some]].sum(axis=0, dtype=np.int64)
+        return total * UNIT
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
         if not text or not self.languages or not any(map(str.isalpha, text.decode())):
@@ -162,27 +270,17 @@ class Model:
         return self.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
 
 
-def order_for(languages: int, base: int, order: int = ORDER, limit: int = TABLE_BYTES) -> int:
-    """The longest context whose table fits the limit: the table has a fixed size whatever the corpus."""
-    while order > 1 and languages * base ** (order + 1) * 2 > limit:
-        order -= 1
-    return order
-
-
-def train(learnt: DataFrame, order: int = ORDER, symbols: int = SYMBOLS) -> Model:
+def train(learnt: DataFrame, order: int = ORDER) -> Model:
     """Frozen statistics of ``text`` by non-null ``lang``, over all rows given."""
     learnt = learnt.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
-        "lang IS NOT NULL AND text IS NOT NULL"
+        "lang IS NOT NULL AND text <> ''"
     )
     languages = sorted(r["lang"] for r in learnt.select("lang").distinct().collect())
-    table = symbol_map({r["byte"]: r["n"] for r in byte_counts(learnt).collect()}, symbols)
-    base = int(table.max()) + 1
-    order = order_for(len(languages), base, order)
-    counted = context_counts(learnt, languages, table, base, order).toArrow()
+    table = byte_symbols()
+    counted = context_counts(learnt, languages, table, BASE, order).toArrow()
     codes, n = (counted.column(c).to_numpy() for c in ("code", "n"))
-    size = base ** (order + 1)
-    by = {lang: (codes[codes // size == i] % size, n[codes // size == i]) for i, lang in enumerate(languages)}
-    return Model([x for x in languages if len(by[x][0])], table, base, order, by)
+    sort = np.argsort(codes)
+    return Model(languages, table, BASE, order, codes[sort], n[sort])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -54,3 +54,18 @@ def test_code_lengths_by_hand(spark):
     symbols = [0, 0, *model.symbols[np.frombuffer(text.encode(), np.uint8)].tolist()]
     want = sum(bits(tuple(symbols[i - 2 : i]), symbols[i]) for i in range(2, len(symbols)))
     assert abs(model.lengths(text.encode())[0] - want) < 0.01
+
+
+def test_order_and_alphabet_do_not_depend_on_the_input(spark):
+    """Further languages and scripts change no code length; rare bytes stay apart; the table's size only affects speed."""
+    two = [("el", "η γλώσσα των Ελλήνων"), ("he", "השפה של העם"), ("el", "ένα ακόμη κείμενο")]
+    more = [(f"x{i:03}", "".join(chr(0x4E00 + 64 * i + j) for j in range(40)) * 20) for i in range(60)]
+    small, large = (language.train(spark.createDataFrame(rows, "lang string, text string")) for rows in (two, two + more))
+    assert small.order == large.order == language.ORDER
+    assert len(set(large.symbols[0x80:].tolist())) == 128
+    text = "των Ελλήνων העם και 한국어 😀 plain".encode()
+    assert small.lengths(text).tolist() == large.lengths(text)[:2].tolist()
+    tight = language.Model(large.languages, large.symbols, large.base, large.order, large.codes, large.n, table_bytes=5_000)
+    none = language.Model(large.languages, large.symbols, large.base, large.order, large.codes, large.n, table_bytes=0)
+    assert tight.lengths(text).tolist() == none.lengths(text).tolist() == large.lengths(text).tolist()
+    assert [large.predict(t.encode())[0] for _, t in two + more] == [lang for lang, _ in two + more]
