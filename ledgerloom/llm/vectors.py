@@ -34,6 +34,7 @@ SHARD_ROWS = 8192
 QUERY_BLOCK = 1024
 LEAF = 64
 FACTOR = 1.0
+POOL = 1_000_000  # pairs held before the best are chosen
 _TIE = 1e-9
 
 
@@ -64,6 +65,26 @@ class Tree:
             self._visit(self.root, np.arange(len(queries)))
         return self.far, self.rows
 
+    def within(self, queries: np.ndarray, reach: np.ndarray, factor: float = FACTOR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Query and row numbers of all rows at most ``reach`` from their query, leaf by leaf."""
+        left = [(self.root, np.arange(len(queries)))] if len(self.units) else []
+        while left:
+            node, active = left.pop()
+            if not len(active):
+                continue
+            if isinstance(node, np.ndarray):
+                for begin in range(0, len(node), self.leaf):  # equally far points are one leaf of any size
+                    rows = node[begin : begin + self.leaf]
+                    query, row = np.nonzero(distances(queries[active], self.units[rows]) <= reach[active, None])
+                    yield active[query], rows[row]
+                continue
+            point, radius, inside, outside = node
+            away = distances(queries[active], self.units[point][None, :])[:, 0]
+            hit = active[away <= reach[active]]
+            yield hit, np.full(len(hit), point)
+            left.append((inside, active[(away - radius) * factor <= reach[active]]))
+            left.append((outside, active[(radius - away) * factor <= reach[active]]))
+
     def _offer(self, active: np.ndarray, rows: np.ndarray, away: np.ndarray) -> None:
         far = np.concatenate([self.far[active], away], axis=1)
         own = np.concatenate([self.rows[active], np.broadcast_to(rows, away.shape)], axis=1)
@@ -171,17 +192,46 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
 
 
 def best_of(ids, own, query_ids, wanted, k: int, factor: float) -> pa.RecordBatch:
-    """The nearest of one shard for one block of queries, ties kept, scored on the original vectors."""
+    """The nearest of one shard for one block of queries, scored on the original vectors.
+
+    A first walk finds how far the last wanted vector is, a second one all
+    vectors up to there, so equal scores are decided by id alone.
+    """
     def unit(m):
         scaled = m / np.abs(m).max(axis=1, keepdims=True)
         return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
-    depth = min(len(ids), k + 9)
-    _, rows = Tree(unit(own)).search(unit(wanted), depth, factor)
-    query, place = np.nonzero(rows >= 0)
-    point = rows[query, place]
-    a, b = wanted[query], own[point]
-    score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(query_ids[query]), pa.array(ids[point]), pa.array(score)], ["query", "point", "score"]
-    )
+    tree, asked = Tree(unit(own)), unit(wanted)
+    far, _ = tree.search(asked, min(len(ids), k + 1), factor)
+    reach = np.sqrt(far[:, -1] ** 2 + 1e-12) + 1e-7  # above the rounding of a distance, which is largest near zero
+    kept, new, size = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+    step = max(1, 4_000_000 // own.shape[1])
+    for queries, points in tree.within(asked, reach, factor):
+        for begin in range(0, len(queries), step):
+            query, point = queries[begin : begin + step], points[begin : begin + step]
+            a, b = wanted[query], own[point]
+            score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+            new.append((query, ids[point], score))
+        size += len(queries)
+        if size > POOL:
+            kept, new, size = best_pairs([kept, *new], k + 1), [], 0
+    query, point, score = best_pairs([kept, *new], k + 1)
+    return pa.RecordBatch.from_arrays([pa.array(query_ids[query]), pa.array(point), pa.array(score)], ["query", "point", "score"])
+
+
+def best_pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, id, score): each query's scores of rank up to ``k``, and of equal scores the ``k`` smallest ids."""
+    query, point, score = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((point, -score, query))
+    query, point, score = query[order], point[order], score[order]
+    if not len(query):
+        return query, point, score
+    changed = lambda x: np.concatenate([[True], x[1:] != x[:-1]])
+    place = np.arange(len(query))
+    of_query = changed(query)
+    of_tie = of_query | changed(score)
+    other = np.cumsum(of_tie | changed(point))
+    tie = np.maximum.accumulate(np.where(of_tie, place, 0))
+    rank = tie - np.maximum.accumulate(np.where(of_query, place, 0))
+    keep = (rank < k) & (other - other[tie] < k)
+    return query[keep], point[keep], score[keep]

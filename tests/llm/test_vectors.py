@@ -45,6 +45,21 @@ def test_recall_with_relaxed_pruning():
         assert np.mean([len(want[i] & set(rows[i].tolist())) / 5 for i in range(100)]) >= least
 
 
+def test_many_different_vectors_at_one_distance(spark):
+    """The smaller ids win, however many different vectors of a shard are equally near."""
+    rng = np.random.default_rng(5)
+    signs = np.unique(rng.choice([-1.0, 1.0], size=(3000, 16)), axis=0)
+    scaled = [[2.0**i * x for x in (1, 2, 3)] for i in range(-20, 20)]
+    one_hot = np.eye(40).tolist()
+    every = [*signs.tolist(), *scaled, *one_hot]
+    rows = list(zip(rng.permutation(len(every)).tolist(), every))
+    asked = [*rows[:12], rows[len(signs) + 7], rows[-3]]
+    table, queries = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows, asked))
+    want = brute(rows, asked, 5)
+    assert found(vectors.nearest(table, queries, 5)) == want
+    assert found(vectors.nearest(table, queries, 5, shard_rows=700)) == want
+
+
 def test_awkward(spark):
     same = [1.0, 2.0, 3.0]
     rows = [(i, same) for i in range(0, 60)] + [(60, [1.0, 2.0, 3.5]), (60, [1.0, 2.0, 3.5]), (61, None), (62, []), (63, [0.0, 0.0, 0.0]),
