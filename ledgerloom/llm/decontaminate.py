@@ -3,8 +3,10 @@
 Test items are partitioned by the size of their shingle sets (powers of two).
 For a partition of size up to ``u`` a document is read in windows of ``2u``
 shingles every ``u`` shingles, so a passage lies whole in a window of similar
-size however long the document is, and containment turns into a Jaccard
-similarity of at least a third.  Window minima come from block minima that
+size however long the document is.  An item of ``u / 2`` to ``u`` shingles of which
+75 % are in the window has a Jaccard similarity of 0.18 to 0.33 with it.
+Items of at most ``SMALLEST`` shingles would be too small for any window:
+their shingles are looked up one by one, which misses none.  Window minima come from block minima that
 are merged pairwise from one partition to the next.  An item is a candidate
 when one of its ``HASHES`` minima equals that of a window; a candidate counts
 only if the document's full shingle set contains the stated share of the
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, byte_texts, pieces_of, shingle_hashes, split_words, texts
 
 CONTAINMENT = 75  # per cent of the item's shingles
-HASHES = 32  # a passage missed by every hash: below (2/3) ** 32
-SMALLEST = 8  # shingles of the smallest partition
+HASHES = 32  # every hash misses an unbroken passage of 75 %: (1 - 0.18) ** 32 = 0.2 % at worst, (2/3) ** 32 = 2e-6 at best
+SMALLEST = 8  # shingles of an item that is looked up exactly, and of a block
 BLOCK_ITEMS = 20_000
 _FILTER_BITS = 22
 
@@ -50,13 +52,14 @@ def partition_of(size: int) -> int:
 
 
 class Items:
-    """One block of items: their sets, and per partition the minima that point to them."""
+    """One block of items: their sets, the shingles of short ones and per partition the minima that point to them."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], hashes: int = HASHES):
+    def __init__(self, rows: list[tuple[int, bytes]], hashes: int = HASHES, threshold: int = CONTAINMENT):
         self.factors = hash_factors(hashes)
         words = WordHashes()
         self.ids: list[int] = []
         self.sets: list[np.ndarray] = []
+        self.single: dict[int, list[int]] = defaultdict(list)
         self.minima: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
         for item, text in rows:
             elements = np.unique(shingle_hashes(words.of(split_words(text))))
@@ -65,12 +68,21 @@ class Items:
             number = len(self.ids)
             self.ids.append(item)
             self.sets.append(elements)
+            if len(elements) <= SMALLEST:
+                # any share that counts holds one of these: the others are too few for it
+                needed = max(1, -(-threshold * len(elements) // 100))
+                for value in elements[: max(1, len(elements) - needed + 1)].tolist():
+                    self.single[value].append(number)
+                continue
             short = (elements >> np.uint64(32)).astype(np.uint32)
             with np.errstate(over="ignore"):
                 least = (short[:, None] * self.factors[None, :]).min(axis=0)
             for i, value in enumerate(least.tolist()):
                 self.minima[partition_of(len(elements))][(i, value)].append(number)
         self.levels = sorted(self.minima)
+        self.single_filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
+        for value in self.single:
+            self.single_filter[value >> (64 - _FILTER_BITS)] = True
         self.filters = {}
         for level in self.levels:
             table = np.zeros(1 << _FILTER_BITS, dtype=bool)
@@ -81,6 +93,9 @@ class Items:
     def candidates(self, shingles: np.ndarray) -> set[int]:
         """Numbers of the items whose signature meets a window of these shingles."""
         found: set[int] = set()
+        if self.single:
+            for value in set(shingles[self.single_filter[shingles >> np.uint64(64 - _FILTER_BITS)]].tolist()):
+                found.update(self.single.get(value, ()))
         if not len(shingles) or not self.levels:
             return found
         short = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -132,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: int = CONTAIN
 
 def _search(docs: DataFrame, taken, threshold: int, hashes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(taken.value, hashes)
+        items = Items(taken.value, hashes, threshold)
         words = WordHashes()
         for batch in pieces_of(batches):
             out: list[list] = [[], [], [], [], []]

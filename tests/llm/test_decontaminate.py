@@ -57,3 +57,19 @@ def test_broken_passages_in_long_documents(spark):
     assert len(want) >= 100
     got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert found(got) == want
+
+
+def test_short_items_are_never_missed(spark):
+    """Items of 1 to 8 shingles, whole or with one end changed, inside other text."""
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=5 + i % 8))) for i in range(240)]
+    rows = []
+    for i, text in items:
+        own = text.split()
+        own = own[:-1] + ["changed"] if len(own) >= 8 and i % 3 == 0 else own
+        rows.append((i, " ".join(rng.choices(vocabulary, k=40) + own + rng.choices(vocabulary, k=40))))
+    want = brute(rows, items)
+    assert len(want) == 240
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert found(got) == want
