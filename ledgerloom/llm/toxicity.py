@@ -1,11 +1,14 @@
 """Toxicity through a noisy channel.
 
 Words may be written with look-alike signs (``1d10t``), repeated letters
-(``idiooot``), signs between letters (``i.d.i.o.t``) or spaces between letters
-(``i d i o t``).  Each such word is a lattice of readings; a Viterbi search
-finds the reading with the least cost under a character language model and
-the channel's costs.  Words with a single reading are taken as they are, and
-a word is decoded once per task.
+(``idiooot``), signs between letters (``i.d.i.o.t``) or spaces inside
+(``i d i o t``, ``id iot``).  Each such word is a lattice of readings; a
+Viterbi search finds the reading with the least cost under a character
+language model and the channel's costs.  In a run of words of at most
+``SHORT`` letters every blank is kept or dropped by the same search, which
+so finds the words' boundaries; the words it joins are scored beside those
+that were written.  Words with a single reading are taken as they are, and
+words and runs are decoded once per task.  Words without a letter stay.
 
 The restored words are scored by a learnt lexicon of words and word
 beginnings: their log odds of standing in a toxic document, of which only
@@ -53,7 +56,7 @@ LOOK_ALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e",
 }
 SEPARATORS = ".-_*~'"
-SPACED = re.compile(rb"(?<!\S)[a-z0-9@$!|+(](?:[ .\-_*]+[a-z0-9@$!|+(]){3,}(?!\S)")
+SHORT = 3  # letters of a word that a blank may have been put into
 _EDGES = "\"#%&'),-./:;<=>?[\\]^_`{}~*"
 
 
@@ -63,9 +66,21 @@ class CharacterModel:
     def __init__(self, symbols: np.ndarray, base: int, codes: np.ndarray, n: np.ndarray):
         self.symbols, self.base = symbols, base
         self.bits = code_lengths(codes, n, base, ORDER).astype(np.float64) * UNIT
+        self.known = Cache(self._cost)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.known = Cache(self._cost)
 
     def cost(self, state: int, character: str) -> tuple[int, float]:
         """The state after a character and its cost; a state is the last two symbols."""
+        return self.known[state, character]
+
+    def _cost(self, key: tuple[int, str]) -> tuple[int, float]:
+        state, character = key
         total = 0.0
         for byte in character.encode():
             symbol = int(self.symbols[byte])
@@ -87,13 +102,15 @@ def train_characters(docs: DataFrame) -> CharacterModel:
 def readings(word: str) -> list[list[tuple[str, float]]]:
     """The lattice: for each place the readings (text, cost)."""
     out: list[list[tuple[str, float]]] = []
-    i, spelled = 0, len(word) > 4 and all(not c.isalpha() for c in word[1::2]) and any(c in SEPARATORS for c in word[1::2])
+    i, spelled = 0, len(word) > 4 and " " not in word and all(not c.isalpha() for c in word[1::2]) and any(c in SEPARATORS for c in word[1::2])
     while i < len(word):
         c, end = word[i], i + 1
         while end < len(word) and word[end] == c:
             end += 1
         run = end - i
-        if c in LOOK_ALIKES:
+        if c == " ":
+            once = [(" ", 0.0), ("", DROP_BITS)]
+        elif c in LOOK_ALIKES:
             once = [(letter, CHANGE_BITS) for letter in LOOK_ALIKES[c]] + [(c, LITERAL_BITS)]
         elif c in SEPARATORS:
             once = [("", DROP_BITS)] + ([] if spelled else [(c, 0.0)])
@@ -108,21 +125,31 @@ def readings(word: str) -> list[list[tuple[str, float]]]:
 
 def decode(word: str, model: CharacterModel) -> str:
     """The cheapest reading."""
-    paths: dict[int, tuple[float, str, str]] = {_START: (0.0, "", "")}
+    paths: dict[int, tuple[float, tuple]] = {_START: (0.0, ())}  # a text is a chain of its last piece and what was before
     for options in readings(word):
-        after: dict[int, tuple[float, str, str]] = {}
-        for state, (bits, text, last) in paths.items():
+        after: dict[int, tuple[float, tuple]] = {}
+        for state, (bits, text) in paths.items():
             for piece, channel in options:
                 then, own = model.cost(state, piece) if piece else (state, 0.0)
                 total = bits + channel + own
                 if then not in after or total < after[then][0]:
-                    after[then] = (total, text + piece, piece or last)
+                    after[then] = (total, (text, piece) if piece else text)
         paths = after
-    return min((bits + model.cost(state, " ")[1], text) for state, (bits, text, _) in paths.items())[1]
+
+    def spelled_out(text: tuple) -> str:
+        out = []
+        while text:
+            text, piece = text
+            out.append(piece)
+        return "".join(reversed(out))
+
+    return min((bits + model.cost(state, " ")[1], spelled_out(text)) for state, (bits, text) in paths.items())[1]
 
 
 _PLAIN = re.compile(r"[^\W\d_]+")
 _THRICE = re.compile(r"(.)\1\1")
+_TWICE = re.compile(r"(.)\1")
+_LONGER = re.compile(r"(.)\1{3,}")
 
 
 def trimmed(word: str) -> str:
@@ -137,9 +164,35 @@ def restored(word: bytes, model: CharacterModel) -> str:
     text = trimmed(word.decode(errors="replace").lower())
     if _PLAIN.fullmatch(text) and not _THRICE.search(text):
         return text
-    if len(text) > 48 or not any(c.isalpha() for c in text):
-        return text  # keys, numbers, addresses: no words
-    return decode(text, model)
+    if not any(c.isalpha() for c in text):
+        return text  # numbers
+    return decode(_LONGER.sub(r"\1\1\1", text), model)
+
+
+def short_word(word: bytes) -> str | None:
+    """A word that may be part of another, without signs at its edges; None for longer words."""
+    if len(word) > 16:
+        return None
+    text = trimmed(word.decode(errors="replace").lower()) or word.decode(errors="replace").lower().strip("".join(set(_EDGES) - set(LOOK_ALIKES)))
+    return text if len(text) <= SHORT else None
+
+
+def short_runs(words: list[bytes], short: dict[bytes, str | None]) -> set[str]:
+    """Runs of at least two short words that hold a letter, with single blanks."""
+    out: set[str] = set()
+    run: list[str] = []
+    for word in words:
+        text = short[word]
+        if text is not None:
+            if text:
+                run.append(text)
+            continue
+        if len(run) > 1:
+            out.add(" ".join(run))
+        run = []
+    if len(run) > 1:
+        out.add(" ".join(run))
+    return {r for r in out if any(map(str.isalpha, r))}
 
 
 def word_features(word: str) -> list[str]:
@@ -164,16 +217,49 @@ class Cache(dict):
 class Scorer:
     def __init__(self, characters: CharacterModel, lexicon: dict[str, float], weights: np.ndarray):
         self.characters, self.lexicon, self.weights = characters, lexicon, weights
+        self._start()
+
+    def _start(self) -> None:
+        self.short, self.runs = Cache(short_word), Cache(self.joined)
+        self.longest = max(map(len, self.lexicon), default=0)
+
+    def __getstate__(self):
+        return {"characters": self.characters, "lexicon": self.lexicon, "weights": self.weights}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._start()
+
+    def may_tell(self, words: list[str]) -> bool:
+        """Whether a reading of the run can have a weight: sure for plain words, whose only other readings are joined ones."""
+        if not all(_PLAIN.fullmatch(w) and not _TWICE.search(w) for w in words):
+            return True
+        for i, text in enumerate(words):
+            for more in words[i + 1 :]:
+                text += more
+                if any(f in self.lexicon for f in word_features(text)):
+                    return True
+                if len(text) >= self.longest:
+                    break
+        return False
+
+    def joined(self, run: str) -> list[float]:
+        """Weights of the words that are in the decoded run but not in the written one."""
+        if not self.may_tell(run.split(" ")):
+            return []
+        words = set(decode(_LONGER.sub(r"\1\1\1", run), self.characters).split(" ")) - set(run.split(" "))
+        return [max((self.lexicon.get(f, 0.0) for f in word_features(w)), default=0.0) for w in words if w]
 
     def weight(self, word: bytes) -> float:
         """The strongest feature of the restored word."""
         return max((self.lexicon.get(f, 0.0) for f in word_features(restored(word, self.characters))), default=0.0)
 
     def evidence(self, text: bytes | None, known: Cache) -> np.ndarray:
-        words = set(split_words(text))
+        written = split_words(text)
+        words = set(written)
         found = [known[w] for w in words]
-        if text and sum(len(w) == 1 for w in words) >= 3:
-            found += [self.weight(re.sub(rb"[ .\-_*]+", b"", s)) for s in set(SPACED.findall(text.lower()))]
+        for run in short_runs(written, self.short):
+            found += self.runs[run] if len(run) < 200 else self.joined(run)
         telling = sorted((w for w in found if w > 0), reverse=True)
         strongest, total = (telling[0], sum(telling)) if telling else (0.0, 0.0)
         return np.array([1.0, strongest, np.log1p(len(telling)), np.log1p(total), total / np.sqrt(len(words) + 1.0)])

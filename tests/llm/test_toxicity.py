@@ -66,3 +66,30 @@ def test_awkward(spark):
     none = toxicity.train(frame, labels.limit(0))
     assert {r.score for r in toxicity.score_toxicity(frame, none).collect()} == {0.5}
     assert toxicity.score_toxicity(empty(spark), toxicity.train(empty(spark), labels)).collect() == []
+
+
+@pytest.mark.parametrize("text, word", [
+    ("you are such a s t u p i d", "stupid"), ("y o u i d i o t", "idiot"), ("id iot", "idiot"), ("i. d. i. o. t.", "idiot"),
+    ("what p o o p here", "poop"), ("s\tt\nu p i d", "stupid"), ("mon ami d é b i l e", "débile"), ("1 d 1 0 t", "idiot"),
+    ("idi" + "o" * 90 + "t", "idiot"),
+])
+def test_blanks_inside_words(spark, text, word):
+    rows = ["you idiot such a stupid you are a poop here and débile mon ami what an idiot"] * 5
+    model = toxicity.train_characters(spark.createDataFrame([(r,) for r in rows], "text string"))
+    scorer = toxicity.Scorer(model, {"=" + word: 3.0}, toxicity.np.ones(5))
+    assert scorer.evidence(text.encode(), toxicity.Cache(scorer.weight))[1] == 3.0
+
+
+def test_runs_passed_over_have_no_weight(spark):
+    import random
+
+    rng = random.Random(2)
+    scorer = toxicity.Scorer(english(spark), {"=idiot": 3.0, "^moro": 2.0, "=trash": 1.0}, toxicity.np.ones(5))
+    told = 0
+    for _ in range(300):
+        run = " ".join(rng.choices(["i", "d", "id", "iot", "mo", "ron", "r", "o", "the", "tra", "sh", "a", "1d", "of"], k=rng.randrange(2, 7)))
+        words = set(toxicity.decode(run, scorer.characters).split(" ")) - set(run.split(" "))
+        whole = [max((scorer.lexicon.get(f, 0.0) for f in toxicity.word_features(w)), default=0.0) for w in words if w]
+        assert sum(scorer.joined(run)) == sum(whole)
+        told += sum(whole) > 0
+    assert told
