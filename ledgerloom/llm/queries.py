@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, lines, near, packing, quality, tokens, toxicity, vectors
+from ..session import scratch_root
+from . import (
+    decontaminate, language, licenses, lines, near, packing, periodic, phrases, quality, tokens, toxicity, vectors, warc,
+)
 from .common import crc_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +137,78 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def planted_places(doc: int | None, n: int) -> np.ndarray | None:
+    """One document in ten repeats a stretch of its words up to its end."""
+    mark, rest = divmod(zlib.crc32(str(doc).encode()), 10)[::-1]
+    if doc is None or mark:
+        return None
+    begin = rest % n
+    period = 1 + (n - begin) // (3 + rest % 8)
+    places = np.arange(n)
+    return np.where(places < begin, places, begin + (places - begin) % period)
+
+
+@registered
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Maximal periodic runs of words of every document, and its text without repetitions."""
+    found = periodic.find_runs(table(spark, folder, "documents"), planted_places)
+    # longest first, then smallest start, then period
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines_ = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat(F.array_join(lines_, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.s").alias("start"), (-F.col("longest.l")).alias("length"),
+        F.col("longest.p").alias("period"), F.expr("1000 * -longest.l div longest.p").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+@registered
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as WARC records, equal payloads as revisits, and read back."""
+    path = f"{scratch_root(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return warc.round_trip(table(spark, folder, "pages"), path)
+
+
+ORACLES["op12_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS keeper FROM p),
+r AS (SELECT *, keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper AS revisit FROM m)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit THEN keeper END AS refers_to FROM r
+"""
+
+
+@registered
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """Each language's 2000 firmest phrases of 2 to 5 words."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op13_collocations"] = """
+WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+s AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM s),
+n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, list_slice(words, i, i + k - 1) AS words
+      FROM w, unnest(range(1, 6)) AS kk(k), unnest(range(1, len(words) - k + 2)) AS ii(i)),
+f AS (SELECT lang, k, array_to_string(words, ' ') AS phrase, any_value(words) AS words, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+u AS (SELECT lang, array_to_string(list_slice(words, j, j + k - 2), ' ') AS phrase, max(f) AS longer
+      FROM f, unnest([1, 2]) AS jj(j) WHERE k >= 3 GROUP BY ALL),
+c AS (SELECT f.* FROM f LEFT JOIN u ON f.lang = u.lang AND f.phrase = u.phrase WHERE f.k >= 2 AND coalesce(100 * u.longer < 100 * f.f, true)),
+x AS (SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n.n, j,
+             CAST((1000::HUGEINT * c.f * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+      FROM c, unnest(range(1, c.k)) AS jj(j), f AS l, f AS r, n
+      WHERE l.lang = c.lang AND r.lang = c.lang AND n.lang = c.lang AND l.phrase = array_to_string(list_slice(c.words, 1, j), ' ')
+        AND r.phrase = array_to_string(list_slice(c.words, j + 1, c.k), ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
+
+
 @registered
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus pipeline over all documents."""
