@@ -7,12 +7,12 @@ those into words between spaces and tabs.
    128-bit word hashes.  Prefix polynomials of their upper halves give the
    fingerprint of every n-gram by one subtraction and one multiplication; a
    second polynomial over the lower halves gives an independent check value.
-2. *Counts* in three scans.  Words, then pairs of frequent words: only
-   ``(fingerprint, count)`` of a batch's different n-grams is shuffled.  The
-   third scan counts words, pairs and all longer n-grams whose pairs are all
-   frequent, with check values and a pointer to an occurrence.  What is
-   frequent reaches the tasks as a ``Sieve``, a bit map of at most 32 MB; a
-   false positive costs a row, never a result.
+2. *Counts* in four scans.  Words, then pairs of frequent words, then triples
+   of frequent pairs: only ``(fingerprint, count)`` of a batch's different
+   n-grams is shuffled.  The last scan counts these and all longer n-grams
+   whose triples are all frequent, with check values and a pointer to an
+   occurrence.  What is frequent reaches the tasks as a ``Sieve``, a bit map of
+   at most 32 MB; a false positive costs a row, never a result.
 3. *Text*: only fingerprints that are frequent are looked up, through their
    pointers; both hashes of the text found there must agree.  Fingerprints
    whose check values differ among their occurrences (a collision), or whose
@@ -39,6 +39,8 @@ from pyspark.sql.window import Window
 from .common import byte_texts, mix, pieces_of, written
 
 LONGEST = 5
+#: So many words have a scan of their own that only counts.
+SIEVED = 3
 LEAST = 100
 TOP = 2000
 UNKNOWN = "und"
@@ -193,22 +195,26 @@ def _frequent_keys(counts: DataFrame, least: int) -> DataFrame:
     return counts.groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= least).select("key")
 
 
-def word_counts(docs: DataFrame, width: int) -> DataFrame:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, grams in grams_of(batches, width):
-            yield _counted(grams.values(np.arange(len(grams)), 1))
+def extended(grams: Grams, places: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n-grams whose two parts of ``n - 1`` words begin at ``places``."""
+    if n == 1:
+        return np.arange(len(grams))
+    there = np.zeros(len(grams) + 1, dtype=bool)
+    there[places] = True
+    return places[there[places + 1] & (grams.left[places] >= n)]
 
-    return docs.mapInArrow(scan, "key long, count long")
 
-
-def pair_counts(docs: DataFrame, words, width: int) -> DataFrame:
-    """Counts of the pairs of words that both pass the sieve."""
+def level_counts(docs: DataFrame, sieves: list, width: int) -> DataFrame:
+    """Counts of the n-grams one word longer than the last sieve's whose parts pass it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, grams in grams_of(batches, width):
-            frequent = words.value.holds(grams.values(np.arange(len(grams)), 1))
-            places = np.flatnonzero(frequent[:-1] & frequent[1:] & (grams.left[:-1] >= 2))
-            yield _counted(grams.values(places, 2))
+            places = np.empty(0, dtype=np.int64)
+            for n, sieve in enumerate(sieves, 1):
+                places = extended(grams, places, n)
+                places = places[sieve.value.holds(grams.values(places, n))]
+            n = len(sieves) + 1
+            yield _counted(grams.values(extended(grams, places, n), n))
 
     return docs.mapInArrow(scan, "key long, count long")
 
@@ -216,27 +222,21 @@ def pair_counts(docs: DataFrame, words, width: int) -> DataFrame:
 COUNTED = "key long, n int, count long, low long, high long, doc_id long, start long"
 
 
-def phrase_counts(docs: DataFrame, words, pairs, longest: int, width: int) -> DataFrame:
-    """Counts with check values and pointers: words and pairs that pass the sieves, longer n-grams of such pairs.
+def phrase_counts(docs: DataFrame, sieves: list, longest: int, width: int) -> DataFrame:
+    """Counts with check values and pointers: n-grams that pass the sieves, and longer ones all of whose parts do.
 
     The n-gram of no words stands for the language: its count is that of all words.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, grams in grams_of(batches, width):
-            total = len(grams)
-            yield _checked(grams, np.zeros(1, dtype=np.int64), 0, np.array([total]))
-            frequent = words.value.holds(grams.values(np.arange(total), 1))
-            yield _checked(grams, np.flatnonzero(frequent), 1)
-            places = np.flatnonzero(frequent[:-1] & frequent[1:] & (grams.left[:-1] >= 2))
-            places = places[pairs.value.holds(grams.values(places, 2))]
-            linked = np.zeros(total + longest, dtype=bool)
-            linked[places] = True
-            for n in range(2, longest + 1):
-                if not len(places):
-                    break
+            yield _checked(grams, np.zeros(1, dtype=np.int64), 0, np.array([len(grams)]))
+            places = np.empty(0, dtype=np.int64)
+            for n in range(1, longest + 1):
+                places = extended(grams, places, n)
+                if n <= len(sieves):
+                    places = places[sieves[n - 1].value.holds(grams.values(places, n))]
                 yield _checked(grams, places, n)
-                places = places[linked[places + n - 1]]  # all pairs so far are frequent, and so is the next
 
     return docs.mapInArrow(scan, COUNTED)
 
@@ -334,12 +334,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """
     spark, docs = docs.sparkSession, slim(docs)
 
-    def sieve_of(counts: DataFrame, name: str):
-        return spark.sparkContext.broadcast(Sieve.of(written(_frequent_keys(counts, least), name), "key"))
-
-    words = sieve_of(word_counts(docs, width), "words")
-    pairs = sieve_of(pair_counts(docs, words, width), "pairs")
-    counted = phrase_counts(docs, words, pairs, longest, width).groupBy("key").agg(
+    sieves: list = []
+    for n in range(1, min(SIEVED, longest) + 1):
+        keys = written(_frequent_keys(level_counts(docs, sieves, width), least), f"frequent-{n}")
+        sieves.append(spark.sparkContext.broadcast(Sieve.of(keys, "key")))
+    counted = phrase_counts(docs, sieves, longest, width).groupBy("key").agg(
         F.min("n").alias("n"), F.sum("count").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"),
         F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start"),
     )
