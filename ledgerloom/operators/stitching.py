@@ -4,13 +4,15 @@ Whether a table continues a run depends on the *first* table of that run (its
 page and its headers), so runs are a sequential fold along the document.  The
 fold is cut into blocks of at most ``width`` nodes:
 
-1. every block is folded on its own from each distinct table signature that
-   can be its first new head, giving where that fold ends;
-2. these short summaries are chained along the document, giving the head that
-   enters each block;
-3. every block is folded once more from its entering head.
-
-Blocks run in parallel; no task sees a whole document, only its summaries.
+1. every block becomes a map from the head that enters it to the head that
+   leaves it: a short list of *breaks* (see ``breaks``) with the head that the
+   block ends with when the entering head is first broken there;
+2. maps of neighbouring blocks are composed pairwise, level by level;
+3. entering heads are passed down again through the levels;
+4. every block is folded once more from its entering head.
+
+A task composes two maps at a time, whatever the length of the document.
+Documents of one block skip steps 1 to 3.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import types as T
 from ..fixed_values import WEAK_TEXT_LENGTH
 from ..functions.hof import strip
 from ..functions.tables import TABLE_TYPE, fit_rows, header_keys, header_key, normalize_table, table_notation, table_struct
+from ..session import cut_lineage
 from .segmented import carry_last, running_total
 
 BLOCK = 4096
@@ -79,81 +82,205 @@ def _signatures(rows) -> list[tuple]:
     ]
 
 
-def _fold(positions, signatures, head, continues) -> tuple[list, tuple | None]:
-    """Head position of every table, and the last head ``(position, signature)``."""
+def _fold(positions, signatures, head, continues) -> list:
+    """Head position of every table."""
     out = []
     for at, sig in zip(positions, signatures):
         if head is None or not continues(head[1], sig):
             head = (at, sig)
         out.append(head[0])
-    return out, head
+    return out
+
+
+def breaks(tables: list[tuple], mode: str) -> list[int]:
+    """Places among ``(position, signature, …)`` where an entering head can be broken first.
+
+    A repeated signature breaks no head that its first occurrence let pass.
+    Another separator count, or a table that cannot be joined, breaks every
+    head, so the list ends there.  In page mode so does another page.  Heads of
+    a known page pass no table two pages away from the first: from there on
+    only heads without a page matter, and for those a table's page does not.
+    """
+    out: list[int] = []
+    seen: set = set()
+    paged: int | None = None
+    known = True
+    for i, (_, (page, sep, usable, headers), *_) in enumerate(tables):
+        if not out:
+            first_page, first_sep = page, sep
+        if sep != first_sep or (mode == "page" and page != first_page) or (mode == "assembly" and not usable):
+            out.append(i)
+            break
+        if mode == "page":
+            if not out:
+                out.append(i)
+            continue
+        new = {("any", frozenset(headers))}
+        if known:
+            new.add((page, frozenset(headers)))
+            if page > 0:
+                paged = page if paged is None else paged
+                known = abs(page - paged) < 2
+        if not new <= seen:
+            seen |= new
+            out.append(i)
+    return out
+
+
+def block_map(positions: list[int], signatures: list[tuple], mode: str) -> list[tuple]:
+    """The block's map: ``(position, signature, leaving position, leaving signature)`` for each break."""
+    continues = MODES[mode]
+    leaving: dict[int, int] = {}
+
+    def last_head(i: int) -> int:
+        chain = []
+        while i not in leaving:
+            chain.append(i)
+            j = i + 1
+            while j < len(signatures) and continues(signatures[i], signatures[j]):
+                j += 1
+            if j == len(signatures):
+                leaving[i] = i
+            i = j if j < len(signatures) else i
+        for c in chain:
+            leaving[c] = leaving[i]
+        return leaving[i]
+
+    tables = list(zip(positions, signatures))
+    return [(*tables[i], *tables[last_head(i)]) for i in breaks(tables, mode)]
+
+
+def left_by(map_: list[tuple], head: tuple | None, mode: str) -> tuple | None:
+    """The head ``(position, signature)`` that leaves a block (or several) when ``head`` enters."""
+    for _, signature, at, leaving in map_:
+        if head is None or not MODES[mode](head[1], signature):
+            return at, leaving
+    return head
+
+
+def composed(left: list[tuple], right: list[tuple], mode: str) -> list[tuple]:
+    """The map of two neighbouring stretches."""
+    if not left or not right:
+        return left or right
+    ends: dict[tuple, tuple] = {}
+    rows = []
+    for at, signature, *exit_ in left:
+        key = tuple(exit_)
+        if key not in ends:
+            ends[key] = left_by(right, key, mode)
+        rows.append((at, signature, *ends[key]))
+    rows += right
+    return [rows[i] for i in breaks(rows, mode)]
+
+
+def _map_type(key_types: list) -> T.StructType:
+    signature = T.StructType.fromDDL(_SIG).fields
+    return T.StructType([
+        *key_types, T.StructField("node", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("at", T.LongType()),
+        *signature, T.StructField("exit_at", T.LongType()), *[T.StructField(f"exit_{f.name}", f.dataType) for f in signature],
+    ])
+
+
+def _map_rows(head: list, node: int, map_: list[tuple]) -> list[list]:
+    """Rows of a map; place -1 is left for entering heads."""
+    return [[*head, node, i, at, *sig[:3], list(sig[3]), to, *end[:3], list(end[3])] for i, (at, sig, to, end) in enumerate(map_)]
+
+
+def _map_of(rows: list) -> list[tuple]:
+    def head(r, prefix):
+        page, sep, usable, headers = (r[prefix + f] for f in ("page", "sep", "usable", "headers"))
+        return int(r[prefix + "at"]), (int(page), int(sep), bool(usable), tuple(headers))
+
+    return [(*head(r, ""), *head(r, "exit_")) for r in sorted(rows, key=lambda r: r["place"])]
+
+
+def entering_heads(maps: DataFrame, keys: list[str], levels: int, mode: str) -> DataFrame:
+    """Per block with an entering head a row of the map's type whose exit is that head.
+
+    ``maps``: the blocks' maps, ``node`` is the block's number, below ``2 ** levels``.
+    """
+    kind = maps.schema
+    names = kind.fieldNames()
+    rest = [c for c in names if c not in keys]
+
+    def paired(level: DataFrame, work) -> DataFrame:
+        """``work(keys, rows of two nodes)`` gives rows; a record holds the maps of two neighbours."""
+        pairs = level.groupBy(*keys, "_parent").agg(F.collect_list(F.struct(*rest)).alias("rows"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = [row for rec in batch.to_dict("records") for row in work([rec[k] for k in keys], list(rec["rows"]))]
+                yield pd.DataFrame(out, columns=names)
+
+        return cut_lineage(pairs.mapInPandas(run, kind))
+
+    def compose(head: list, rows: list) -> list[list]:
+        sides = [_map_of([r for r in rows if r["node"] % 2 == side]) for side in (0, 1)]
+        return _map_rows(head, int(rows[0]["node"]) // 2, composed(*sides, mode))
+
+    def hand_down(head: list, rows: list) -> list[list]:
+        given = [r for r in rows if r["place"] < 0]
+        entering = _map_of(given)[0][2:] if given else None
+        out = []
+        for node in sorted({r["node"] for r in rows if r["place"] >= 0}):
+            if entering is not None:
+                at, sig = entering
+                out.append([*head, int(node), -1, at, *sig[:3], list(sig[3]), at, *sig[:3], list(sig[3])])
+            entering = left_by(_map_of([r for r in rows if r["node"] == node and r["place"] >= 0]), entering, mode)
+        return out
+
+    up = [cut_lineage(maps)]
+    for _ in range(levels - 1):
+        up.append(paired(up[-1].withColumn("_parent", F.shiftright("node", 1)), compose))
+    entering = None
+    for level in reversed(up):
+        below = level.withColumn("_parent", F.shiftright("node", 1))
+        if entering is not None:
+            below = below.unionByName(entering.withColumn("_parent", F.col("node")))
+        entering = paired(below, hand_down)
+    return entering
 
 
 def table_heads(tables: DataFrame, keys: list[str], position: str = "ord", mode: str = "assembly", width: int = BLOCK) -> DataFrame:
     """(keys, position, head): the first table of the run each table belongs to."""
-    continues = MODES[mode]
     key_types = [T.StructField(k, tables.schema[k].dataType) for k in keys]
-    sig_fields = T.StructType.fromDDL(_SIG).fields
     block = F.floor(F.col(position) / width).alias("block")
     row = F.struct(
         F.col(position).cast("long").alias("at"), F.coalesce("page", F.lit(0)).cast("int").alias("page"),
-        F.col("sep").cast("long").alias("sep"), "usable", F.col("header_keys").alias("headers"),
+        F.col("sep").cast("long").alias("sep"), F.coalesce("usable", F.lit(False)).alias("usable"), F.col("header_keys").alias("headers"),
     )
     blocks = tables.groupBy(*keys, block).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-
-    several = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    long_blocks = blocks.join(several, keys, "left_semi")
-    summary_type = T.StructType(
-        [*key_types, T.StructField("block", T.LongType()), T.StructField("at", T.LongType()), *sig_fields,
-         T.StructField("exit_at", T.LongType()),
-         *[T.StructField(f"exit_{f.name}", f.dataType) for f in sig_fields]]
-    )
-
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for rec in batch.to_dict("records"):
-                positions = [int(r["at"]) for r in rec["rows"]]
-                sigs = _signatures(rec["rows"])
-                seen = set()
-                for i, sig in enumerate(sigs):
-                    if sig in seen:
-                        continue
-                    seen.add(sig)
-                    _, last = _fold(positions[i:], sigs[i:], None, continues)
-                    found.append([*[rec[k] for k in keys], rec["block"], positions[i], *sig[:3], list(sig[3]),
-                                  last[0], *last[1][:3], list(last[1][3])])
-            yield pd.DataFrame(found, columns=summary_type.fieldNames())
-
-    entry_type = T.StructType([*key_types, T.StructField("block", T.LongType()), T.StructField("head_at", T.LongType()),
-                               *[T.StructField(f"head_{f.name}", f.dataType) for f in sig_fields]])
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        head, out = None, []
-        for number, part in group.sort_values(["block", "at"]).groupby("block"):
-            if head is not None:
-                out.append([*[group[k].iloc[0] for k in keys], number, head[0], *head[1][:3], list(head[1][3])])
-            for r in part.to_dict("records"):
-                sig = (r["page"], r["sep"], r["usable"], tuple(r["headers"]))
-                if head is None or not continues(head[1], sig):
-                    head = (r["exit_at"], (r["exit_page"], r["exit_sep"], r["exit_usable"], tuple(r["exit_headers"])))
-                    break
-        return pd.DataFrame(out, columns=entry_type.fieldNames())
-
-    summaries = long_blocks.mapInPandas(summarise, summary_type)
-    entering = summaries.groupBy(*keys).applyInPandas(chain, entry_type)
-    entered = blocks.join(entering, [*keys, "block"], "left")
     out_type = T.StructType([*key_types, T.StructField(position, T.LongType()), T.StructField("head", T.LongType())])
+    # one number: how many levels the longest document needs
+    last = tables.agg(F.max(F.floor(F.col(position) / width))).first()[0]
+    levels = int(last or 0).bit_length()
+    entered = blocks.withColumn("entering", F.lit(None).cast(T.StructType.fromDDL(f"at bigint, {_SIG}")))
+    if levels:
+        blocks = cut_lineage(blocks)
+        several = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        kind = _map_type(key_types)
+
+        def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for rec in batch.to_dict("records"):
+                    map_ = block_map([int(r["at"]) for r in rec["rows"]], _signatures(rec["rows"]), mode)
+                    out += _map_rows([rec[k] for k in keys], int(rec["block"]), map_)
+                yield pd.DataFrame(out, columns=kind.fieldNames())
+
+        maps = blocks.join(several, keys, "left_semi").mapInPandas(summarise, kind)
+        head = F.struct(F.col("exit_at").alias("at"), *[F.col(f"exit_{f.name}").alias(f.name) for f in T.StructType.fromDDL(_SIG)])
+        entering = entering_heads(maps, keys, levels, mode).select(*keys, F.col("node").alias("block"), head.alias("entering"))
+        entered = blocks.join(entering, [*keys, "block"], "left")
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             columns: dict[str, list] = {f: [] for f in out_type.fieldNames()}
             for rec in batch.to_dict("records"):
                 positions = [int(r["at"]) for r in rec["rows"]]
-                head = None
-                if not pd.isna(rec["head_at"]):
-                    head = (int(rec["head_at"]), (int(rec["head_page"]), int(rec["head_sep"]), bool(rec["head_usable"]), tuple(rec["head_headers"])))
-                heads, _ = _fold(positions, _signatures(rec["rows"]), head, continues)
+                given = rec["entering"]
+                head = (int(given["at"]), _signatures([given])[0]) if given is not None else None
+                heads = _fold(positions, _signatures(rec["rows"]), head, MODES[mode])
                 for k in keys:
                     columns[k] += [rec[k]] * len(positions)
                 columns[position] += positions

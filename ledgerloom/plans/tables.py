@@ -186,6 +186,27 @@ def stitched_rows(src, n):
     return rows.select("d", "head", "part", F.array_join("values", "|").alias("cells"))
 
 
+def _narrow(mode):
+    def build(src, n):
+        tables = S.parsed_tables(n, ["d"], skip_weak=mode == "assembly")
+        return S.table_heads(tables, ["d"], mode=mode, width=8).select("d", "head", "ord")
+
+    return build
+
+
+# the same fold in blocks of eight nodes, composed in levels
+query(
+    "table_stitch_narrow",
+    "WITH RECURSIVE " + _WALK.format(ok="hs = t.sep AND t.page IN (hp, hp + 1) AND hn = t.name") + " SELECT d, head, ord FROM w",
+    n=NODES,
+)(_narrow("assembly"))
+query(
+    "page_table_merge_narrow",
+    "WITH RECURSIVE " + _WALK.format(ok="hg = t.gap AND t.page = hp + 1") + " SELECT d, head, ord FROM w",
+    n=NODES,
+)(_narrow("page"))
+
+
 CARRIED = """SELECT l_orderkey AS d, l_partkey * 8 + l_linenumber AS i, CASE WHEN l_partkey % 3 = 0 THEN 'in millions' WHEN l_partkey % 7 = 0 THEN 'in thousands' END AS scale,
   CASE WHEN min(l_suppkey) % 4 = 0 THEN 'h' || CAST(min(l_suppkey) AS STRING) END AS headers FROM {lineitem} GROUP BY l_orderkey, l_partkey, l_linenumber"""
 

@@ -58,7 +58,7 @@ def stitch_reference(nodes):
     return heads
 
 
-@pytest.mark.parametrize("width", [4, 4096])
+@pytest.mark.parametrize("width", [1, 4, 4096])
 def test_stitching_in_blocks(spark, width):
     rng, nodes = random.Random(8), []
     for d in range(12):
@@ -80,6 +80,49 @@ def test_stitching_in_blocks(spark, width):
     assert merged.agg(F.sum(F.size("table.rows"))).first()[0] == len(got)
 
 
+def random_tables(rng, n):
+    """Signatures (page, separators, usable, headers) of a document's tables in order."""
+    out, page, sep = [], 1, 0
+    for _ in range(n):
+        page += rng.choice([0, 0, 0, 1, 1, 3, -1])
+        sep += rng.random() < 0.06
+        headers = rng.choice(["abc", "abd", "abce", "ab", "xy", "abcdefgh", "abcdefgi"])
+        out.append((rng.choice([page, page, page, 0]), sep, rng.random() < 0.97, tuple(headers)))
+    return out
+
+
+@pytest.mark.parametrize("mode", ["assembly", "page"])
+def test_composed_maps(mode):
+    """Maps of blocks, composed in any grouping, lead every entering head where the plain fold leads it."""
+    rng = random.Random(11)
+    continues = stitching.MODES[mode]
+    for _ in range(400):
+        n = rng.randint(1, 40)
+        tables = random_tables(rng, n)
+        cut = rng.randint(0, n)
+        parts = [(range(0, cut), tables[:cut]), (range(cut, n), tables[cut:])]
+        left, right = (stitching.block_map(list(p), t, mode) for p, t in parts)
+        both = stitching.composed(left, right, mode)
+        heads = [None] + [(-1, (p, s, u, h)) for p, s, u, h in random_tables(rng, 12)] + [(-1, tables[0]), (-1, (0, *tables[0][1:]))]
+        for head in heads:
+            end = head
+            for at, sig in enumerate(tables):
+                if end is None or not continues(end[1], sig):
+                    end = (at, sig)
+            assert stitching.left_by(both, head, mode) == end
+            assert stitching.left_by(right, stitching.left_by(left, head, mode), mode) == end
+
+
+def test_composed_maps_stay_short():
+    """A document without separators: the map of all its blocks is no longer than two pages' tables."""
+    rng = random.Random(5)
+    tables = [(1 + i // 6, 0, True, tuple(rng.choice(["abc", "abd", "xyz"]))) for i in range(3000)]
+    maps = [stitching.block_map(list(range(i, i + 30)), tables[i : i + 30], "assembly") for i in range(0, 3000, 30)]
+    while len(maps) > 1:
+        maps = [stitching.composed(maps[i], maps[i + 1] if i + 1 < len(maps) else [], "assembly") for i in range(0, len(maps), 2)]
+        assert max(map(len, maps)) <= 12
+
+
 def reading_reference(ys, epsilon=15.0):
     lines, current = [], []
     for y in sorted(ys):
