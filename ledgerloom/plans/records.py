@@ -132,6 +132,35 @@ def upsert_rows(src):
     return latest_per_key(old.unionByName(new), ["document_id", "row_index"], ["seq"]).drop("seq")
 
 
+@query(
+    "upsert_sink",
+    """SELECT user_id AS document_id, CAST(floor(value) AS INT) % 3 AS row_index, arg_max(event_type, event_id) AS status,
+  arg_max(event_type || '!', event_id) FILTER (WHERE event_id % 5 = 0) AS note, max(event_id) AS seq
+FROM events GROUP BY ALL HAVING max(event_id) % 11 <> 0""",
+)
+def upsert_sink(src):
+    """Batches that come out of order, a fold between them, a replay, deletions: read back as the newest rows."""
+    import uuid
+
+    from ..session import scratch_root
+    from ..sources.keyed import KeyedTable
+
+    e = src.table("events").select(
+        F.col("user_id").alias("document_id"), (F.col("value").cast("int") % 3).alias("row_index"), F.col("event_type").alias("status"),
+        F.when(F.col("event_id") % 5 == 0, F.concat("event_type", F.lit("!"))).alias("note"), F.col("event_id").alias("seq"),
+        (F.col("event_id") % 11 == 0).alias("deleted"),
+    )
+    path = f"{scratch_root(src.spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    table = KeyedTable(src.spark, path, ["document_id", "row_index"], ["seq"], ["note"])
+    for number, part in enumerate((2, 0)):
+        table.upsert(e.where(F.col("seq") % 4 == part), number)
+    table.fold()
+    table.upsert(e.where("seq % 4 = 0"), 1)  # replayed
+    table.upsert(e.where("seq % 4 = 1"), 0, "other")
+    table.upsert(e.where("seq % 4 = 3"), 2)
+    return table.live()
+
+
 # --- corrections -------------------------------------------------------------
 
 EDITS = f"""

@@ -1,9 +1,4 @@
-"""Sinks: upserts on plain files, insert-ignore, fan-out, exports.
-
-Spark writes no row in place on plain files.  An upsert therefore rewrites the
-hash buckets its keys fall in and leaves the others alone; with a table format
-that supports MERGE use ``DataFrame.mergeInto`` instead.
-"""
+"""Sinks: upserts on plain files, insert-ignore, fan-out, exports."""
 
 from __future__ import annotations
 
@@ -11,11 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..session import cut_lineage
+from .keyed import KeyedTable
 
-BUCKET = "_bucket"
 BATCH = "batch_id"
-_LAYOUT = "_layout"  # a name that table reads skip
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -25,20 +18,6 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return rows.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*")
 
 
-def merged(current: DataFrame, updates: DataFrame, keys: list[str], order: list[str], keep: list[str] | None = None) -> DataFrame:
-    """Current rows with updates applied.
-
-    ``keep`` columns take the newest non-null value; all others are replaced
-    whole.
-    """
-    rows = current.unionByName(updates, allowMissingColumns=True)
-    keep = keep or []
-    at = F.struct(*order)
-    rest = [c for c in rows.columns if c not in keys and c not in keep]
-    held = [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in keep]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("_r"), *held).select(*keys, *keep, "_r.*")
-
-
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``; None only if nothing is stored there.  Any other trouble is raised."""
     try:
@@ -49,54 +28,25 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def bucket_count(spark: SparkSession, path: str, wanted: int) -> int:
-    """The number of buckets stored with the table; the first call stores it."""
-    try:
-        return int(spark.read.json(f"{path}/{_LAYOUT}", schema="buckets int").first()["buckets"])
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    if read_or_none(spark, path) is not None:
-        raise ValueError(f"{path} holds rows but no bucket count")
-    spark.range(1).select(F.lit(wanted).alias("buckets")).coalesce(1).write.json(f"{path}/{_LAYOUT}")
-    return wanted
-
-
 def upsert(
-    updates: DataFrame, path: str, keys: list[str], order: list[str], buckets: int = 64,
-    keep: list[str] | None = None, writers: int = 4,
-) -> None:
-    """Merge updates into the parquet table at ``path``, bucket by bucket.
-
-    Only buckets that hold an updated key are read and rewritten, each by up
-    to ``writers`` tasks.  ``buckets`` counts for a new table; later calls use
-    the number stored with it.  The merge is idempotent (ordered by
-    ``order``), so a repeated batch changes nothing.  A deletion is an update
-    whose ``deleted`` is true; it stays as a marker, so an older row that
-    comes late does not bring the key back.
+    updates: DataFrame, path: str, keys: list[str], order: list[str], keep: list[str] | None = None,
+    batch: int | None = None, writer: str = "main",
+) -> bool:
+    """Add a batch to the keyed table at ``path``; nothing stored is read or rewritten.
+
+    With a stream's ``batch`` number a replay writes nothing (False).
     """
-    spark = updates.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(bucket_count(spark, path, buckets))).cast("int")
-    new = updates.withColumn(BUCKET, bucket)
-    current = read_or_none(spark, path)
-    if current is None:
-        rows = merged(new.limit(0), new, [*keys, BUCKET], order, keep)
-    else:
-        touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
-        rows = cut_lineage(merged(current.where(F.col(BUCKET).isin(touched)), new, [*keys, BUCKET], order, keep))
-    dealt = rows.repartition(BUCKET, F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(writers)))
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return KeyedTable(updates.sparkSession, path, keys, order, keep).upsert(updates, batch, writer)
 
 
 def read_live(spark: SparkSession, path: str) -> DataFrame:
     """Rows of an upserted table without deletion markers."""
-    rows = spark.read.parquet(path).drop(BUCKET)
-    return rows.where(~F.coalesce("deleted", F.lit(False))).drop("deleted") if "deleted" in rows.columns else rows
+    return KeyedTable(spark, path).live()
 
 
-def upsert_rows(rows: DataFrame, path: str, order: list[str], buckets: int = 64) -> None:
+def upsert_rows(rows: DataFrame, path: str, order: list[str], batch: int | None = None) -> bool:
     """Stored rows by (document, node, row index); every other column is replaced."""
-    upsert(rows, path, ["document_id", "node_id", "row_index"], order, buckets)
+    return upsert(rows, path, ["document_id", "node_id", "row_index"], order, batch=batch)
 
 
 def update_by_id(current: DataFrame, updates: DataFrame) -> DataFrame:
@@ -141,17 +91,16 @@ def export_goldens(goldens: DataFrame, path: str) -> None:
     goldens.write.mode("append").partitionBy("target_table").json(path)
 
 
-def upsert_vectors(points: DataFrame, path: str, order: list[str], buckets: int = 64) -> None:
+def upsert_vectors(points: DataFrame, path: str, order: list[str], batch: int | None = None) -> bool:
     """Vector points by id; ``deleted`` points are no longer read."""
-    upsert(points, path, ["id"], order, buckets)
+    return upsert(points, path, ["id"], order, batch=batch)
 
 
-def upsert_edges(edges: DataFrame, path: str, order: list[str], buckets: int = 64) -> None:
-    upsert(edges, path, ["tenant_id", "subject", "predicate", "object"], order, buckets)
+def upsert_edges(edges: DataFrame, path: str, order: list[str], batch: int | None = None) -> bool:
+    return upsert(edges, path, ["tenant_id", "subject", "predicate", "object"], order, batch=batch)
 
 
-def upsert_jobs(states: DataFrame, path: str, order: list[str], buckets: int = 64) -> None:
+def upsert_jobs(states: DataFrame, path: str, order: list[str], batch: int | None = None) -> bool:
     """Job states by document; file name, uri and hash keep their last known value."""
     named = states.withColumn("filename", F.when(F.col("filename") != "unknown", F.col("filename")))
-    keep = [c for c in ("filename", "s3_uri", "file_hash") if c in states.columns]
-    upsert(named, path, ["document_id"], order, buckets, keep=keep)
+    return upsert(named, path, ["document_id"], order, ["filename", "s3_uri", "file_hash"], batch)

@@ -11,7 +11,8 @@ from ..functions.ids import name_uuid
 from ..functions.text import chunk_text
 from ..operators.alignment import requeue
 from ..operators.catalog import promotable_rows
-from ..sources.sinks import append, latest_per_key, read_or_none, upsert
+from ..sources.keyed import KeyedTable
+from ..sources.sinks import append, latest_per_key
 
 
 def newest_changes(changes: DataFrame, order: list[str]) -> DataFrame:
@@ -44,29 +45,32 @@ def chunk_changes(changes: DataFrame, order: list[str], size: int = CHUNK_CHARS,
     return chunks.unionByName(gone).withColumn("id", name_uuid(F.col("document_id"), F.col("node_id")))
 
 
-def write_chunks(changes: DataFrame, path: str, order: list[str], buckets: int = 64) -> None:
+def write_chunks(changes: DataFrame, path: str, order: list[str], number: int | None = None) -> None:
     """Bring the chunk table up to date with one batch of changes.
 
     Old chunks of a changed or deleted node that are not written again are
-    removed with it.
+    removed with it.  A replayed batch writes nothing.
     """
+    table = KeyedTable(changes.sparkSession, path, ["id"], order)
+    if number is not None and not table.is_new and table.holds(number):
+        return
     rows = chunk_changes(changes, order).persist()
     try:
-        current = read_or_none(changes.sparkSession, path)
+        current = table.read()
         updates = rows
         if current is not None:
             touched = rows.select("document_id", "original_node_id", *order).distinct()
-            old = current.where("NOT deleted").drop("_bucket", *order).join(touched, ["document_id", "original_node_id"])
+            old = current.where("NOT deleted").drop(*order).join(touched, ["document_id", "original_node_id"])
             stale = old.join(rows.where("NOT deleted").select("id"), "id", "left_anti").withColumn("deleted", F.lit(True))
             updates = rows.unionByName(stale.select(*rows.columns))
-        upsert(updates, path, ["id"], order, buckets)
+        table.upsert(updates, number)
     finally:
         rows.unpersist()
 
 
 def start_chunk_sync(changes: DataFrame, path: str, checkpoint: str, order: list[str], **trigger):
     return (
-        changes.writeStream.foreachBatch(lambda batch, _: write_chunks(batch, path, order))
+        changes.writeStream.foreachBatch(lambda batch, number: write_chunks(batch, path, order, number))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
     )
 

@@ -18,11 +18,11 @@ def job_states(events: DataFrame, order: list[str]) -> DataFrame:
     return fold_jobs(events, order)
 
 
-def start_job_table(events: DataFrame, order: list[str], path: str, checkpoint: str, buckets: int = 64, **trigger):
+def start_job_table(events: DataFrame, order: list[str], path: str, checkpoint: str, **trigger):
     """Keep a job table up to date; repeated batches change nothing."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        upsert(batch, path, ["document_id"], ["updated_at"], buckets)
+    def write(batch: DataFrame, number: int) -> None:
+        upsert(batch, path, ["document_id"], ["updated_at"], batch=number)
 
     return (
         job_states(events, order).writeStream.outputMode("update").foreachBatch(write)

@@ -98,13 +98,13 @@ def test_job_stream_equals_batch(spark, folder):
     ]
     schema = "seq int, document_id string, tenant_id string, filename string, current_stage string, status string, error_message string, sql_nodes_total int, graph_nodes_total int, sql_node_completed boolean, graph_node_completed boolean"
     put(f"{folder}/in", "1", events[:2])
-    start = lambda: jobs.start_job_table(source(spark, f"{folder}/in", schema), ["seq"], f"{folder}/jobs", f"{folder}/cp", buckets=4, availableNow=True)
+    start = lambda: jobs.start_job_table(source(spark, f"{folder}/in", schema), ["seq"], f"{folder}/jobs", f"{folder}/cp", availableNow=True)
     start().awaitTermination()
-    first = {r.document_id: r.current_stage for r in spark.read.parquet(f"{folder}/jobs").collect()}
+    first = {r.document_id: r.current_stage for r in sinks.read_live(spark, f"{folder}/jobs").collect()}
     assert first == {"a": "Ingesting (SQL: 1/2, Graph: 0/0)"}
     put(f"{folder}/in", "2", events[2:])
     start().awaitTermination()
-    stored = spark.read.parquet(f"{folder}/jobs").drop("_bucket")
+    stored = sinks.read_live(spark, f"{folder}/jobs")
     batch = fold_jobs(spark.read.schema(schema).json(f"{folder}/in"), ["seq"])
     assert sorted(stored.select(batch.columns).collect()) == sorted(batch.collect())
     done = {r.document_id: r for r in stored.collect()}
@@ -237,11 +237,11 @@ def test_staging_and_forward(spark, folder):
     assert feed.count() == 1
 
 
-def test_upsert_keeps_named_fields_and_other_buckets(spark, folder):
+def test_upsert_keeps_named_fields_and_other_rows(spark, folder):
     rows = lambda data: spark.createDataFrame(data, "document_id string, filename string, status string, seq int")
-    sinks.upsert_jobs(rows([(f"d{i}", f"f{i}", "OLD", 1) for i in range(20)]), f"{folder}/j", ["seq"], buckets=8)
-    sinks.upsert_jobs(rows([("d3", "unknown", "NEW", 2), ("d99", "n", "NEW", 2)]), f"{folder}/j", ["seq"], buckets=8)
-    got = {r.document_id: (r.filename, r.status) for r in spark.read.parquet(f"{folder}/j").collect()}
+    sinks.upsert_jobs(rows([(f"d{i}", f"f{i}", "OLD", 1) for i in range(20)]), f"{folder}/j", ["seq"])
+    sinks.upsert_jobs(rows([("d3", "unknown", "NEW", 2), ("d99", "n", "NEW", 2)]), f"{folder}/j", ["seq"])
+    got = {r.document_id: (r.filename, r.status) for r in sinks.read_live(spark, f"{folder}/j").collect()}
     assert len(got) == 21 and got["d3"] == ("f3", "NEW") and got["d4"] == ("f4", "OLD") and got["d99"] == ("n", "NEW")
     keys = spark.createDataFrame([("a",), ("b",), ("a",)], "k string")
     sinks.insert_ignore(keys, f"{folder}/k", ["k"])
@@ -275,13 +275,13 @@ def test_replayed_batches_add_nothing(spark, folder):
     assert spark.read.parquet(f"{folder}/routes").count() == 4
 
 
-def test_upsert_keeps_its_layout_and_raises_what_it_cannot_read(spark, folder):
+def test_upsert_and_raising_what_cannot_be_read(spark, folder):
     import pytest
 
     rows = lambda r: spark.createDataFrame(r, "id int, v string, seq int")
-    sinks.upsert(rows([(i, "old", 1) for i in range(40)]), f"{folder}/t", ["id"], ["seq"], buckets=8)
-    sinks.upsert(rows([(3, "new", 2), (99, "new", 2)]), f"{folder}/t", ["id"], ["seq"], buckets=64)
-    got = {r.id: r.v for r in spark.read.parquet(f"{folder}/t").collect()}
+    sinks.upsert(rows([(i, "old", 1) for i in range(40)]), f"{folder}/t", ["id"], ["seq"])
+    sinks.upsert(rows([(3, "new", 2), (99, "new", 2)]), f"{folder}/t", ["id"], ["seq"])
+    got = {r.id: r.v for r in sinks.read_live(spark, f"{folder}/t").collect()}
     assert len(got) == 41 and got[3] == got[99] == "new" and got[4] == "old"
     assert sinks.read_or_none(spark, f"{folder}/nothing") is None
     rows([(1, "a", 1)]).write.parquet(f"{folder}/c/x=1/y=1")
