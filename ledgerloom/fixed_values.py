@@ -409,6 +409,7 @@ RETRY_TTL_SECONDS = 3600
 REVIEW_TIMEOUT_SECONDS = 48 * 3600
 ASSEMBLY_TIMEOUT_SECONDS = 900
 ETAG_CLAIM_SECONDS = 300
+DISCOVERY_BATCH = 500
 ETAG_MEMORY_SECONDS = 24 * 3600
 
 # --- graph and vectors -----------------------------------------------------

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fixed_values import DISCOVERY_BATCH
 from ..functions.hof import presence
 from ..functions.ids import resolve_tenant
 
@@ -48,6 +49,37 @@ def stream(spark: SparkSession, source: dict) -> DataFrame:
     return reader.load(source["path"]) if "path" in source else reader.load()
 
 
+#: Per format the options that bound a micro-batch, and whether they count messages.
+ADMISSION = {
+    "kafka": {"maxOffsetsPerTrigger": True},
+    "rate": {"rowsPerSecond": True},
+    "rate-micro-batch": {"rowsPerBatch": True},
+    "json": {"maxFilesPerTrigger": False, "maxBytesPerTrigger": False},
+    "csv": {"maxFilesPerTrigger": False, "maxBytesPerTrigger": False},
+    "text": {"maxFilesPerTrigger": False, "maxBytesPerTrigger": False},
+    "parquet": {"maxFilesPerTrigger": False, "maxBytesPerTrigger": False},
+    "orc": {"maxFilesPerTrigger": False, "maxBytesPerTrigger": False},
+    "avro": {"maxFilesPerTrigger": False, "maxBytesPerTrigger": False},
+}
+
+
+def bounded_stream(spark: SparkSession, source: dict, messages: int = DISCOVERY_BATCH, messages_per_file: int = 1) -> DataFrame:
+    """A stream whose micro-batches are bounded.
+
+    A bound that the source states itself stays.  Otherwise a log admits
+    ``messages``, and a folder as many files as hold that many at
+    ``messages_per_file``.  A format without a bound is refused.
+    """
+    kind = source["format"]
+    if kind not in ADMISSION:
+        raise ValueError(f"no bound is known for streams of format {kind}")
+    options = dict(source.get("options", {}))
+    if not any(o in options for o in ADMISSION[kind]):
+        name, counts = next(iter(ADMISSION[kind].items()))
+        options[name] = str(messages if counts else max(1, messages // messages_per_file))
+    return stream(spark, {**source, "options": options})
+
+
 def read(spark: SparkSession, source: dict) -> DataFrame:
     reader = spark.read.format(source["format"])
     if "schema" in source:

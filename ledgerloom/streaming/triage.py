@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..fixed_values import ETAG_MEMORY_SECONDS
+from ..fixed_values import ETAG_CLAIM_SECONDS, ETAG_MEMORY_SECONDS
 from ..operators.dedup import claim_etags, cleanup_list, new_etags, status_events, triage
 from ..sources.sinks import append, insert_ignore, read_or_none
 
@@ -48,6 +52,57 @@ def claimed_once(discovered: DataFrame, time: str = "event_time", seconds: int =
     return discovered.withWatermark(time, f"{seconds} seconds").dropDuplicatesWithinWatermark(["etag"])
 
 
+class EtagClaims(StatefulProcessor):
+    """An object is claimed for a short span, then confirmed for a long one or released.
+
+    Rows are of kind found, confirmed or released.  A found row claims its etag
+    unless a claim or a confirmation is in force.  State: until when, counted
+    from the event's time; it lapses by itself after the longer span.
+    """
+
+    def __init__(self, claim_seconds: float = ETAG_CLAIM_SECONDS, memory_seconds: float = ETAG_MEMORY_SECONDS):
+        self.claim, self.memory = pd.Timedelta(seconds=claim_seconds), pd.Timedelta(seconds=memory_seconds)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        life = int(max(self.claim, self.memory).total_seconds() * 1000)
+        self.held = handle.getValueState("held", "until timestamp", life)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = until = pd.Timestamp(self.held.get()[0]) if self.held.exists() else None
+        for frame in rows:
+            frame = frame.sort_values("event_time", kind="stable")
+            status = []
+            for kind, at in zip(frame["kind"], frame["event_time"]):
+                if kind == "confirmed":
+                    until = at + self.memory
+                elif kind == "released":
+                    until = None
+                elif until is None or at >= until:
+                    until, kind = at + self.claim, "claimed"
+                else:
+                    kind = "known"
+                status.append(kind)
+            yield pd.DataFrame(
+                {"etag": key[0], "object": frame["object"].to_numpy(), "event_time": frame["event_time"].to_numpy(), "status": status}
+            )
+        if until is None:
+            self.held.clear()
+        elif until != before:
+            self.held.update((until.to_pydatetime(),))
+
+    def close(self) -> None:
+        pass
+
+
+def etag_claims(events: DataFrame, claim_seconds: float = ETAG_CLAIM_SECONDS, memory_seconds: float = ETAG_MEMORY_SECONDS) -> DataFrame:
+    """(etag, object, event_time, status): claimed, known, confirmed or released, for a stream with ``kind``."""
+    slim = events.select("etag", "object", "event_time", "kind")
+    return slim.groupBy("etag").transformWithStateInPandas(
+        statefulProcessor=EtagClaims(claim_seconds, memory_seconds), outputMode="append", timeMode="processingTime",
+        outputStructType="etag string, object string, event_time timestamp, status string",
+    )
+
+
 def write_discovered(events: DataFrame, root: str, order: str = "key", number: int = 0) -> None:
     """Keep objects whose etag is not stored yet and remember their etags.
 

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from ledgerloom.sources import readers, sinks
-from ledgerloom.streaming import assembly, changes, jobs, retries, triage
+from ledgerloom.streaming import assembly, branches, changes, jobs, retries, triage
 
 
 def put(folder, name, rows):
@@ -288,3 +288,167 @@ def test_upsert_and_raising_what_cannot_be_read(spark, folder):
     rows([(1, "a", 1)]).write.parquet(f"{folder}/c/z=1")
     with pytest.raises(Exception):
         sinks.read_or_none(spark, f"{folder}/c").collect()
+
+
+def poll(query, condition, seconds=45):
+    """Wait until the running query has done enough."""
+    end = time.time() + seconds
+    while time.time() < end:
+        assert query.exception() is None
+        try:
+            if condition():
+                return
+        except Exception:  # noqa: BLE001 - a file of the running batch
+            pass
+        time.sleep(0.3)
+    raise AssertionError("not enough output in time")
+
+
+LETTER = (
+    "document_id string, event_time timestamp, tenant_id string, node_id string, target_table string, extracted_data map<string,string>, "
+    "strict_columns array<map<string,string>>, critic_error string, mapping_status string, failure_class string, exhausted boolean"
+)
+
+
+def letter(document, minute, **more):
+    stamp = f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z"
+    base = {"document_id": document, "event_time": stamp, "tenant_id": "t", "node_id": f"n{minute}", "extracted_data": {"a": str(minute)}, "critic_error": "does not add up"}
+    return {**base, **more}
+
+
+def test_retry_loop_equals_batch_replay(spark, folder):
+    """Every attempt has a log row and a message with its payload; the rest goes to review."""
+    minutes = [0, 10, 20, 30, 79, 81, 90, 200, 201]
+    first = [letter("a", m) for m in minutes[:5]] + [letter("p", 1, failure_class="PERMANENT", exhausted=True), letter("x", 3, critic_error="", mapping_status="MAPPED")]
+    second = [letter("a", m) for m in minutes[5:]]
+    put(f"{folder}/in", "1", first)
+    count = lambda name: spark.read.parquet(f"{folder}/{name}").count()
+    q = retries.start_retry_loop(
+        retries.retry_letters(source(spark, f"{folder}/in", LETTER)), folder, f"{folder}/cp", processingTime="200 milliseconds")
+    try:
+        poll(q, lambda: count("retry_log") + count("reviews") == 6)
+        put(f"{folder}/in", "2", second)
+        poll(q, lambda: count("retry_log") + count("reviews") == 10 and count("retries") == count("retry_log"))
+    finally:
+        q.stop()
+    want = retry_reference([m * 60 for m in minutes])
+    tried = [m for m, route in zip(minutes, want) if route == "retry"]
+    messages = [json.loads(r.value) for r in spark.read.parquet(f"{folder}/retries").collect()]
+    assert sorted(int(m["extracted_data"]["a"]) for m in messages) == tried
+    assert all(m["reflexion_error"] == "does not add up" and m["document_id"] == "a" and json.loads(m["previous_extraction"]) == m["extracted_data"] for m in messages)
+    by_time = {int(m["extracted_data"]["a"]): m["reflexion_attempt"] for m in messages}
+    assert [by_time[m] for m in tried][:3] == [1, 2, 3]
+    log = spark.read.parquet(f"{folder}/retry_log").collect()
+    assert len(log) == len({r.task_id for r in log}) == len(tried) and {r.tenant_id for r in log} == {"t"}
+    reviews = sorted((r.document_id, json.loads(r.payload)["node_id"]) for r in spark.read.parquet(f"{folder}/reviews").collect())
+    assert reviews == sorted([("a", f"n{m}") for m, route in zip(minutes, want) if route == "review"] + [("p", "n1")])
+    # a replayed batch replaces its rows
+    frame = spark.createDataFrame([("d", None, k, 1, "e", "{}") for k in ("log", "retry", "review")], retries.LOOP)
+    for _ in range(2):
+        retries.write_retries(frame, f"{folder}/again", 4)
+    assert [spark.read.parquet(f"{folder}/again/{n}").count() for n in ("retries", "retry_log", "reviews")] == [1, 1, 1]
+
+
+def test_retries_wait_until_they_are_due(spark, folder):
+    put(f"{folder}/in", "1", [letter("a", m) for m in (0, 1)] + [letter("b", 5)])
+    letters = retries.retry_letters(source(spark, f"{folder}/in", LETTER))
+    seen = []
+    rows = run_until(
+        spark, retries.retry_loop(letters, delay_seconds=6), folder,
+        [lambda r: len(r) >= 3, lambda r: len(r) >= 6], lambda: seen.extend(r.kind for r in out(spark, folder)))
+    assert seen == ["log"] * 3
+    got = sorted((r.document_id, r.attempt, json.loads(r.payload)["node_id"]) for r in rows if r.kind == "retry")
+    assert got == [("a", 1, "n0"), ("a", 2, "n1"), ("b", 1, "n5")]
+
+
+def test_claims_expire_and_confirmations_last(spark, folder):
+    """Against a replay in plain Python; every kind within and over batches."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(6)
+    begin = dt.datetime(2024, 1, 1)
+    events = []
+    for etag in "abcdef":
+        at = 0
+        for i in range(14):
+            at += rng.choice([10, 100, 200, 299, 300, 4000, 90_000])
+            events.append({"etag": etag, "object": f"{etag}{i}", "event_time": (begin + dt.timedelta(seconds=at)).strftime("%Y-%m-%dT%H:%M:%SZ"), "kind": rng.choice(["found"] * 4 + ["confirmed", "released"])})
+    want, until = {}, {}
+    for e in events:
+        at = dt.datetime.strptime(e["event_time"], "%Y-%m-%dT%H:%M:%SZ")
+        status = e["kind"]
+        if status == "confirmed":
+            until[e["etag"]] = at + dt.timedelta(hours=24)
+        elif status == "released":
+            until.pop(e["etag"], None)
+        elif e["etag"] in until and at < until[e["etag"]]:
+            status = "known"
+        else:
+            until[e["etag"]], status = at + dt.timedelta(minutes=5), "claimed"
+        want[e["object"]] = status
+    schema = "etag string, object string, event_time timestamp, kind string"
+    cut = [[e for e in events if int(e["object"][1:]) in part] for part in (range(0, 5), range(5, 9), range(9, 14))]
+    put(f"{folder}/in", "0", cut[0])
+    stream = triage.etag_claims(source(spark, f"{folder}/in", schema))
+    q = stream.writeStream.outputMode("append").foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{folder}/out")).option(
+        "checkpointLocation", f"{folder}/cp").trigger(processingTime="200 milliseconds").start()
+    try:
+        for name, part in enumerate(cut):
+            if name:
+                put(f"{folder}/in", str(name), part)
+            poll(q, lambda: len(out(spark, folder)) == sum(map(len, cut[: name + 1])))  # noqa: B023
+    finally:
+        q.stop()
+    assert {r.object: r.status for r in out(spark, folder)} == want
+    assert {"claimed", "known", "confirmed", "released"} == set(want.values())
+
+
+NODE = (
+    "tenant_id string, document_id string, node_id string, type string, content string, parent_section_text string, "
+    "source_page int, source_bbox array<float>, complete boolean, divert_to_rag boolean, seq int"
+)
+
+
+def test_branches_split_every_node_once(spark, folder):
+    def node(i, kind, complete=False, divert=None):
+        return {"tenant_id": "t", "document_id": f"d{i % 3}", "node_id": f"n{i}", "type": kind, "content": f"| c{i} |", "parent_section_text": "Notes" if i % 2 else "", "source_page": 1, "complete": complete, "divert_to_rag": divert, "seq": i}
+
+    parts = [
+        [node(0, "TABLE"), node(1, "TEXT"), node(2, "KEY_VALUE"), node(3, "TABLE", True)],
+        [node(4, "TABLE", False, True), node(5, "TABLE", True, True), node(6, "TEXT", True), node(7, None)],
+    ]
+    start = lambda: branches.start_branches(source(spark, f"{folder}/in", NODE), folder, f"{folder}/cp", ["seq"], availableNow=True)
+    for name, part in enumerate(parts):
+        put(f"{folder}/in", str(name), part)
+        start().awaitTermination()
+    ids = lambda name: sorted(r.node_id for r in spark.read.parquet(f"{folder}/{name}").collect())
+    chunks = lambda: {r.node_id: r.text for r in sinks.read_live(spark, f"{folder}/chunks").collect()}
+
+    def check():
+        assert ids("raw_tables") == ["n0", "n2"] and ids("resolved") == ["n4", "n5"]
+        staged = {r.node_id: r.sent_early for r in spark.read.parquet(f"{folder}/staged").collect()}
+        assert staged == {"n0": True, "n1": False, "n2": True, "n3": False, "n6": False, "n7": False}
+        assert chunks() == {"n4": "| c4 |", "n5": "Notes\n| c5 |"}
+
+    check()
+    for name, part in enumerate(parts):  # replays
+        batch = spark.read.schema(NODE).json(f"{folder}/in/{name}.json")
+        branches.write_branches(batch, folder, ["seq"], name)
+    check()
+
+
+def test_admission_is_bounded(spark, folder):
+    import pytest
+
+    for i in range(6):
+        put(f"{folder}/in", str(i), [{"a": j} for j in range(250)])
+    sizes = []
+    stream = readers.bounded_stream(spark, {"format": "json", "path": f"{folder}/in", "schema": "a int"}, messages_per_file=250)
+    q = stream.writeStream.foreachBatch(lambda b, _: sizes.append(b.count())).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sizes == [500, 500, 500]
+    own = readers.bounded_stream(spark, {"format": "json", "path": f"{folder}/in", "schema": "a int", "options": {"maxBytesPerTrigger": "1k"}})
+    assert own.isStreaming
+    with pytest.raises(ValueError, match="no bound"):
+        readers.bounded_stream(spark, {"format": "socket"})
