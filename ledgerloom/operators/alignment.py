@@ -40,9 +40,36 @@ def add_synonym(synonyms: DataFrame, tenant: str, table: str, label: str, column
     return synonyms.unionByName(row)
 
 
-def remap_drift(rows: DataFrame, synonyms: DataFrame, registry: Registry, aliases: dict[str, str] | None = None) -> DataFrame:
+def synonym_versions(changes: DataFrame) -> DataFrame:
+    """(tenant_id, target_table, synonyms) from a change feed of labels, with all versions of each label.
+
+    Changes: op, tenant_id, target_table, raw_label, mapped_column, and the
+    time ``at`` from which they hold (of equal times the larger ``seq``
+    counts).  ``synonyms`` maps a label, as written and trimmed in lower case,
+    to its versions, newest first; a deletion is a version without a column.
+    """
+    mapped = F.when(F.col("op").isin("c", "u"), F.col("mapped_column"))
+    both = changes.where(F.col("op").isin("c", "u", "d")).select(
+        "tenant_id", "target_table", "at", "seq", mapped.alias("mapped"),
+        F.explode(F.array_distinct(F.array("raw_label", F.lower(strip(F.col("raw_label")))))).alias("label"),
+    )
+    one = both.groupBy("tenant_id", "target_table", "label", "at").agg(F.max_by("mapped", "seq").alias("mapped"))
+    versions = one.groupBy("tenant_id", "target_table", "label").agg(
+        F.sort_array(F.collect_list(F.struct("at", "mapped")), asc=False).alias("versions")
+    )
+    return versions.groupBy("tenant_id", "target_table").agg(
+        F.map_from_entries(F.collect_list(F.struct("label", "versions"))).alias("synonyms")
+    )
+
+
+def remap_drift(rows: DataFrame, synonyms: DataFrame, registry: Registry, aliases: dict[str, str] | None = None,
+                at: str | None = None) -> DataFrame:
     """Move drifted labels into empty registry columns of the same row.
 
+    With ``at``, a time column of the rows, ``synonyms`` is a change feed (see
+    ``synonym_versions``) and each row meets the dictionary of its own time,
+    so a late row is mapped as it would have been then.
+
     Rows: tenant_id, target_table, strict map, drift map.  A label is looked
     up as written, then trimmed in lower case (per tenant and table), then
     among the global aliases.  Only an empty registry column is filled, and
@@ -54,7 +81,13 @@ def remap_drift(rows: DataFrame, synonyms: DataFrame, registry: Registry, aliase
     columns = F.create_map(
         *[x for t, cols in registry.items() for x in (F.lit(t), F.array(*[F.lit(c) for c in [*CONTEXT_COLUMNS, *cols]]))]
     )
-    joined = rows.join(synonym_maps(synonyms), ["tenant_id", "target_table"], "left").withColumn(
+    known = synonym_maps(synonyms) if at is None else synonym_versions(synonyms)
+
+    def look(label: Column) -> Column:
+        found = F.col("synonyms")[label]
+        return found if at is None else F.get(F.filter(found, lambda v: v["at"] <= F.col(at)), F.lit(0))["mapped"]
+
+    joined = rows.join(known, ["tenant_id", "target_table"], "left").withColumn(
         "_columns", columns[F.col("target_table")]
     )
     key = lambda k: F.lower(strip(k))
@@ -63,7 +96,7 @@ def remap_drift(rows: DataFrame, synonyms: DataFrame, registry: Registry, aliase
         lambda e: F.struct(
             e["key"].alias("key"),
             e["value"].alias("value"),
-            F.coalesce(F.col("synonyms")[e["key"]], F.col("synonyms")[key(e["key"])], alias[key(e["key"])]).alias("target"),
+            F.coalesce(look(e["key"]), look(key(e["key"])), alias[key(e["key"])]).alias("target"),
         ),
     )
     open_column = lambda e: (

@@ -135,14 +135,15 @@ def promotable_rows(changes: DataFrame, rows: DataFrame) -> DataFrame:
     """Waiting rows of each changed schema, with the schema as their new table.
 
     ``changes`` holds (op, target_table).  A row of an unknown table is
-    offered to every changed schema.
+    offered to every changed schema.  Rows are not shuffled.
     """
-    tables = changes.where(F.col("op").isin("c", "u") & presence(F.col("target_table")).isNotNull()).select(
-        F.col("target_table").alias("schema")
-    ).distinct()
-    offers = tables.select("schema", F.explode(F.array("schema", F.lit("UNKNOWN_TABLE"))).alias("target_table"))
+    tables = changes.where(F.col("op").isin("c", "u") & presence(F.col("target_table")).isNotNull())
+    # one value: the names of the changed schemas, at most as many as the registry has
+    names = tables.agg(F.sort_array(F.collect_set("target_table")).alias("names")).scalar()
+    own = F.when(F.array_contains(names, F.col("target_table")), F.array("target_table"))
+    offered = F.when(F.col("target_table") == "UNKNOWN_TABLE", names).otherwise(own)
     waiting = rows.where("mapping_status = 'NEEDS_REVIEW'")
-    return waiting.join(offers, "target_table").drop("target_table").withColumnRenamed("schema", "target_table")
+    return waiting.withColumn("_schema", F.explode(offered)).drop("target_table").withColumnRenamed("_schema", "target_table")
 
 
 def work_list(tasks: DataFrame, agents: DataFrame, tenant: str, limit: int | None = None) -> DataFrame:

@@ -170,6 +170,35 @@ SELECT o_orderkey AS id, 't' || CAST(o_custkey % 3 AS STRING) AS tenant_id, CASE
   CASE WHEN o_orderkey % 5 = 0 THEN 'Cost of Sales' ELSE 'Unknown thing' END AS l2, CASE WHEN o_orderkey % 7 = 0 THEN '5' END AS given, CAST(o_custkey AS STRING) AS v FROM {orders}"""
 
 
+VERSIONED = """
+SELECT o_orderkey AS id, 't' || CAST(o_custkey % 3 AS STRING) AS tenant_id, CASE WHEN o_orderkey % 2 = 0 THEN ' Umsatz' ELSE 'Erlös' END AS label,
+  CAST(o_orderdate AS TIMESTAMP) AS day, CAST(o_custkey AS STRING) AS v FROM {orders}"""
+_LABELS = """
+SELECT CASE WHEN c_custkey % 7 = 0 THEN 'd' WHEN c_custkey % 2 = 0 THEN 'u' ELSE 'c' END AS op, 't' || CAST(c_custkey % 3 AS STRING) AS tenant_id,
+  CASE WHEN c_nationkey % 2 = 0 THEN 'umsatz' ELSE 'Erlös' END AS raw_label, CASE WHEN c_custkey % 5 < 3 THEN 'total_revenue' ELSE 'other_income' END AS mapped_column,
+  CAST(make_date(1992 + CAST(c_custkey % 7 AS INT), 1 + CAST(c_nationkey % 12 AS INT), 1) AS TIMESTAMP) AS day, c_custkey AS seq FROM {customer}"""
+
+
+@query(
+    "synonym_versions",
+    """WITH n AS (SELECT tenant_id, raw_label, day, arg_max(mapped_column, seq) AS m, arg_max(op, seq) AS op FROM labels GROUP BY ALL),
+v AS (SELECT tenant_id, raw_label, day, CASE WHEN op = 'd' THEN NULL ELSE m END AS m FROM n),
+j AS (SELECT d.*, v.m FROM d ASOF LEFT JOIN v ON d.tenant_id = v.tenant_id AND (CASE WHEN d.label = ' Umsatz' THEN 'umsatz' ELSE d.label END) = v.raw_label AND d.day >= v.day)
+SELECT id, CASE WHEN m = 'total_revenue' THEN v ELSE '' END AS total_revenue, CASE WHEN m = 'other_income' THEN v ELSE '' END AS other,
+  CASE WHEN m IS NULL THEN label ELSE '' END AS left_over FROM j""",
+    d=VERSIONED,
+    labels=_LABELS,
+)
+def synonym_versions(src, d, labels):
+    """Each row is mapped by the dictionary of its own day."""
+    table = F.lit("standardized_income_statement").alias("target_table")
+    changes = labels.select("op", "tenant_id", table, "raw_label", "mapped_column", F.col("day").alias("at"), "seq")
+    rows = d.select("id", "tenant_id", table, "day", F.create_map().cast("map<string,string>").alias("strict"), F.create_map("label", "v").alias("drift"))
+    out = A.remap_drift(rows, changes, REGISTRY, aliases={"-": "-"}, at="day")
+    s = lambda c, n: F.coalesce(F.col("strict")[c], F.lit("")).alias(n)
+    return out.select("id", s("total_revenue", "total_revenue"), s("other_income", "other"), F.array_join(F.map_keys("drift"), ",").alias("left_over"))
+
+
 @query(
     "synonym_remap",
     """WITH m AS (SELECT *, CASE WHEN lower(trim(l1)) = 'net sales' THEN 'total_revenue' WHEN tenant_id = 't0' THEN 'revenue_from_operations' WHEN tenant_id = 't1' AND l1 = 'UMSATZ' THEN 'other_income' WHEN tenant_id = 't1' THEN 'revenue_from_operations' END AS t1,

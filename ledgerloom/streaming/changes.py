@@ -9,8 +9,9 @@ from ..fixed_values import CHUNK_CHARS, CHUNK_OVERLAP
 from ..functions.hof import presence
 from ..functions.ids import name_uuid
 from ..functions.text import chunk_text
-from ..operators.alignment import requeue
+from ..operators.alignment import remap_drift, requeue
 from ..operators.catalog import promotable_rows
+from ..registry import Registry
 from ..sources.keyed import KeyedTable
 from ..sources.sinks import append, latest_per_key
 
@@ -75,6 +76,45 @@ def start_chunk_sync(changes: DataFrame, path: str, checkpoint: str, order: list
     )
 
 
+HISTORY_KEYS = ["tenant_id", "target_table", "raw_label", "seq"]
+
+
+def write_dictionary(changes: DataFrame, path: str, number: int | None = None) -> None:
+    """Keep all versions of the label dictionary: (op, tenant_id, target_table, raw_label, mapped_column, at, seq).
+
+    The state after a change counts, or before a deletion.
+    """
+    state = F.coalesce("after", "before")
+    flat = changes.where(F.col("op").isin("c", "u", "d")).select("op", state.alias("s"), "seq")
+    rows = flat.select(
+        "op", "s.tenant_id", "s.target_table", "s.raw_label", "s.mapped_column",
+        F.to_timestamp("s.updated_at").alias("at"), "seq",
+    ).where(F.col("raw_label").isNotNull() & F.col("at").isNotNull())
+    KeyedTable(changes.sparkSession, path, HISTORY_KEYS, ["at"]).upsert(rows, number)
+
+
+def start_dictionary(changes: DataFrame, path: str, checkpoint: str, **trigger):
+    return (
+        changes.writeStream.foreachBatch(lambda batch, number: write_dictionary(batch, path, number))
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+    )
+
+
+def write_remapped(rows: DataFrame, dictionary: str, out: str, registry: Registry, at: str, number: int) -> None:
+    """Map one batch of rows with the dictionary as it stood at each row's time."""
+    known = KeyedTable(rows.sparkSession, dictionary, HISTORY_KEYS, ["at"]).read()
+    if known is None:
+        known = rows.sparkSession.createDataFrame([], "op string, tenant_id string, target_table string, raw_label string, mapped_column string, at timestamp, seq bigint")
+    append(remap_drift(rows, known, registry, at=at), out, batch=number)
+
+
+def start_remapping(rows: DataFrame, dictionary: str, out: str, checkpoint: str, registry: Registry, at: str = "event_time", **trigger):
+    return (
+        rows.writeStream.foreachBatch(lambda batch, number: write_remapped(batch, dictionary, out, registry, at, number))
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+    )
+
+
 def write_promotions(changes: DataFrame, rows_path: str, out_path: str, number: int = 0) -> None:
     """Send waiting rows of changed schemas to alignment again.
 

@@ -452,3 +452,31 @@ def test_admission_is_bounded(spark, folder):
     assert own.isStreaming
     with pytest.raises(ValueError, match="no bound"):
         readers.bounded_stream(spark, {"format": "socket"})
+
+
+def test_late_rows_meet_the_dictionary_of_their_time(spark, folder):
+    from ledgerloom.registry import default_registry
+
+    def change(op, column, day, seq):
+        state = {"id": "1", "tenant_id": "t", "target_table": "standardized_income_statement", "raw_label": "Umsatz", "mapped_column": column, "updated_at": f"2024-01-{day:02d}T00:00:00Z"}
+        return {"value": json.dumps({"payload": {"op": op, "before": state, "after": None if op == "d" else state}}), "seq": seq}
+
+    def row(i, day):
+        return {"id": i, "tenant_id": "t", "target_table": "standardized_income_statement", "event_time": f"2024-01-{day:02d}T12:00:00Z", "strict": {}, "drift": {"umsatz ": f"v{i}"}}
+
+    schema = "id int, tenant_id string, target_table string, event_time timestamp, strict map<string,string>, drift map<string,string>"
+    feed = lambda: readers.cdc(source(spark, f"{folder}/in", "value string, seq bigint"), readers.SYNONYM_STATE)
+    tell = lambda: changes.start_dictionary(feed(), f"{folder}/labels", f"{folder}/cp", availableNow=True).awaitTermination()
+    map_ = lambda: changes.start_remapping(source(spark, f"{folder}/rows", schema), f"{folder}/labels", f"{folder}/out", f"{folder}/cp2", default_registry(), availableNow=True).awaitTermination()
+    put(f"{folder}/in", "1", [change("c", "total_revenue", 1, 1), change("u", "other_income", 10, 2)])
+    tell()
+    put(f"{folder}/rows", "1", [row(1, 5), row(2, 15)])
+    map_()
+    put(f"{folder}/in", "2", [change("d", "other_income", 20, 3)])
+    tell()
+    put(f"{folder}/rows", "2", [row(3, 5), row(4, 15), row(5, 25), row(6, 1)])  # late rows, and one after the deletion
+    map_()
+    got = {r.id: (dict(r.strict), dict(r.drift)) for r in out(spark, folder)}
+    assert {i: s for i, (s, _) in got.items() if s} == {
+        1: {"total_revenue": "v1"}, 2: {"other_income": "v2"}, 3: {"total_revenue": "v3"}, 4: {"other_income": "v4"}, 6: {"total_revenue": "v6"}}
+    assert got[5] == ({}, {"umsatz ": "v5"})
