@@ -15,10 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import FINANCIAL_SCHEMAS
+from ..fixed_values import FINANCIAL_SCHEMAS, GROUNDING_FIELDS
 from ..functions.numerics import nearly_equal, parse_number, scale_multiplier
 from .documents import STOP_AT_FIRST_HARD, check_transactions
-from .rules import DEFAULT_PACKS, HARD, ROW_RULES, SOFT, VIOLATIONS, Fields, compile_rules, long_form, rule_fields, violation
+from .rules import (
+    DEFAULT_PACKS, HARD, ROW_RULES, SOFT, VIOLATIONS, Fields, compile_rules, grounding, long_form, rule_fields, violation,
+)
 
 RELATED = "_related"
 TRANSACTIONS = "bank_statement_transactions"
@@ -173,8 +175,34 @@ def cross_violations(parsed: DataFrame) -> DataFrame:
     return long_form(facts.withColumn("violations", F.array_compact(F.array(*entries))), ["document_id"])
 
 
-def document_violations(rows: DataFrame, financial=tuple(FINANCIAL_SCHEMAS), packs=DEFAULT_PACKS) -> DataFrame:
-    """Everything wrong with each document: ``document_id, row_index`` (null between tables) and the violation."""
+def source_violations(parsed: DataFrame, sources: DataFrame, fields: dict[str, list[str]] | None = None, severity: str = SOFT) -> DataFrame:
+    """Numbers of each document's first rows that its source text does not hold.
+
+    ``sources``: document_id, source_text; ``fields``: what to look for by
+    schema (see ``rules.load_grounding``).  A source meets only the first row
+    of each of its tables.
+    """
+    fields = GROUNDING_FIELDS if fields is None else fields
+    listed = {t: names for t, names in fields.items() if names}
+    first = parsed.where((F.col("row_index") == 0) & F.col("target_table").isin(list(listed)))
+    met = first.join(sources.select("document_id", F.col("source_text").alias("_source")), "document_id")
+    found = F.lit(None).cast(VIOLATIONS)
+    for table, names in listed.items():
+        numbers = Fields({n: F.col("numbers")[n] for n in names}, {n: F.col("data")[n] for n in names}, F.col("scale"))
+        entries = F.array_compact(F.array(*grounding(table, numbers, F.col("_source"), 0, severity, names))).cast(VIOLATIONS)
+        found = F.when(F.col("target_table") == table, entries).otherwise(found)
+    return long_form(met.withColumn("violations", found), ["document_id", "row_index"])
+
+
+def document_violations(
+    rows: DataFrame, financial=tuple(FINANCIAL_SCHEMAS), packs=DEFAULT_PACKS, sources: DataFrame | None = None,
+    grounding_fields: dict[str, list[str]] | None = None, grounding_severity: str = SOFT,
+) -> DataFrame:
+    """Everything wrong with each document: ``document_id, row_index`` (null between tables) and the violation.
+
+    With ``sources`` (document_id, source_text) the first rows are also
+    grounded in the text.
+    """
     own = with_parsed(rows.select("document_id", "target_table", F.col("row_index").cast("long").alias("row_index"), "data"))
     nested = with_parsed(nested_rows(rows))
     parts = [
@@ -182,4 +210,6 @@ def document_violations(rows: DataFrame, financial=tuple(FINANCIAL_SCHEMAS), pac
         check_transactions(own.where(F.col("target_table") == TRANSACTIONS), ["document_id"], "row_index", bag="data"),
         cross_violations(own.withColumn("own", F.lit(True)).unionByName(nested.withColumn("own", F.lit(False)))),
     ]
+    if sources is not None:
+        parts.append(source_violations(own, sources, grounding_fields, grounding_severity))
     return reduce(lambda a, c: a.unionByName(c, allowMissingColumns=True), parts)

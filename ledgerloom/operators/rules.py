@@ -256,6 +256,12 @@ def load_pack(spark: SparkSession, path: str) -> dict[str, tuple[Rule, ...]]:
     return {s: tuple(pack_rule(r) for r in rules) for s, rules in (raw.get("rules") or {}).items()}
 
 
+def load_grounding(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Fields to be found in the source text, by schema: a pack's ``grounding_fields`` replace the built-in ones."""
+    raw = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    return {**GROUNDING_FIELDS, **{s: list(fields) for s, fields in (raw.get("grounding_fields") or {}).items()}}
+
+
 def rules_for(schema: str, packs: dict[str, tuple[Rule, ...]] | None = None) -> tuple[tuple[Rule, ...], tuple[Rule, ...]]:
     """(pack rules, built-in rules) of a schema."""
     pack = (DEFAULT_PACKS if packs is None else packs).get(schema, ())
@@ -503,6 +509,7 @@ def check_rows(
     rules: tuple[Rule, ...] | None = None,
     grounding_severity: str = SOFT,
     extra: list[Column] | None = None,
+    grounding_fields: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Adds ``violations`` (array, in rule order) to every row.
 
@@ -512,7 +519,7 @@ def check_rows(
     """
     pack, built_in = ((), rules) if rules is not None else rules_for(schema, packs)
     needed = rule_fields([*pack, *built_in])
-    grounded = GROUNDING_FIELDS.get(schema, []) if source_text else []
+    grounded = (GROUNDING_FIELDS if grounding_fields is None else grounding_fields).get(schema, []) if source_text else []
     needed += [g for g in grounded if g not in needed]
     staged = with_numbers(df, needed, bag)
     if scale is None:
@@ -528,7 +535,7 @@ def check_rows(
     entries += more
     if not entries and schema in FINANCIAL_SCHEMAS:
         entries = [missing_critic(schema)]
-    entries += grounding(schema, f, F.col(source_text), len(entries), grounding_severity) if source_text else []
+    entries += grounding(schema, f, F.col(source_text), len(entries), grounding_severity, grounded) if source_text else []
     entries += extra or []
     found = F.array_compact(F.array(*entries)) if entries else F.array()
     out = staged.withColumn("violations", found.cast(VIOLATIONS))

@@ -422,3 +422,25 @@ FROM {{orders}}"""
 )
 def grounding_rule(src, t):
     return verdict(R.check_rows(t, "vendor_invoice_headers", source_text="body"))
+
+
+@query(
+    "document_grounding",
+    """SELECT k, rule_id, severity FROM (
+  SELECT k, 'grounding.value_not_in_source.total_amount' AS rule_id, 'hard' AS severity FROM t WHERE k % 3 = 0 UNION ALL
+  SELECT k, 'grounding.value_not_in_source.total_amount', 'soft' FROM t WHERE k % 3 = 0 UNION ALL
+  SELECT k, 'grounding.value_not_in_source.subtotal_amount', 'soft' FROM t WHERE k % 3 = 0)""",
+    t=GROUND,
+)
+def document_grounding(src, t):
+    """First rows against their document's text: a pack's own list, hard, and the built-in one, soft."""
+    from ..operators.critic import document_violations
+
+    cells = F.create_map(*[x for c in ("total_amount", "subtotal_amount", "tax_amount") for x in (F.lit(c), F.format_string("%.2f", c))])
+    header = t.select(F.col("k").cast("string").alias("document_id"), F.lit("vendor_invoice_headers").alias("target_table"), F.lit(0).alias("row_index"), cells.alias("data"))
+    later = header.withColumns({"row_index": F.lit(1), "data": F.create_map(F.lit("total_amount"), F.lit("-987654321"))})  # only first rows are looked up
+    sources = t.select(F.col("k").cast("string").alias("document_id"), F.col("body").alias("source_text"))
+    rows = header.unionByName(later)
+    own = {"vendor_invoice_headers": ["total_amount"], "receipt_headers": []}
+    found = document_violations(rows, sources=sources, grounding_fields=own, grounding_severity=R.HARD).unionByName(document_violations(rows, sources=sources))
+    return found.where("rule_id LIKE 'grounding.%'").select(F.col("document_id").cast("long").alias("k"), "rule_id", "severity")

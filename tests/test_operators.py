@@ -294,3 +294,15 @@ def test_corrections_apply_and_errors(spark):
     got = [r[0] for r in df.select(alignment.apply_correction(F.col("data"), F.col("v"), F.col("f"))).collect()]
     assert got == [{"b": "2"}, {"a": "9"}, None]
     assert catalog.ACTIVE
+
+
+def test_grounding_fields_of_a_pack(spark, folder):
+    path = f"{folder}/pack.json"
+    with open(path, "w") as f:
+        json.dump({"rules": {}, "grounding_fields": {"vendor_invoice_headers": ["amount_due"], "receipt_headers": ["total_amount"]}}, f)
+    fields = rules.load_grounding(spark, path)
+    assert fields["vendor_invoice_headers"] == ["amount_due"] and fields["bank_statement_headers"] == ["opening_balance", "closing_balance"]
+    df = spark.createDataFrame([({"amount_due": "17", "total_amount": "99"}, "due: 18"), ({"amount_due": "18"}, "due: 18")], "data map<string,string>, body string")
+    got = rules.check_rows(df, "vendor_invoice_headers", bag="data", source_text="body", rules=(), grounding_severity=rules.HARD, grounding_fields=fields)
+    found = [[(v.rule_id, v.severity) for v in r.violations] for r in got.collect()]
+    assert [[x for x in row if x[0].startswith("grounding")] for row in found] == [[("grounding.value_not_in_source.amount_due", "hard")], []]
