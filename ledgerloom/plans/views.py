@@ -485,3 +485,75 @@ SELECT document_id FROM c ORDER BY CASE WHEN (c <> '' AND contains('total of tck
 )
 def question_document(src, jobs):
     return K.resolve_document(jobs, "Total of TCK5 please")
+
+
+@query(
+    "job_retry_events",
+    """SELECT document_id AS event_id, tenant_id, s3_uri, 'h' || document_id AS file_hash_sha256, filename AS original_filename
+FROM jobs WHERE status = 'FAILED' AND tenant_id = 't0'""",
+    jobs=JOBS,
+)
+def job_retry_events(src, jobs):
+    """Failed jobs of a tenant as new ingest events."""
+    failed = jobs.where("status = 'FAILED' AND tenant_id = 't0'").withColumn("file_hash", F.concat(F.lit("h"), "document_id"))
+    events = K.retry_event(failed)
+    return events.select("event_id", "tenant_id", "s3_uri", "file_hash_sha256", F.col("metadata")["original_filename"].alias("original_filename"))
+
+
+@query("job_by_id", "SELECT document_id, status, filename FROM jobs WHERE tenant_id = 't1' AND document_id = '31'", jobs=JOBS)
+def job_by_id(src, jobs):
+    return K.job_of(jobs, "31", "t1").select("document_id", "status", "filename")
+
+
+CORRECTED = """SELECT doc_id AS id, 't' || CAST(doc_id % 2 AS STRING) AS tenant_id, CASE WHEN doc_id % 3 = 0 THEN 'invoices' ELSE 'bank' END AS target_table,
+  quality = 1 AS promoted, doc_id * 37 % 211 AS created_at FROM {labels}"""
+
+
+@query(
+    "corrections_list",
+    """SELECT 'of table' AS list, id FROM c WHERE tenant_id = 't1' AND target_table = 'invoices' AND NOT promoted UNION ALL
+SELECT 'of tenant', id FROM c WHERE tenant_id = 't0' UNION ALL
+SELECT 'newest', id FROM (SELECT id FROM c WHERE NOT promoted ORDER BY created_at DESC, id DESC LIMIT 9)""",
+    c=CORRECTED,
+)
+def corrections_list(src, c):
+    """Corrections of a tenant and table that wait, all of a tenant, and the nine newest that wait."""
+    lists = {
+        "of table": K.corrections_list(c, "t1", "invoices", unpromoted=True), "of tenant": K.corrections_list(c, "t0"),
+        "newest": K.unpromoted_corrections(c, limit=9),
+    }
+    parts = [rows.select(F.lit(name).alias("list"), "id") for name, rows in lists.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "added_synonym",
+    """SELECT id, CASE WHEN tenant_id = 't0' AND l1 IN ('Umsatz', 'UMSATZ') THEN 'other_income' WHEN lower(trim(l1)) = 'net sales' THEN 'total_revenue' ELSE '' END AS filled
+FROM d WHERE given IS NULL AND l2 <> 'Cost of Sales'""",
+    d=DRIFT,
+)
+def added_synonym(src, d):
+    """A label that a user adds beats the one stored before."""
+    stored_labels = src.spark.createDataFrame(
+        [("t0", "standardized_income_statement", "Umsatz", "revenue_from_operations", 4)],
+        "tenant_id string, target_table string, raw_label string, mapped_column string, seq int",
+    )
+    labels = A.add_synonym(stored_labels, "t0", "standardized_income_statement", "umsatz", "other_income")
+    labels = A.add_synonym(labels, "t0", "standardized_income_statement", "Umsatz", "other_income")
+    rows = d.where("given IS NULL AND l2 <> 'Cost of Sales'").select(
+        "id", "tenant_id", F.lit("standardized_income_statement").alias("target_table"),
+        F.create_map().cast("map<string,string>").alias("strict"), F.create_map("l1", "v").alias("drift"),
+    )
+    out = A.remap_drift(rows, labels, REGISTRY)
+    return out.select("id", F.array_join(F.map_keys("strict"), ",").alias("filled"))
+
+
+@query(
+    "approved_generic",
+    "SELECT id, 'GENERIC_APPROVED' AS mapping_status, 0 AS mapped FROM f WHERE mapping_status = 'NEEDS_REVIEW'",
+    f=FILINGS,
+)
+def approved_generic(src, f):
+    """Waiting rows that a reviewer stores as they are."""
+    waiting = stored(f).where("mapping_status = 'NEEDS_REVIEW'")
+    return A.approve_generic(waiting).select("id", "mapping_status", F.size("strict").alias("mapped"))
