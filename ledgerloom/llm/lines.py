@@ -1,15 +1,19 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table of distinct line keys ``(hi, lo)`` with the number of
-documents that hold the line and the largest of their ids, written sorted by
-key.  Every new batch of documents is merge-joined with the runs: keys that no
-run holds (anti-join) become a fresh run, keys already held become a run of
-additions.  When a level has ``fanout`` runs they are merged into one run of
-the next level, so a key is rewritten a logarithmic number of times.
+A run is a table of line keys ``(hi, lo)`` with the number of documents that
+hold the line and the largest of their ids, written sorted by key.  Every new
+batch of documents is merge-joined with the keys of the runs: keys that no run
+holds (the anti-join) enter as fresh, keys already held enter as additions.  A
+key is thus fresh in exactly one run, and what the anti-join decides is the
+result: a fresh key without additions has its final count already, only keys
+with additions are summed again.  When a level has ``fanout`` runs, they are
+merged into one run of the next level before the next batch comes, so a key is
+rewritten a logarithmic number of times.
 
 Defined cases: a null or empty text is one empty line.  A null ``doc_id``
 holds no key and loses no line.  Repeated rows of one id count once and are
-all treated alike.  An empty table gives an empty result.
+all treated alike.  Bytes that are no UTF-8 count as one code point each
+undecodable stretch and stay as they are.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ FANOUT = 2
 def line_key(line: bytes, shortest: int = MIN_CODE_POINTS) -> bytes | None:
     """The line stripped of ``[\\x20\\x09-\\x0D]``, A-Z lower-cased; None when too short to count."""
     key = line.strip().lower()
-    if len(key) < shortest or (not key.isascii() and len(key.decode()) < shortest):
+    if len(key) < shortest or (not key.isascii() and len(key.decode(errors="replace")) < shortest):
         return None
     return key
 
@@ -69,52 +73,69 @@ def line_hashes(docs: DataFrame, shortest: int = MIN_CODE_POINTS) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled runs in the scratch folder; ``levels[i]`` holds fewer than ``fanout`` runs."""
+    """Levelled runs ``hi, lo, documents, keeper, fresh`` in the scratch folder.
+
+    ``fresh`` marks the one run of a key where the anti-join let it in.
+    """
 
     def __init__(self, fanout: int = FANOUT):
         self.fanout = fanout
         self.levels: list[list[DataFrame]] = []
 
-    def runs(self) -> DataFrame | None:
-        tables = [run for level in self.levels for run in level]
-        if not tables:
-            return None
-        out = tables[0]
-        for run in tables[1:]:
+    @staticmethod
+    def union(runs: list[DataFrame]) -> DataFrame:
+        out = runs[0]
+        for run in runs[1:]:
             out = out.unionByName(run)
         return out
 
-    @staticmethod
-    def merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("hi", "lo").agg(F.sum("documents").alias("documents"), F.max("keeper").alias("keeper"))
+    def runs(self) -> DataFrame | None:
+        tables = [run for level in self.levels for run in level]
+        return self.union(tables) if tables else None
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Adds a batch ``doc_id, hi, lo`` of new documents; returns its keys that no run held before."""
+        self.compact()
         per_document = lines.distinct()  # spreads a line that a third of all documents hold
         keys = per_document.groupBy("hi", "lo").agg(
             F.count("*").alias("documents"), F.max("doc_id").alias("keeper")
         )
         old = self.runs()
         if old is None:
-            fresh = written(keys.sortWithinPartitions("hi", "lo"), "run")
-            self._push(0, [fresh])
-            return fresh
-        held = old.select("hi", "lo").distinct().withColumn("held", F.lit(True))
-        met = written(keys.join(held, ["hi", "lo"], "left").sortWithinPartitions("hi", "lo"), "run")
-        fresh = met.where("held IS NULL").drop("held")
-        self._push(0, [met.drop("held")])
-        return fresh
-
-    def _push(self, level: int, runs: list[DataFrame]) -> None:
-        while len(self.levels) <= level:
+            met = keys.withColumn("fresh", F.lit(True))
+        else:
+            held = old.where("fresh").select("hi", "lo", F.lit(True).alias("held"))  # each key once
+            met = keys.join(held, ["hi", "lo"], "left").withColumn("fresh", F.col("held").isNull()).drop("held")
+        run = written(met.sortWithinPartitions("hi", "lo"), "run")
+        if not self.levels:
             self.levels.append([])
-        self.levels[level].extend(runs)
-        if len(self.levels[level]) >= self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            union = full[0]
-            for run in full[1:]:
-                union = union.unionByName(run)
-            self._push(level + 1, [written(self.merged(union).sortWithinPartitions("hi", "lo"), "run")])
+        self.levels[0].append(run)
+        return run.where("fresh").drop("fresh")
+
+    def compact(self) -> None:
+        """Merges every full level into one run of the next."""
+        level = 0
+        while level < len(self.levels):
+            if len(self.levels[level]) >= self.fanout:
+                full, self.levels[level] = self.levels[level], []
+                merged = self.union(full).groupBy("hi", "lo").agg(
+                    F.sum("documents").alias("documents"), F.max("keeper").alias("keeper"), F.max("fresh").alias("fresh")
+                )
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append(written(merged.sortWithinPartitions("hi", "lo"), "run"))
+            level += 1
+
+    def totals(self) -> DataFrame | None:
+        """``hi, lo, documents, keeper``: every key once, fresh rows completed by their additions."""
+        rows = self.runs()
+        if rows is None:
+            return None
+        more = rows.where("NOT fresh").groupBy("hi", "lo").agg(F.sum("documents").alias("more"), F.max("keeper").alias("later"))
+        return rows.where("fresh").join(more, ["hi", "lo"], "left").select(
+            "hi", "lo", (F.col("documents") + F.coalesce("more", F.lit(0))).alias("documents"),
+            F.greatest("keeper", "later").alias("keeper"),
+        )
 
 
 def repeated_lines(docs: DataFrame, documents: int = MIN_DOCUMENTS, batches: int = BATCHES, fanout: int = FANOUT,
@@ -128,9 +149,8 @@ def repeated_lines(docs: DataFrame, documents: int = MIN_DOCUMENTS, batches: int
     store = LineRuns(fanout)
     for batch in range(batches):
         store.add(lines.where(F.col("batch") == batch).select("doc_id", "hi", "lo"))
-    held = store.runs()
     # written: a plain table on this side lets adaptive execution split the lines of a very frequent key
-    frequent = written(LineRuns.merged(held).where(F.col("documents") >= documents), "frequent")
+    frequent = written(store.totals().where(F.col("documents") >= documents), "frequent")
     gone = lines.join(frequent, ["hi", "lo"]).where("doc_id <> keeper")
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
 
@@ -159,11 +179,11 @@ def dedup_lines(docs: DataFrame, documents: int = MIN_DOCUMENTS, batches: int =
                         key = line_key(line, shortest)
                         if key is None or hashed(key) not in losing:
                             kept.append(line)
-                out.append(b"\n".join(kept).decode())
+                out.append(b"\n".join(kept))
                 total.append(len(lines))
                 dropped.append(len(lines) - len(kept))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())],
+                [batch.column("row"), pa.array(out, pa.binary()).view(pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())],
                 ["row", "text", "n_lines", "n_dropped"],
             )
 
