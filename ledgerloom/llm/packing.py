@@ -9,7 +9,8 @@ rank among the pieces of its length.
 
 Defined cases: a null or empty text is one piece holding only the end id.
 Repeated rows are packed as often as they occur; a null ``doc_id`` is packed
-like any other.  An empty table gives an empty result.
+like any other.  Bytes that are no UTF-8 are encoded as U+FFFD.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import base64
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,10 @@ class ByteTokens(dict):
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     A space before a visible character always starts a new pre-token, so a
-    text is cut there and equal chunks are encoded once.  Texts where the cut
-    is not safe, or that hold a special token's string, are encoded whole.
+    text is cut there and equal chunks are encoded once.  The chunks of a text
+    that are not known yet are encoded in one call and told apart by the ids
+    whose tokens begin with a space.  Texts where the cut is not safe, or that
+    hold a special token's string, are encoded whole.
     """
 
     SPECIAL = "<|"
@@ -58,6 +61,8 @@ class ByteTokens(dict):
         self.plain = tiktoken.Encoding(
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
+        self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)  # tokens that begin with a space
+        self.opens[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
         self.json_path, self._whole = json_path, None
         self.limit = limit
 
@@ -70,20 +75,31 @@ class ByteTokens(dict):
             self._whole = Tokenizer.from_file(self.json_path)
         return self._whole
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
+    def _ids(self, text: str) -> np.ndarray:
+        return self.plain.encode_to_numpy(text).astype("<u4", copy=False)
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Encodes chunks, each with a space before it."""
+        ids = self._ids(" " + " ".join(chunks))
+        raw = ids.tobytes()
+        begins = (4 * np.flatnonzero(self.opens[ids])).tolist()
+        found = dict(zip(chunks, (raw[b:e] for b, e in zip(begins, [*begins[1:], len(raw)])), strict=True))
+        if len(self) + len(found) > self.limit:
             self.clear()
-        value = self[chunk] = np.array(self.plain.encode_ordinary(" " + chunk), dtype="<u4").tobytes()
-        return value
+        self.update(islice(found.items(), self.limit))
+        return found
 
     def encode(self, text: str) -> bytes:
         if self.SPECIAL in text:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if self.UNSAFE.search(text):
-            return np.array(self.plain.encode_ordinary(text), dtype="<u4").tobytes()
-        chunks = text.split(" ")
-        first = self.plain.encode_ordinary(chunks[0])
-        return b"".join(chain((np.array(first, dtype="<u4").tobytes(),), map(self.__getitem__, chunks[1:])))
+            return self._ids(text).tobytes()
+        first, *chunks = text.split(" ")
+        parts = list(map(self.get, chunks))
+        if None in parts:
+            found = self._learn(list(dict.fromkeys(c for c, part in zip(chunks, parts) if part is None)))
+            parts = [found[c] if part is None else part for c, part in zip(chunks, parts)]
+        return b"".join((self._ids(first).tobytes(), *parts))
 
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -105,7 +121,7 @@ def token_pieces(
         for batch in pieces_of(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch)):
-                ids = (coder.encode(text.decode()) if text else b"") + b"\0\0\0\0"
+                ids = (coder.encode(text.decode(errors="replace")) if text else b"") + b"\0\0\0\0"
                 for begin in range(0, len(ids), 4 * length):
                     piece = ids[begin : begin + 4 * length]
                     for column, value in zip(out, (doc, begin // 4, len(piece) // 4, len(ids) // 4, piece)):

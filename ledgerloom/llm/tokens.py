@@ -15,7 +15,7 @@ Defined cases: a null or empty text has one empty leaf and no token.  Edits
 are given in characters of the text before all of them; they must not
 overlap, and edits past the end are cut to it.  Edits with null ends or null
 ``doc_id`` are ignored, a null replacement is empty.  Repeated rows of an id
-get the same edits each.  Empty tables give an empty result.
+get the same edits each.  Bytes that are no UTF-8 count as U+FFFD.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -173,7 +173,7 @@ def token_index(docs: DataFrame, json_path: str | None = None, ranks_path: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_at(json_path, ranks_path)
         for batch in pieces_of(batches):
-            own = [Counted((t or b"").decode(), coder) for t in byte_texts(batch)]
+            own = [Counted((t or b"").decode(errors="replace"), coder) for t in byte_texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text"), pa.array([c.total for c in own], pa.int64()),
                  pa.array([c.characters for c in own], _TREE), pa.array([c.tokens for c in own], _TREE)],
@@ -191,7 +191,7 @@ def _edited(frame: DataFrame, edits_of: Callable[[pa.RecordBatch, int, str], lis
             trees = [batch.column(c).to_pylist() for c in ("characters", "tokens")] if indexed else None
             own, edits, before = [], [], []
             for i, t in enumerate(byte_texts(batch)):
-                counted = Counted((t or b"").decode(), coder, *((trees[0][i], trees[1][i]) if trees else ()))
+                counted = Counted((t or b"").decode(errors="replace"), coder, *((trees[0][i], trees[1][i]) if trees else ()))
                 before.append(counted.total)
                 edits.append(edits_of(batch, i, counted.text))
                 counted.edit(edits[-1])

@@ -66,3 +66,8 @@ def test_chunks_encode_like_the_whole():
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("a b", " a", "a  b", "a \n b", "it's we'll  'S 12ab-- x\t\ty ", "x  y z", "é è\n\nü", "end ", "a\n b", "<|endoftext|> a"):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_bytes_that_are_no_text(spark):
+    frame = spark.range(1).selectExpr("id AS doc_id", "CAST(concat(encode('one  two ', 'utf-8'), X'FF80', encode(' three', 'utf-8')) AS STRING) AS text")
+    assert check([(0, "one  two �� three")], packing.packed_digest(frame).collect()) > 0
