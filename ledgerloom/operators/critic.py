@@ -19,7 +19,8 @@ from ..fixed_values import FINANCIAL_SCHEMAS, GROUNDING_FIELDS
 from ..functions.numerics import nearly_equal, parse_number, scale_multiplier
 from .documents import STOP_AT_FIRST_HARD, check_transactions
 from .rules import (
-    DEFAULT_PACKS, HARD, ROW_RULES, SOFT, VIOLATIONS, Fields, compile_rules, grounding, long_form, rule_fields, violation,
+    DEFAULT_PACKS, HARD, ROW_RULES, SOFT, VIOLATIONS, Fields, compile_rules, grounding, line_items_total, long_form, nested_items,
+    rule_fields, violation,
 )
 
 RELATED = "_related"
@@ -53,7 +54,10 @@ def row_violations(parsed: DataFrame, rules=ROW_RULES, financial=tuple(FINANCIAL
     for group in {id(r): r for r in rules.values()}.values():
         tables = [t for t, r in rules.items() if r is group]
         names = rule_fields(group)
-        fields = Fields({n: F.col("numbers")[n] for n in names}, {n: F.col("data")[n] for n in names}, F.col("scale"))
+        numbers = {n: F.col("numbers")[n] for n in names}
+        if "line_items_total" in numbers:
+            numbers["line_items_total"] = F.coalesce(numbers["line_items_total"], line_items_total(nested_items(F.col("data")["line_items"])))
+        fields = Fields(numbers, {n: F.col("data")[n] for n in names}, F.col("scale"))
         entries, _ = compile_rules(group, fields)
         mine = F.array_compact(F.array(*entries)).cast(VIOLATIONS)
         found = F.when(F.col("target_table").isin(tables), mine) if found is None else found.when(F.col("target_table").isin(tables), mine)

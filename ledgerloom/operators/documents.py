@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numerics import nearly_equal, parse_number, scale_multiplier
+from ..functions.numerics import nearly_equal, scale_multiplier
 from .rules import HARD, ROW_RULES, SOFT, check_rows, long_form, violation, with_numbers
 from .segmented import DEFAULT_WIDTH, carry_last
 
@@ -177,9 +177,3 @@ def income_vs_cash_flow(income: DataFrame, cash: DataFrame, keys: list[str], pos
     return _cross(a.join(b, keys), keys, [
         F.when(fails, violation(0, "cross.stmt.is_vs_cf_net_income", SOFT, F.lit("Logic Error: net income differs between income statement and cash flow"), ["net_income"], F.col("is_net"), F.col("cf_net"))),
     ])
-
-
-def line_items_total(items: Column) -> Column:
-    """Σ of nested line items (``array<map>``); unparseable amounts count as zero."""
-    amount = lambda m: F.coalesce(parse_number(F.coalesce(F.nullif(m["amount"], F.lit("")), m["total_amount"])), F.lit(0.0))
-    return F.when(F.size(items) > 0, F.aggregate(items, F.lit(0.0), lambda acc, m: acc + amount(m)))

@@ -462,16 +462,42 @@ def compile_rules(rules, f: Fields, first_seq: int = 0, blocked: Column | None =
     return out, blocked
 
 
+def nested_items(text: Column) -> Column:
+    """``array<map>`` of a JSON list; entries that are no objects are null."""
+    cells = F.from_json(text, "array<string>")
+    return F.transform(cells, lambda item: F.from_json(item, "map<string,string>"))
+
+
+def line_items_total(items: Column) -> Column:
+    """Σ of nested line items (``array<map>``), null without any.
+
+    An item counts with its ``amount``, else its ``total_amount``; unparseable
+    amounts and entries that are no objects count as zero.
+    """
+    amount = lambda m: F.coalesce(parse_number(F.coalesce(F.nullif(m["amount"], F.lit("")), m["total_amount"]), None), F.lit(0.0))
+    return F.when(F.size(items) > 0, F.aggregate(items, F.lit(0.0), lambda acc, m: acc + amount(m)))
+
+
 def with_numbers(df: DataFrame, fields: list[str], bag: str | None = None, prefix: str = "n_") -> DataFrame:
     """One double column ``n_<field>`` per field, parsed once.
 
     Cells come from the map column ``bag``, or from columns of that name;
-    numeric columns are cast, text is parsed, absent fields are null.
+    numeric columns are cast, text is parsed, absent fields are null.  Where
+    ``line_items_total`` is absent, nested ``line_items`` (a JSON list, or a
+    column of maps or structs) are summed.
     """
     types = dict(df.dtypes)
     cols = {}
     for name in fields:
-        if bag is not None:
+        if name == "line_items_total" and bag is not None:
+            total = line_items_total(nested_items(F.col(bag)["line_items"]))
+            cols[prefix + name] = F.coalesce(parse_number(F.col(bag)[name], None), total)
+        elif name == "line_items_total" and name not in types and "line_items" in types:
+            items = F.col("line_items")
+            if not types["line_items"].startswith("array<map"):
+                items = nested_items(items if types["line_items"] == "string" else F.to_json(items))
+            cols[prefix + name] = line_items_total(items)
+        elif bag is not None:
             cols[prefix + name] = parse_number(F.col(bag)[name], None)
         elif name not in types:
             cols[prefix + name] = F.lit(None).cast("double")

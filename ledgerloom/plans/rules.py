@@ -244,6 +244,38 @@ def invoice_header(src, t):
     return verdict(R.check_rows(t, "vendor_invoice_headers"))
 
 
+NESTED = """
+SELECT l_orderkey AS k, CASE WHEN l_orderkey % 5 > 0 THEN sum(CASE WHEN l_linenumber % 4 = 2 THEN 0.0E0 ELSE l_extendedprice END) END AS line_items_total,
+  sum(CASE WHEN l_linenumber % 4 = 2 THEN 0.0E0 ELSE l_extendedprice END) * CASE WHEN l_orderkey % 3 = 0 THEN 1.5E0 ELSE 1.0E0 END + 10.0E0 * (l_orderkey % 7 - 6) AS total_amount,
+  CASE WHEN l_orderkey % 2 = 0 THEN sum(l_extendedprice) END AS subtotal
+FROM {lineitem} GROUP BY l_orderkey"""
+NESTED_LINES = """
+SELECT l_orderkey AS k, CASE WHEN l_linenumber % 4 = 2 THEN 'n/a' WHEN l_linenumber % 4 = 3 THEN '' ELSE CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR(20)) END AS amount,
+  CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR(20)) AS total_amount
+FROM {lineitem} WHERE l_orderkey % 5 > 0"""
+
+
+@query(
+    "rules_invoice_nested",
+    oracle(listed(
+        ("inv.completeness.subtotal", _INV_STOP),
+        ("inv.identity.line_sum", f"NOT {_INV_STOP} AND NOT " + eq("line_items_total", "total_amount")),
+        ("inv.identity.total", f"NOT {_INV_STOP} AND NOT " + eq("total_amount", "subtotal")),
+    )),
+    t=NESTED,
+    lines=NESTED_LINES,
+)
+def invoice_nested(src, t, lines):
+    """Invoices whose line items stand inside the row, as a JSON list in the bag of cells."""
+    items = lines.groupBy("k").agg(F.to_json(F.collect_list(F.struct("amount", "total_amount"))).alias("line_items"))
+    text = lambda c: F.format_string("%.6f", F.col(c))
+    cells = F.create_map(
+        F.lit("total_amount"), text("total_amount"), F.lit("subtotal"), F.when(F.col("subtotal").isNotNull(), text("subtotal")), F.lit("line_items"), F.col("line_items"),
+    )
+    rows = t.drop("line_items_total").join(items, "k", "left").select("k", cells.alias("cells"))
+    return verdict(R.check_rows(rows, "vendor_invoice_headers", bag="cells"))
+
+
 PURCHASES = """
 SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_totalprice END AS subtotal_amount, CASE WHEN o_orderkey % 2 = 0 THEN 19.0E0 END AS tax_amount,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN o_totalprice + 2000.0E0 ELSE o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 19.0E0 ELSE 0.0E0 END END AS total_value

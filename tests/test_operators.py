@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import alignment, catalog, evaluate, layout, rules, segmented, stitching, vector, views  # noqa: F401
+from ledgerloom.operators import alignment, catalog, critic, evaluate, layout, rules, segmented, stitching, vector, views  # noqa: F401
 from ledgerloom.registry import apply_schema_changes, catalog as view_catalog, default_registry, load_registry, struct_type
 
 
@@ -306,3 +306,26 @@ def test_grounding_fields_of_a_pack(spark, folder):
     got = rules.check_rows(df, "vendor_invoice_headers", bag="data", source_text="body", rules=(), grounding_severity=rules.HARD, grounding_fields=fields)
     found = [[(v.rule_id, v.severity) for v in r.violations] for r in got.collect()]
     assert [[x for x in row if x[0].startswith("grounding")] for row in found] == [[("grounding.value_not_in_source.amount_due", "hard")], []]
+
+
+def test_nested_line_items(spark):
+    """JSON lists with blanks, texts and entries that are no objects; structs; a list without entries is none."""
+    cells = ['[{"amount":"1,000.50"},{"amount":"","total_amount":2},{"amount":"n/a"},7,null]', "[7]", "[]", "{}", "no list", None]
+    frame = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "k int, line_items string")
+    want = [1002.5, 0.0, None, None, None, None]
+    got = rules.with_numbers(frame, ["line_items_total"]).orderBy("k").collect()
+    assert [r.n_line_items_total for r in got] == want
+    bags = frame.select("k", F.create_map(F.lit("line_items"), "line_items").alias("bag"))
+    got = rules.with_numbers(bags, ["line_items_total"], "bag").orderBy("k").collect()
+    assert [r.n_line_items_total for r in got] == want
+    frame = spark.createDataFrame([([(3.0, None), (None, 4.0)],), ([],), (None,)], "line_items array<struct<amount:double,total_amount:double>>")
+    assert [r[1] for r in rules.with_numbers(frame, ["line_items_total"]).collect()] == [7.0, None, None]
+    frame = spark.createDataFrame([(100.0, '[{"amount":"60"},{"total_amount":"40"}]'), (100.0, '[{"amount":"60"}]'), (100.0, "[]")], "total_amount double, line_items string")
+    got = rules.with_verdict(rules.check_rows(frame, "vendor_invoice_headers", packs={})).select("hard_failures").collect()
+    assert [r[0] for r in got] == [[], ["inv.identity.line_sum"], ["inv.completeness.subtotal"]]
+    bags = frame.select(
+        F.lit("d").alias("document_id"), F.lit("vendor_invoice_headers").alias("target_table"), F.monotonically_increasing_id().alias("row_index"),
+        F.create_map(F.lit("total_amount"), F.col("total_amount").cast("string"), F.lit("line_items"), "line_items").alias("data"),
+    )
+    got = critic.row_violations(critic.with_parsed(bags.coalesce(1))).orderBy("row_index").collect()
+    assert [r.rule_id for r in got] == ["inv.identity.line_sum", "inv.completeness.subtotal"]
