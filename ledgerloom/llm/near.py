@@ -4,7 +4,7 @@ A document's set holds the hashes of its different word shingles.  Its sketch
 has ``REGISTERS`` registers; a register is an exponentially spaced, truncated
 minimum ``K = 1 - floor(log_b h)`` over the set, so two sketches of parts
 merge by the register-wise maximum, and two sets agree in a register about as
-often as they share elements.  Bands of four registers propose pairs, the
+often as they share elements.  Bands of six registers propose pairs, the
 joint likelihood of the registers that are larger, smaller and equal
 estimates the similarity and discards hopeless pairs, and the full sets
 confirm the rest.
@@ -17,6 +17,11 @@ within one.  In the others all members of different components are compared
 by their registers, chunk by chunk inside tasks, and only pairs that may
 still be similar leave the task, once each, to be confirmed.
 
+Most documents share no band.  What a step needs of the others, their
+registers or texts, is picked in the scan by a bit map of ids of bounded
+size, so neither the texts nor the registers of all documents are shuffled
+for it; ids that pass by chance fall out of the join that follows.
+
 Defined cases: null or empty texts have empty sets and are linked with
 nothing.  A null ``doc_id`` is linked with nothing and returned with null
 ``component_id`` and ``kept`` true.  Repeated rows of one id are returned as
@@ -35,12 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, byte_texts, mix, pieces_of, shingle_hashes, split_words, texts, written
+from .phrases import Sieve
 
 THRESHOLD = 75  # per cent of the union
 REGISTERS = 512
 BAND_ROWS = 6
 BANDS = 48  # a pair at the threshold misses all of them once in twelve thousand, at 0.8 once in two million
-CHUNK = 512  # members of a bucket that one task compares with each other
+CHUNK = 512  # members of a bucket that are compared with each other at once
+OPEN_CHUNK = 4096  # members of a bucket that meet another such chunk in one group: at most 8 MB of registers
 BASE = 1.001
 RATE = 20.0
 LIMIT = 65_535
@@ -135,8 +142,33 @@ def banded(registers: np.ndarray) -> np.ndarray:
     return registers[..., : BANDS * BAND_ROWS].reshape(*registers.shape[:-1], BANDS, BAND_ROWS)
 
 
-def bands(classes: DataFrame) -> DataFrame:
-    """``doc, bucket``: one row per class and band; a bucket's number tells its band too."""
+def sieve_of(keys: DataFrame, column: str):
+    """A bit map of 64-bit keys for the tasks, at most 32 MB; full ones only let more rows pass."""
+    return keys.sparkSession.sparkContext.broadcast(Sieve.of(keys, column))
+
+
+def ids_sieve(ids: DataFrame, column: str):
+    return sieve_of(ids.select(F.xxhash64(column).alias("key")), "key")
+
+
+def passing(batch: pa.RecordBatch, sieve) -> pa.RecordBatch:
+    """The rows whose ``sieve_key`` is in the sieve."""
+    return batch.filter(pa.array(sieve.value.holds(batch.column("sieve_key").to_numpy(zero_copy_only=False).view(np.uint64))))
+
+
+def picked(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """The rows of the given ids, and few others, without a shuffle of the rows."""
+    sieve, names = ids_sieve(ids, id_column), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield passing(batch, sieve).select(names)
+
+    return rows.withColumn("sieve_key", F.xxhash64(column)).mapInArrow(run, rows.schema)
+
+
+def bands(classes: DataFrame, only=None) -> DataFrame:
+    """``doc, bucket``: one row per class and band, of the buckets in the sieve if one is given; a bucket's number tells its band too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -148,8 +180,11 @@ def bands(classes: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     for j in range(BAND_ROWS):
                         bucket = mix(bucket * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, j] + np.uint64(1))
-                doc = np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), regs.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(bucket.reshape(-1).view(np.int64))], ["doc", "bucket"])
+                doc, bucket = np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), regs.shape[1]), bucket.reshape(-1)
+                if only is not None:
+                    held = only.value.holds(bucket)
+                    doc, bucket = doc[held], bucket[held]
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(bucket.view(np.int64))], ["doc", "bucket"])
 
     return classes.select("doc", "registers").mapInArrow(run, "doc long, bucket long")
 
@@ -216,14 +251,21 @@ def best_partners(crowded: DataFrame, classes: DataFrame, threshold: int) -> Dat
     return dealt.select("bucket", "chunk", "doc", "n", "registers").mapInArrow(run, "a long, b long")
 
 
+def tiles(lefts: np.ndarray, rights: np.ndarray, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Both sides cut into parts of at most ``CHUNK``; of a side with itself, only one half."""
+    for i in range(0, len(lefts), CHUNK):
+        for j in range(i if alone else 0, len(rights), CHUNK):
+            yield lefts[i : i + CHUNK], rights[j : j + CHUNK]
+
+
 def open_pairs(mixed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """``a, b``: all pairs of different components in a bucket that may be similar, each from its first shared band only.
 
     ``mixed`` has ``bucket, size, doc, root``.  Chunk meets chunk in one group
-    of at most two chunks.
+    of at most two chunks, and is compared there in tiles.
     """
     floor = threshold / 100 - MARGIN
-    chunks = F.ceil(F.col("size") / F.lit(CHUNK))
+    chunks = F.ceil(F.col("size") / F.lit(OPEN_CHUNK))
     own = mixed.select("bucket", "doc", "root", F.pmod(F.xxhash64("doc"), chunks).alias("chunk"), chunks.alias("chunks"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(
         "bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "doc", "root"
@@ -238,24 +280,23 @@ def open_pairs(mixed: DataFrame, classes: DataFrame, threshold: int) -> DataFram
             second: list[np.ndarray] = [np.zeros(0, np.int64)]
             for begin, end in groups:
                 here = np.arange(begin, end)
-                left, right = here[chunk[here] == low[begin]], here[chunk[here] == high[begin]]
-                if not len(left) or not len(right):
-                    continue
-                apart = (roots[left][:, None] != roots[right][None, :]) & _similar_sizes(sizes[left], sizes[right], threshold)
-                if low[begin] == high[begin]:
-                    apart &= np.tri(len(left), k=-1, dtype=bool).T
-                if not apart.any():
-                    continue
-                i, j = np.nonzero(apart & (agreement(regs[left], regs[right]) >= floor))
-                mine = band_of(regs[begin], bucket[begin])
-                for part in range(0, len(i), 4096):
-                    x, y = left[i[part : part + 4096]], right[j[part : part + 4096]]
-                    likely = similarity(regs[x], regs[y], sizes[x].astype(float), sizes[y].astype(float)) >= floor
-                    x, y = x[likely], y[likely]
-                    same = (banded(regs[x]) == banded(regs[y])).all(axis=2)
-                    once = same.argmax(axis=1) == mine
-                    first.append(np.minimum(docs[x[once]], docs[y[once]]))
-                    second.append(np.maximum(docs[x[once]], docs[y[once]]))
+                lefts, rights = here[chunk[here] == low[begin]], here[chunk[here] == high[begin]]
+                mine, alone = band_of(regs[begin], bucket[begin]), low[begin] == high[begin]
+                for left, right in tiles(lefts, rights, alone):
+                    apart = (roots[left][:, None] != roots[right][None, :]) & _similar_sizes(sizes[left], sizes[right], threshold)
+                    if alone:
+                        apart &= left[:, None] < right[None, :]
+                    if not apart.any():
+                        continue
+                    i, j = np.nonzero(apart & (agreement(regs[left], regs[right]) >= floor))
+                    for part in range(0, len(i), 4096):
+                        x, y = left[i[part : part + 4096]], right[j[part : part + 4096]]
+                        likely = similarity(regs[x], regs[y], sizes[x].astype(float), sizes[y].astype(float)) >= floor
+                        x, y = x[likely], y[likely]
+                        same = (banded(regs[x]) == banded(regs[y])).all(axis=2)
+                        once = same.argmax(axis=1) == mine
+                        first.append(np.minimum(docs[x[once]], docs[y[once]]))
+                        second.append(np.maximum(docs[x[once]], docs[y[once]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["a", "b"])
 
     dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "doc")
@@ -292,12 +333,17 @@ def plausible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """``doc`` of every pair's ends."""
+    return pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+
+
 def confirmed(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose full sets are similar: ``100 * intersection >= threshold * union``."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in pieces_of(batches):
+        for batch in pieces_of(passing(b, sieve) for b in batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([s.tobytes() for s in _sets(batch, words)], pa.binary())], ["doc", "elements"]
             )
@@ -314,8 +360,9 @@ def confirmed(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame
             del batch
             pa.default_memory_pool().release_unused()
 
-    needed = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct()
-    packed = written(members.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(pack, "doc long, elements binary"), "sets")
+    sieve = ids_sieve(ends(pairs), "doc")
+    rows = members.select("doc_id", "text", F.xxhash64("doc_id").alias("sieve_key"))
+    packed = written(rows.mapInArrow(pack, "doc long, elements binary"), "sets")
     joined = pairs.join(packed.select(F.col("doc").alias("b"), F.col("elements").alias("xb")), "b").join(
         packed.select(F.col("doc").alias("a"), F.col("elements").alias("xa")), "a"
     )
@@ -354,24 +401,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 def linked_classes(classes: DataFrame, members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``doc, root`` of the classes that are linked with another class."""
-    placed = bands(classes)
     shared = written(
-        placed.groupBy("bucket").agg(F.min("doc").alias("leader"), F.max("doc").alias("last"), F.count("*").alias("size")).where("size > 1"),
+        bands(classes).groupBy("bucket").agg(F.min("doc").alias("leader"), F.max("doc").alias("last"), F.count("*").alias("size")).where("size > 1"),
         "shared",
     )
-    two = shared.where("size = 2").select(F.col("leader").alias("a"), F.col("last").alias("b")).distinct()
-    crowded = written(placed.join(shared.where("size > 2").select("bucket", "size"), "bucket"), "crowded")
+    two = written(shared.where("size = 2").select(F.col("leader").alias("a"), F.col("last").alias("b")).distinct(), "two")
+    many = shared.where("size > 2").select("bucket", "size")
+    crowded = written(bands(classes, sieve_of(many, "bucket")).join(many, "bucket"), "crowded")
+    met = ends(two).unionByName(crowded.select("doc")).distinct()
+    live = written(picked(classes.select("doc", "registers", "n"), "doc", met, "doc"), "live")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return confirmed(written(plausible(pairs, classes, threshold), "pairs"), members, threshold)
+        return confirmed(written(plausible(pairs, live, threshold), "pairs"), members, threshold)
 
-    edges = written(links(two.unionByName(best_partners(crowded, classes, threshold)).distinct()), "links")
+    edges = written(links(two.unionByName(best_partners(crowded, live, threshold)).distinct()), "links")
     labels = components(edges)
 
     # what is left: members of different components in one bucket
     named = crowded.join(labels, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     several = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    rest = written(open_pairs(named.join(several, "bucket").select("bucket", "size", "doc", "root"), classes, threshold), "open")
+    rest = written(open_pairs(named.join(several, "bucket").select("bucket", "size", "doc", "root"), live, threshold), "open")
     more = written(confirmed(rest, members, threshold), "links")
     return labels if more.isEmpty() else components(edges.unionByName(more))
 

@@ -69,6 +69,39 @@ def test_chains_and_crowds(spark):
     compare(rows, near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_small_chunks(spark, monkeypatch):
+    """Crowded buckets of many chunks: every chunk still meets every other one."""
+    monkeypatch.setattr(near, "CHUNK", 8)
+    monkeypatch.setattr(near, "OPEN_CHUNK", 16)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    half = list(rng.choice(words, 100))
+    kinds = [half + list(rng.choice(words, 25)) for _ in range(8)]
+    rows = []
+    for i in range(120):
+        own = list(kinds[i % 8])
+        own[100 + rng.integers(25)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    compare(rows, near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_tiles_cover_every_pair_once(monkeypatch):
+    monkeypatch.setattr(near, "CHUNK", 3)
+    one, two = np.arange(8), np.arange(8, 19)
+    seen = [(a, b) for x, y in near.tiles(one, two, False) for a in x for b in y]
+    assert len(seen) == len(set(seen)) == 8 * 11
+    own = [(a, b) for x, y in near.tiles(one, one, True) for a in x for b in y if a < b]
+    assert len(own) == len(set(own)) == 8 * 7 // 2
+
+
+def test_picked_keeps_every_row_asked_for(spark):
+    rows = spark.range(5000).selectExpr("id AS doc", "cast(id AS string) AS text")
+    ids = spark.range(0, 5000, 7).selectExpr("id AS n")
+    got = {r.doc for r in near.picked(rows, "doc", ids, "n").collect()}
+    assert got >= set(range(0, 5000, 7)) and len(got) < 1500
+    assert near.picked(rows, "doc", ids.where("false"), "n").collect() == []
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
     a, b, c = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (300, 200, 60))
