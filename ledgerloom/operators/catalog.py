@@ -54,9 +54,9 @@ def with_job_uri(entries: DataFrame, jobs: DataFrame) -> DataFrame:
     return entries.join(jobs.select("document_id", "s3_uri"), "document_id", "left")
 
 
-def newest(df: DataFrame, by: str = "created_at", limit: int | None = None, tie: str | None = None) -> DataFrame:
-    """Newest first; the first ``limit`` if asked."""
-    order = [F.col(by).desc_nulls_last()] + ([F.col(tie)] if tie else [])
+def newest(df: DataFrame, by: str = "created_at", limit: int | None = None, tie: str | Column | None = None) -> DataFrame:
+    """Newest first, equal times by ``tie``; the first ``limit`` if asked."""
+    order = [F.col(by).desc_nulls_last()] + ([] if tie is None else [F.col(tie) if isinstance(tie, str) else tie])
     return at_most(df.orderBy(*order), limit)
 
 
@@ -190,13 +190,15 @@ def resolve_document(catalog: DataFrame, question: str, order: str = "document_i
 
 
 def corrections_list(corrections: DataFrame, tenant: str, table: str | None = None, unpromoted: bool = False, limit: int | None = None) -> DataFrame:
+    """Corrections of a tenant, newest first; of equal times the largest id first."""
     chosen = corrections.where(F.col("tenant_id") == tenant)
     if table:
         chosen = chosen.where(F.col("target_table") == table)
     if unpromoted:
         chosen = chosen.where(~F.col("promoted"))
-    return newest(chosen, limit=limit, tie="id")
+    return newest(chosen, limit=limit, tie=F.col("id").desc())
 
 
 def unpromoted_corrections(corrections: DataFrame, limit: int | None = None) -> DataFrame:
-    return newest(corrections.where(~F.col("promoted")), limit=limit, tie="id")
+    """Waiting corrections, newest first; of equal times the largest id first."""
+    return newest(corrections.where(~F.col("promoted")), limit=limit, tie=F.col("id").desc())

@@ -329,3 +329,11 @@ def test_nested_line_items(spark):
     )
     got = critic.row_violations(critic.with_parsed(bags.coalesce(1))).orderBy("row_index").collect()
     assert [r.rule_id for r in got] == ["inv.identity.line_sum", "inv.completeness.subtotal"]
+
+
+def test_corrections_of_one_time(spark):
+    rows = [(i, "t1", "bank", i % 5 == 0, 7 if i < 9 else 3) for i in range(1, 20)]
+    df = spark.createDataFrame(rows, "id long, tenant_id string, target_table string, promoted boolean, created_at long")
+    waiting = [i for i, *_, promoted, _ in sorted(rows, key=lambda r: (r[4], r[0]), reverse=True) if not promoted]
+    assert [r.id for r in catalog.unpromoted_corrections(df, limit=9).collect()] == waiting[:9]
+    assert [r.id for r in catalog.corrections_list(df, "t1", "bank", unpromoted=True, limit=4).collect()] == waiting[:4]
