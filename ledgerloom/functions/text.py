@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values import (
     AGGREGATION_PATTERNS,
@@ -273,29 +273,19 @@ def ind_as_facts(df: DataFrame, key: str, text: str) -> DataFrame:
 # --- chunks ------------------------------------------------------------------
 
 
-class Breaks:
-    """Where a text may be cut: for each kind of mark, the sorted ends of all its places."""
-
-    def __init__(self, text: str, marks: Sequence[str] = CHUNK_BREAKS):
-        self.kinds = [
-            (len(mark), [m.start() + len(mark) for m in re.finditer(f"(?={re.escape(mark)})", text)]) for mark in marks
-        ]
-
-    def best(self, after: int, until: int) -> int:
-        """The last end of the first kind that has a mark beginning past ``after`` and ending by ``until``."""
-        for width, ends in self.kinds:
-            last = bisect_right(ends, until)
-            if last and ends[last - 1] - width > after:
-                return ends[last - 1]
-        return until
-
-
 def chunk_spans(text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> Iterator[tuple[int, int]]:
-    """(begin, end) of overlapping windows; a window ends at a break unless none lies past the overlap."""
-    breaks, begin, end = Breaks(text), 0, 0
+    """(begin, end) of overlapping windows; a window ends at a break unless none lies past the overlap.
+
+    The break is the last one in the window of the first kind of mark that has any.
+    """
+    begin, end = 0, 0
     while end < len(text):
         reach = begin + size
-        end = len(text) if reach >= len(text) else breaks.best(begin + overlap, reach)
+        if reach >= len(text):
+            end = len(text)
+        else:
+            places = ((text.rfind(mark, begin + overlap + 1, reach), mark) for mark in CHUNK_BREAKS)
+            end = next((at + len(mark) for at, mark in places if at >= 0), reach)
         yield begin, end
         begin = max(begin + 1, end - overlap)
 
@@ -306,20 +296,41 @@ def chunk_list(text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP)
     return list(filter(None, cut)) or [""]
 
 
-def chunk_texts(size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP):
-    """Arrow UDF: text to ``array<string>`` (each start depends on the break before)."""
-
-    @F.pandas_udf("array<string>")
-    def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: chunk_list(t or "", size, overlap))
-
-    return chunks
+CHUNK_ROWS, CHUNK_BATCH_CHARS = 4096, 1 << 20  # what a task holds of its output
 
 
 def chunk_text(df: DataFrame, text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """One row per chunk: (…, chunk_index, chunk_count, chunk_text) without ``text``."""
-    cut = df.withColumn("_chunks", chunk_texts(size, overlap)(F.col(text))).drop(text)
-    return cut.select(
-        "*", F.size("_chunks").alias("chunk_count"), F.posexplode("_chunks").alias("chunk_index", "chunk_text")
-    ).drop("_chunks")
+    """One row per chunk: (…, chunk_index, chunk_count, chunk_text) without ``text``.
+
+    Each start depends on the break before, so a text is read in one go; texts
+    are taken from their Arrow batch one at a time and chunks leave in small batches.
+    """
+    others = [f for f in df.schema if f.name != text]
+    kind = T.StructType([
+        *others, T.StructField("chunk_count", T.IntegerType(), False), T.StructField("chunk_index", T.IntegerType(), False),
+        T.StructField("chunk_text", T.StringType(), False),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text))
+            rest = batch.select([f.name for f in others])
+
+            def out(chunks: list[tuple]) -> pa.RecordBatch:
+                rows, counts, places, cut = zip(*chunks)
+                columns = [*rest.take(pa.array(rows, pa.int64())).columns, pa.array(counts, pa.int32()), pa.array(places, pa.int32()), pa.array(cut, texts.type)]
+                return pa.RecordBatch.from_arrays(columns, names=kind.fieldNames())
+
+            held, chars = [], 0
+            for row in range(batch.num_rows):
+                chunks = chunk_list(texts[row].as_py() or "", size, overlap)
+                for place, chunk in enumerate(chunks):
+                    held.append((row, len(chunks), place, chunk))
+                    chars += len(chunk)
+                    if len(held) >= CHUNK_ROWS or chars >= CHUNK_BATCH_CHARS:
+                        yield out(held)
+                        held, chars = [], 0
+            if held:
+                yield out(held)
+
+    return df.mapInArrow(run, kind)
