@@ -1,13 +1,15 @@
 """Document-level rules: row lists, running balances, cross-table checks.
 
 All inputs carry a document key and a row position.  Every cross-table check
-reduces each side to one row per document first (partial aggregation before
-the shuffle) and then joins on the document, so a huge document costs one
-reduced row, not a huge task.
+reduces the rows of all its tables to one row per document in one aggregate
+(partial aggregation before the shuffle), so a huge document costs one reduced
+row, not a huge task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,20 +100,48 @@ def check_transactions(
 # --- cross-table -------------------------------------------------------------
 
 
-def first_rows(df: DataFrame, keys: list[str], position: str, fields: dict[str, str], bag: str | None = None) -> DataFrame:
-    """First row of each document: ``fields`` maps output to ``a|b`` alternatives.
+class Side:
+    """A table's rows with what is taken of them per document: aggregates over columns of its own.
 
-    Only numbers are carried, one ``min_by`` each, so the aggregate stays a
-    hash aggregate.
+    Columns are prefixed by ``name``, so that the rows of several tables can
+    be reduced together.  Only numbers are carried, one ``min_by`` each, so
+    the aggregate stays a hash aggregate.
     """
+
+    def __init__(self, name: str, df: DataFrame, keys: list[str], position: str, fields: dict[str, Column]):
+        self.name, self.at, self.parts = name, f"_{name}_at", {}
+        self.rows = df.select(*keys, F.col(position).alias(self.at), *[v.alias(f"_{name}_{n}") for n, v in fields.items()])
+
+    def col(self, field: str) -> Column:
+        return F.col(f"_{self.name}_{field}")
+
+    def first(self, out: str, field: str | None = None) -> Side:
+        self.parts[out] = F.min_by(self.col(field or out), F.col(self.at))
+        return self
+
+
+def first_rows(df: DataFrame, keys: list[str], position: str, fields: dict[str, str], bag: str | None = None, name: str = "a", scale: str | None = None) -> Side:
+    """First row of each document: ``fields`` maps output to ``a|b`` alternatives; its scale on request, under that name."""
     names = list(dict.fromkeys(n for t in fields.values() for n in t.split("|")))
+    values = {out: F.coalesce(*[F.col(f"n_{n}") for n in t.split("|")]) for out, t in fields.items()}
     text = F.col(bag)["context_scale"] if bag else (F.col("context_scale") if "context_scale" in df.columns else None)
-    scale = F.lit(1.0) if text is None else scale_multiplier(text)
-    rows = with_numbers(df, names, bag).withColumn("_scale", scale)
-    first = lambda t: F.min_by(F.coalesce(*[F.col(f"n_{n}") for n in t.split("|")]), F.col(position))
-    return rows.groupBy(*keys).agg(
-        *[first(t).alias(out) for out, t in fields.items()], F.min_by("_scale", position).alias("scale")
-    )
+    if scale:
+        values[scale] = F.lit(1.0) if text is None else scale_multiplier(text)
+    side = Side(name, with_numbers(df, names, bag), keys, position, values)
+    for out in values:
+        side.first(out)
+    return side
+
+
+def reduced(keys: list[str], *sides: Side) -> DataFrame:
+    """One row per document with the facts of all its tables; a table it lacks leaves nulls.
+
+    The rows of the tables meet in one aggregate: a join of reduced tables
+    would hold an aggregate and a sort of every side at once.
+    """
+    rows = reduce(lambda a, c: a.unionByName(c, allowMissingColumns=True), [s.rows for s in sides])
+    known = reduce(lambda a, c: a & c, [F.col(k).isNotNull() for k in keys])
+    return rows.where(known).groupBy(*keys).agg(*[c.alias(out) for s in sides for out, c in s.parts.items()])
 
 
 def _cross(df: DataFrame, keys: list[str], entries: list[Column]) -> DataFrame:
@@ -120,34 +150,35 @@ def _cross(df: DataFrame, keys: list[str], entries: list[Column]) -> DataFrame:
 
 def invoice_header_vs_lines(headers: DataFrame, lines: DataFrame, keys: list[str], position: str = "row_index", bag: str | None = None) -> DataFrame:
     """Σ line totals against the header's subtotal (hard), else its total (soft)."""
-    head = first_rows(headers, keys, position, {"total": "total_amount", "subtotal": "subtotal_amount|subtotal"}, bag)
+    head = first_rows(headers, keys, position, {"total": "total_amount", "subtotal": "subtotal_amount|subtotal"}, bag, "head", "scale")
     names = ["total_amount", "total_price", "amount"]
     value = F.coalesce(*[F.col(f"n_{n}") for n in names])
-    sums = with_numbers(lines, names, bag).groupBy(*keys).agg(F.sum(value.cast("decimal(30,6)")).cast("double").alias("line_sum"))
-    both = head.join(sums.where("line_sum IS NOT NULL"), keys)
+    line = Side("line", with_numbers(lines, names, bag), keys, position, {"value": value.cast("decimal(30,6)")})
+    line.parts["line_sum"] = F.sum(line.col("value")).cast("double")
     target = F.coalesce("subtotal", "total")
     fails = target.isNotNull() & ~nearly_equal(F.col("line_sum"), target, F.col("scale"))
     severity = F.when(F.col("subtotal").isNotNull(), HARD).otherwise(SOFT)
     message = F.concat(F.lit("Logic Error: Σ line items "), F.col("line_sum").cast("string"), F.lit(" ≠ header "), target.cast("string"))
-    return _cross(both, keys, [F.when(fails, violation(0, "cross.inv.header_vs_lines", severity, message, ["total_amount", "subtotal_amount", "invoice_line_items"], target, F.col("line_sum")))])
+    return _cross(reduced(keys, head, line), keys, [F.when(fails, violation(0, "cross.inv.header_vs_lines", severity, message, ["total_amount", "subtotal_amount", "invoice_line_items"], target, F.col("line_sum")))])
 
 
-def transaction_ends(df: DataFrame, keys: list[str], position: str, bag: str | None = None) -> DataFrame:
+def transaction_ends(df: DataFrame, keys: list[str], position: str, bag: str | None = None) -> Side:
     """First row's amounts and the last known balance of each statement."""
     rows = with_numbers(df, ["balance", "deposit_amount", "withdrawal_amount"], bag)
-    balance = F.col("n_balance")
-    first = lambda c, name: F.min_by(c, F.col(position)).alias(name)
-    return rows.groupBy(*keys).agg(
-        first(balance, "first_balance"),
-        first(F.coalesce("n_deposit_amount", F.lit(0.0)), "first_deposit"),
-        first(F.coalesce("n_withdrawal_amount", F.lit(0.0)), "first_withdrawal"),
-        F.max_by(balance, F.when(balance.isNotNull(), F.col(position))).alias("last_balance"),
-    )
+    zero = F.lit(0.0)
+    side = Side("tx", rows, keys, position, {
+        "balance": F.col("n_balance"), "deposit": F.coalesce("n_deposit_amount", zero), "withdrawal": F.coalesce("n_withdrawal_amount", zero),
+    })
+    for out, field in {"first_balance": "balance", "first_deposit": "deposit", "first_withdrawal": "withdrawal"}.items():
+        side.first(out, field)
+    balance = side.col("balance")
+    side.parts["last_balance"] = F.max_by(balance, F.when(balance.isNotNull(), F.col(side.at)))
+    return side
 
 
 def bank_header_vs_transactions(headers: DataFrame, transactions: DataFrame, keys: list[str], position: str = "row_index", bag: str | None = None) -> DataFrame:
-    head = first_rows(headers, keys, position, {"opening": "opening_balance|beginning_balance", "closing": "closing_balance|ending_balance"}, bag)
-    both = head.join(transaction_ends(transactions, keys, position, bag), keys)
+    head = first_rows(headers, keys, position, {"opening": "opening_balance|beginning_balance", "closing": "closing_balance|ending_balance"}, bag, "head", "scale")
+    both = reduced(keys, head, transaction_ends(transactions, keys, position, bag))
     implied = F.col("first_balance") - F.col("first_deposit") + F.col("first_withdrawal")
     closing = ~nearly_equal(F.col("closing"), F.col("last_balance"), F.col("scale"))
     opening = ~nearly_equal(F.col("opening"), implied, F.col("scale"))
@@ -157,23 +188,46 @@ def bank_header_vs_transactions(headers: DataFrame, transactions: DataFrame, key
     ])
 
 
-def balance_vs_cash_flow(balance: DataFrame, cash: DataFrame, keys: list[str], position: str = "row_index", bag: str | None = None) -> DataFrame:
-    bs = first_rows(balance, keys, position, {"cash": "cash_and_equivalents", "prior": "prior_cash_and_equivalents|beginning_cash"}, bag)
-    cf = first_rows(cash, keys, position, {"change": "net_change_in_cash", "begin": "beginning_cash|cash_at_beginning", "ending": "cash_at_end|ending_cash"}, bag).drop("scale")
-    both = bs.join(cf, keys)
+def _balance_side(balance: DataFrame, keys: list[str], position: str, bag: str | None) -> Side:
+    return first_rows(balance, keys, position, {"cash": "cash_and_equivalents", "prior": "prior_cash_and_equivalents|beginning_cash"}, bag, "bs", "bs_scale")
+
+
+def _income_side(income: DataFrame, keys: list[str], position: str, bag: str | None) -> Side:
+    return first_rows(income, keys, position, {"is_net": "net_income"}, bag, "is", "is_scale")
+
+
+# what each check reads of the cash flow
+_FOR_BALANCE = {"change": "net_change_in_cash", "begin": "beginning_cash|cash_at_beginning", "ending": "cash_at_end|ending_cash"}
+_FOR_INCOME = {"cf_net": "net_income|profit_for_the_period"}
+
+
+def _balance_checks() -> list[Column]:
     delta = F.col("cash") - F.coalesce("prior", "begin")
-    ending = ~nearly_equal(F.col("ending"), F.col("cash"), F.col("scale"))
-    change = ~nearly_equal(F.col("change"), delta, F.col("scale"))
-    return _cross(both, keys, [
+    ending = ~nearly_equal(F.col("ending"), F.col("cash"), F.col("bs_scale"))
+    change = ~nearly_equal(F.col("change"), delta, F.col("bs_scale"))
+    return [
         F.when(ending, violation(0, "cross.stmt.cf_ending_vs_bs_cash", SOFT, F.lit("Logic Error: cash flow ending cash ≠ balance sheet cash"), ["cash_and_equivalents", "cash_at_end"], F.col("cash"), F.col("ending"))),
         F.when(change, violation(1, "cross.stmt.cf_change_vs_bs_delta", SOFT, F.lit("Logic Error: net change ≠ change of balance sheet cash"), ["net_change_in_cash", "cash_and_equivalents"], delta, F.col("change"))),
-    ])
+    ]
+
+
+def _income_checks(seq: int = 0) -> list[Column]:
+    fails = ~nearly_equal(F.col("is_net"), F.col("cf_net"), F.col("is_scale"))
+    return [F.when(fails, violation(seq, "cross.stmt.is_vs_cf_net_income", SOFT, F.lit("Logic Error: net income differs between income statement and cash flow"), ["net_income"], F.col("is_net"), F.col("cf_net")))]
+
+
+def balance_vs_cash_flow(balance: DataFrame, cash: DataFrame, keys: list[str], position: str = "row_index", bag: str | None = None) -> DataFrame:
+    cf = first_rows(cash, keys, position, _FOR_BALANCE, bag, "cf")
+    return _cross(reduced(keys, _balance_side(balance, keys, position, bag), cf), keys, _balance_checks())
 
 
 def income_vs_cash_flow(income: DataFrame, cash: DataFrame, keys: list[str], position: str = "row_index", bag: str | None = None) -> DataFrame:
-    a = first_rows(income, keys, position, {"is_net": "net_income"}, bag)
-    b = first_rows(cash, keys, position, {"cf_net": "net_income|profit_for_the_period"}, bag).drop("scale")
-    fails = ~nearly_equal(F.col("is_net"), F.col("cf_net"), F.col("scale"))
-    return _cross(a.join(b, keys), keys, [
-        F.when(fails, violation(0, "cross.stmt.is_vs_cf_net_income", SOFT, F.lit("Logic Error: net income differs between income statement and cash flow"), ["net_income"], F.col("is_net"), F.col("cf_net"))),
-    ])
+    cf = first_rows(cash, keys, position, _FOR_INCOME, bag, "cf")
+    return _cross(reduced(keys, _income_side(income, keys, position, bag), cf), keys, _income_checks())
+
+
+def statement_checks(balance: DataFrame, income: DataFrame, cash: DataFrame, keys: list[str], position: str = "row_index", bag: str | None = None) -> DataFrame:
+    """Both checks of the cash flow, against balance sheet and income statement, out of one aggregate."""
+    cf = first_rows(cash, keys, position, _FOR_BALANCE | _FOR_INCOME, bag, "cf")
+    facts = reduced(keys, _balance_side(balance, keys, position, bag), cf, _income_side(income, keys, position, bag))
+    return _cross(facts, keys, [*_balance_checks(), *_income_checks(2)])

@@ -132,7 +132,7 @@ def stmt_cross_checks(src, st):
     bs = st.select("k", zero, F.col("cash").alias("cash_and_equivalents"), F.col("prior").alias("beginning_cash"))
     cf = st.select("k", zero, F.col("change").alias("net_change_in_cash"), F.col("cf_prior").alias("cash_at_beginning"), F.col("ending").alias("cash_at_end"), F.col("cf_net").alias("profit_for_the_period"))
     inc = st.select("k", zero, F.col("is_net").alias("net_income"))
-    found = D.balance_vs_cash_flow(bs, cf, ["k"]).unionByName(D.income_vs_cash_flow(inc, cf, ["k"]))
+    found = D.statement_checks(bs, inc, cf, ["k"])
     return found.select("k", "rule_id", F.round("expected", 2).alias("expected"))
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import alignment, catalog, critic, evaluate, layout, rules, segmented, stitching, vector, views  # noqa: F401
+from ledgerloom.operators import alignment, catalog, critic, documents, evaluate, layout, rules, segmented, stitching, vector, views  # noqa: F401
 from ledgerloom.registry import apply_schema_changes, catalog as view_catalog, default_registry, load_registry, struct_type
 
 
@@ -337,3 +337,20 @@ def test_corrections_of_one_time(spark):
     waiting = [i for i, *_, promoted, _ in sorted(rows, key=lambda r: (r[4], r[0]), reverse=True) if not promoted]
     assert [r.id for r in catalog.unpromoted_corrections(df, limit=9).collect()] == waiting[:9]
     assert [r.id for r in catalog.corrections_list(df, "t1", "bank", unpromoted=True, limit=4).collect()] == waiting[:4]
+
+
+def test_statements_meet_in_one_aggregate(spark, capsys):
+    """First rows only, documents that lack a table or a key find nothing, and no side is held for a join."""
+    bs = spark.createDataFrame([("a", 1, 10.0), ("a", 0, 5.0), ("b", 0, 7.0), (None, 0, 1.0)], "k string, row_index int, cash_and_equivalents double")
+    cf = spark.createDataFrame([("a", 0, 9.0, 2.0), ("c", 0, 3.0, 4.0), (None, 0, 8.0, 9.0), ("b", 3, 7.0, 1.0)], "k string, row_index int, cash_at_end double, net_income double")
+    income = spark.createDataFrame([("a", 0, 2.0), ("b", 2, 6.0), ("b", 5, 1.0), ("d", 0, 1.0)], "k string, row_index int, net_income double")
+    found = documents.statement_checks(bs, income, cf, ["k"])
+    apart = documents.balance_vs_cash_flow(bs, cf, ["k"]).unionByName(documents.income_vs_cash_flow(income, cf, ["k"]))
+    for checks, exchanges in ((found, 1), (apart, 2)):
+        checks.explain()
+        plan = capsys.readouterr().out
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == exchanges
+    assert {(r.k, r.rule_id.split(".")[-1], r.expected, r.actual) for r in found.collect()} == {
+        ("a", "cf_ending_vs_bs_cash", 5.0, 9.0), ("b", "is_vs_cf_net_income", 6.0, 1.0),
+    }
+    assert {(r.k, r.rule_id) for r in apart.collect()} == {(r.k, r.rule_id) for r in found.collect()}
