@@ -15,6 +15,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 # every kind of blank, spelled out (much faster than the Unicode flag)
 BLANKS = r"\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK_CHARS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:

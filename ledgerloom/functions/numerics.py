@@ -1,8 +1,8 @@
 """Financial numbers: parsing, scale, tolerance, grounding, currency.
 
 Every function takes and returns a ``Column``; nothing here needs Python at
-run time.  ``parse_number`` is one chain of single-reference expressions, so
-it does not blow up when composed.
+run time.  ``parse_number`` binds the text of each stage once, so it does not
+blow up when composed.
 """
 
 from __future__ import annotations
@@ -20,13 +20,12 @@ from ..fixed_values import (
     UNSCALED_FIELDS,
 )
 
-from .hof import BLANKS as _BLANKS
+from .hof import BLANK_CHARS, let
 
-_DECIMAL_MARK = "\ue000"  # stands for a decimal comma while commas are sorted out
 _PLAIN = r"^\$?(?:\d{1,15}|\d{1,3}(?:,\d{3}){1,4})(?:\.\d{1,15})?$"
-_NEGATIVE = rf"(?s)^[{_BLANKS}]*(?:-|\(.*\)[{_BLANKS}]*$)|-[{_BLANKS}]*$"
-_PARENTHESES = rf"(?s)^[{_BLANKS}]*\((.*)\)[{_BLANKS}]*$"
-_NOISE = rf"^[{_BLANKS}]*-+|-+[{_BLANKS}]*$|[$€£¥₹{_BLANKS}]|[rR][sS]\.?"
+_NOISE = "$€£¥₹" + BLANK_CHARS
+_SUFFIX_ENDS = sorted({suffix[-1] for suffix in NUMBER_SUFFIX})
+_DIGITS = r"^[+-]?(?:\d++\.?\d*+|\.\d++)(?:[eE][+-]?\d++)?$"
 _FLOAT = r"^[+-]?(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d+)?$"
 
 
@@ -43,27 +42,53 @@ def parse_number(value: Column, field: str | None = None) -> Column:
     The words ``nan`` and ``inf`` are null here, as a blank cell is.
     """
     text = value.cast("string")
-    body = F.regexp_replace(F.regexp_replace(text, _PARENTHESES, "$1"), _NOISE, "")
-    body = F.rtrim(body, F.lit("%"))
+    plain = F.translate(text, "$,", "").try_cast("double")
+    return F.when(text.rlike(_PLAIN), plain).otherwise(let(F.btrim(text, F.lit(BLANK_CHARS)), lambda s: _signed(s, field)))
+
+
+def _signed(s: Column, field: str | None) -> Column:
+    """A cell without blanks around it.  Each stage binds its text once; regular expressions run only where one can match."""
+    enclosed = s.startswith("(") & s.endswith(")")
+    inner = F.when(enclosed, F.btrim(s.substr(F.lit(2), F.length(s) - 2), F.lit(BLANK_CHARS))).otherwise(s)
+    bare = F.rtrim(F.ltrim(inner, F.lit("-")), F.lit("-"))
+    bare = let(bare, lambda u: F.when(F.lower(u).contains("rs"), F.regexp_replace(u, r"[rR][sS]\.?", "")).otherwise(u))
+    body = F.rtrim(F.translate(bare, _NOISE, ""), F.lit("%"))
     if field is not None and field.strip().lower() in UNSCALED_FIELDS:
-        digits, scale = body, F.lit(1.0)
+        magnitude = _magnitude(body)
     else:
-        digits = F.regexp_replace(body, NUMBER_SUFFIX_PATTERN, "")
-        suffix = F.lower(F.regexp_extract(body, NUMBER_SUFFIX_PATTERN, 1))
-        scale = F.coalesce(literal_map(NUMBER_SUFFIX)[suffix], F.lit(1.0))
-    # one comma, no dot, at most two digits after it: a decimal comma
-    digits = F.regexp_replace(digits, r"^([^.,]*),([^.,]{0,2})$", f"$1{_DECIMAL_MARK}$2")
-    # one comma, after the last dot: a decimal comma with dots as grouping
-    digits = F.regexp_replace(digits, r"^([^,]*\.[^,]*),([^.,]*)$", f"$1{_DECIMAL_MARK}$2")
-    # several commas, the last one after the last dot: not a number
-    digits = F.regexp_replace(digits, r"^.*\.[^.]*,[^.]*$", "?")
-    digits = F.regexp_replace(digits, rf"\.(?=.*{_DECIMAL_MARK})", "")
-    digits = F.translate(digits, f"{_DECIMAL_MARK},", ".")
-    digits = F.translate(F.regexp_extract(digits, _FLOAT, 0), "_", "")
-    magnitude = digits.try_cast("double") * scale
-    signed = magnitude * F.when(text.rlike(_NEGATIVE), -1.0).otherwise(1.0)
-    plain = F.translate(text, "$,", "").try_cast("double")
-    return F.when(text.rlike(_PLAIN), plain).otherwise(signed)
+        magnitude = let(body, lambda b: F.when(F.lower(F.right(b, F.lit(1))).isin(_SUFFIX_ENDS), _scaled(b)).otherwise(_magnitude(b)))
+    return magnitude * F.when(enclosed | s.startswith("-") | s.endswith("-"), -1.0).otherwise(1.0)
+
+
+def _scaled(body: Column) -> Column:
+    """A text that may end in a scale suffix."""
+
+    def times(suffix: Column) -> Column:
+        digits = body.substr(F.lit(1), F.length(body) - F.length(suffix))
+        return _magnitude(digits) * F.coalesce(literal_map(NUMBER_SUFFIX)[F.lower(suffix)], F.lit(1.0))
+
+    return let(F.regexp_extract(body, NUMBER_SUFFIX_PATTERN, 1), times)
+
+
+def _magnitude(digits: Column) -> Column:
+    """Digits with commas and dots; null when they are no number."""
+
+    def without_commas(d: Column) -> Column:
+        behind = F.substring_index(d, ",", -1)
+        single = F.length(F.substring_index(d, ",", 1)) + F.length(behind) + 1 == F.length(d)
+        dotted = d.contains(".")
+        return (
+            # one comma, no dot, at most two digits after it: a decimal comma
+            F.when(single & ~dotted & (F.length(behind) <= 2), F.replace(d, F.lit(","), F.lit(".")))
+            .when(~dotted | behind.contains("."), F.replace(d, F.lit(","), F.lit("")))
+            # one comma, after the last dot: a decimal comma with dots as grouping
+            .when(single, F.replace(F.replace(d, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            # several commas, the last one after the last dot: not a number
+        )
+
+    number = let(digits, lambda d: F.when(d.contains(","), without_commas(d)).otherwise(d))
+    grouped = lambda n: F.translate(F.regexp_extract(n, _FLOAT, 0), "_", "")
+    return let(number, lambda n: F.when(n.rlike(_DIGITS), n).when(n.contains("_"), grouped(n))).try_cast("double")
 
 
 def first_number(*values: Column) -> Column:
