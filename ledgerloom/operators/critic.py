@@ -30,9 +30,9 @@ _NESTED_ROWS = "array<map<string,string>>"
 
 
 def with_parsed(rows: DataFrame) -> DataFrame:
-    """Adds ``numbers`` (every cell parsed) and ``scale``."""
+    """Adds ``numbers`` (every cell parsed but the nested rows) and ``scale``."""
     return rows.withColumns({
-        "numbers": F.transform_values("data", lambda _, v: parse_number(v)),
+        "numbers": F.transform_values("data", lambda k, v: F.when(k != RELATED, parse_number(v))),
         "scale": scale_multiplier(F.col("data")["context_scale"]),
     })
 
@@ -198,22 +198,33 @@ def source_violations(parsed: DataFrame, sources: DataFrame, fields: dict[str, l
     return long_form(met.withColumn("violations", found), ["document_id", "row_index"])
 
 
+CHECKS = ("rows", "transactions", "between", "grounding")
+
+
 def document_violations(
     rows: DataFrame, financial=tuple(FINANCIAL_SCHEMAS), packs=DEFAULT_PACKS, sources: DataFrame | None = None,
-    grounding_fields: dict[str, list[str]] | None = None, grounding_severity: str = SOFT,
+    grounding_fields: dict[str, list[str]] | None = None, grounding_severity: str = SOFT, checks: tuple[str, ...] = CHECKS,
 ) -> DataFrame:
     """Everything wrong with each document: ``document_id, row_index`` (null between tables) and the violation.
 
     With ``sources`` (document_id, source_text) the first rows are also
-    grounded in the text.
+    grounded in the text.  Who reads only some kinds of ``checks`` names them:
+    the others are then not computed.
     """
+    if set(checks) - set(CHECKS):
+        raise ValueError(f"checks are {', '.join(CHECKS)}")
     own = with_parsed(rows.select("document_id", "target_table", F.col("row_index").cast("long").alias("row_index"), "data"))
-    nested = with_parsed(nested_rows(rows))
-    parts = [
-        row_violations(own, financial=financial, packs=packs).drop("target_table"),
-        check_transactions(own.where(F.col("target_table") == TRANSACTIONS), ["document_id"], "row_index", bag="data"),
-        cross_violations(own.withColumn("own", F.lit(True)).unionByName(nested.withColumn("own", F.lit(False)))),
-    ]
-    if sources is not None:
+    parts = []
+    if "rows" in checks:
+        parts.append(row_violations(own, financial=financial, packs=packs).drop("target_table"))
+    if "transactions" in checks:
+        parts.append(check_transactions(own.where(F.col("target_table") == TRANSACTIONS), ["document_id"], "row_index", bag="data"))
+    if "between" in checks:
+        nested = with_parsed(nested_rows(rows))
+        between = cross_violations(own.withColumn("own", F.lit(True)).unionByName(nested.withColumn("own", F.lit(False))))
+        parts.append(between.withColumn("row_index", F.lit(None).cast("long")))
+    if "grounding" in checks and sources is not None:
         parts.append(source_violations(own, sources, grounding_fields, grounding_severity))
-    return reduce(lambda a, c: a.unionByName(c, allowMissingColumns=True), parts)
+    if not parts:
+        raise ValueError("grounding needs sources")
+    return reduce(lambda a, c: a.unionByName(c), parts)

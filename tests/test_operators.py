@@ -354,3 +354,24 @@ def test_statements_meet_in_one_aggregate(spark, capsys):
         ("a", "cf_ending_vs_bs_cash", 5.0, 9.0), ("b", "is_vs_cf_net_income", 6.0, 1.0),
     }
     assert {(r.k, r.rule_id) for r in apart.collect()} == {(r.k, r.rule_id) for r in found.collect()}
+
+
+def test_named_checks_alone(spark, capsys):
+    """Each kind of check alone gives its part of the whole, without the shuffles of the others."""
+    rows = spark.createDataFrame([
+        ("a", "vendor_invoice_headers", 0, {"total_amount": "10.00", "_related": '{"invoice_line_items":[{"amount":"7"}]}'}),
+        ("a", "vendor_invoice_headers", 1, {"total_amount": "3"}),
+        ("b", "bank_statement_headers", 0, {"closing_balance": "9"}),
+        ("b", "bank_statement_transactions", 0, {"balance": "5", "deposit_amount": "5"}),
+        ("b", "bank_statement_transactions", 1, {"balance": "8", "deposit_amount": "2"}),
+    ], "document_id string, target_table string, row_index long, data map<string,string>")
+    sources = spark.createDataFrame([("a", "Total 11.00")], "document_id string, source_text string")
+    found = lambda **kw: sorted(critic.document_violations(rows, sources=sources, **kw).select("document_id", "rule_id").collect())
+    parts = {c: found(checks=(c,)) for c in critic.CHECKS}
+    assert sorted(sum(parts.values(), [])) == found()
+    assert [r.rule_id for r in parts["grounding"]] == ["grounding.value_not_in_source.total_amount"]
+    assert ("a", "cross.inv.header_vs_lines") in parts["between"] and ("b", "bank.tx.running_balance") in parts["transactions"]
+    critic.document_violations(rows, sources=sources, checks=("grounding",)).explain()
+    assert "Aggregate" not in capsys.readouterr().out
+    with pytest.raises(ValueError):
+        critic.document_violations(rows, checks=("all",))
