@@ -189,7 +189,7 @@ def document_bundle(src, b):
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    found = K.document_violations(rows).where("row_index IS NULL")
+    found = K.document_violations(rows, checks=("between",))
     return found.select(F.col("document_id").cast("long").alias("k"), "rule_id", "severity")
 
 
