@@ -58,6 +58,7 @@ LOOK_ALIKES = {
 SEPARATORS = ".-_*~'"
 SHORT = 3  # letters of a word that a blank may have been put into
 _EDGES = "\"#%&'),-./:;<=>?[\\]^_`{}~*"
+_EDGE_BYTES = _EDGES.encode()
 
 
 class CharacterModel:
@@ -148,15 +149,18 @@ def decode(word: str, model: CharacterModel) -> str:
 
 _PLAIN = re.compile(r"[^\W\d_]+")
 _THRICE = re.compile(r"(.)\1\1")
+_THRICE_BYTES = re.compile(rb"(.)\1\1")
 _TWICE = re.compile(r"(.)\1")
 _LONGER = re.compile(r"(.)\1{3,}")
+_EMPHASIS = re.compile(r"([^\w])\1+$")
 
 
 def trimmed(word: str) -> str:
     """Without signs at the edges; a run of one sign at the end is emphasis, a single ``!`` too."""
     word = word.strip(_EDGES)
-    stripped = re.sub(r"([^\w])\1+$", "", word).rstrip("!" + _EDGES)
-    return stripped.lstrip("(|+" + _EDGES) if not any(c.isalpha() for c in stripped[:1]) and stripped[:1] in "(|+" else stripped
+    if not word[-1:].isalnum():
+        word = _EMPHASIS.sub("", word).rstrip("!" + _EDGES)
+    return word.lstrip("(|+" + _EDGES) if word[:1] in "(|+" else word
 
 
 def restored(word: bytes, model: CharacterModel) -> str:
@@ -173,6 +177,9 @@ def short_word(word: bytes) -> str | None:
     """A word that may be part of another, without signs at its edges; None for longer words."""
     if len(word) > 16:
         return None
+    plain = word.strip(_EDGE_BYTES)
+    if plain.isalpha():  # of a-z only
+        return plain.decode() if len(plain) <= SHORT else None
     text = trimmed(word.decode(errors="replace").lower()) or word.decode(errors="replace").lower().strip("".join(set(_EDGES) - set(LOOK_ALIKES)))
     return text if len(text) <= SHORT else None
 
@@ -182,7 +189,7 @@ def short_runs(words: list[bytes], short: dict[bytes, str | None]) -> set[str]:
     out: set[str] = set()
     run: list[str] = []
     for word in words:
-        text = short[word]
+        text = None if len(word) > SHORT and word.isalpha() else short[word]
         if text is not None:
             if text:
                 run.append(text)
@@ -222,6 +229,11 @@ class Scorer:
     def _start(self) -> None:
         self.short, self.runs = Cache(short_word), Cache(self.joined)
         self.longest = max(map(len, self.lexicon), default=0)
+        # what a word must be, or begin with, to have a weight; and all that such words can begin with
+        self.whole = {f[1:] for f in self.lexicon if f[0] == "="}
+        self.starts = {f[1 : 1 + BEGINNINGS[0]] for f in self.lexicon if f[0] == "^"}
+        self.whole_bytes, self.start_bytes = ({t.encode() for t in texts} for texts in (self.whole, self.starts))
+        self.openings = {f[1:n] for f in self.lexicon for n in range(2, len(f) + 1)}
 
     def __getstate__(self):
         return {"characters": self.characters, "lexicon": self.lexicon, "weights": self.weights}
@@ -237,9 +249,9 @@ class Scorer:
         for i, text in enumerate(words):
             for more in words[i + 1 :]:
                 text += more
-                if any(f in self.lexicon for f in word_features(text)):
+                if self.tells(text):
                     return True
-                if len(text) >= self.longest:
+                if len(text) >= self.longest or (text not in self.openings and text[: BEGINNINGS[0]] not in self.starts):
                     break
         return False
 
@@ -248,16 +260,27 @@ class Scorer:
         if not self.may_tell(run.split(" ")):
             return []
         words = set(decode(_LONGER.sub(r"\1\1\1", run), self.characters).split(" ")) - set(run.split(" "))
-        return [max((self.lexicon.get(f, 0.0) for f in word_features(w)), default=0.0) for w in words if w]
+        return [self.strongest(w) for w in words if w]
+
+    def tells(self, word: str) -> bool:
+        """Whether the word has a weight."""
+        return word in self.whole or (word[: BEGINNINGS[0]] in self.starts and any(f in self.lexicon for f in word_features(word)))
+
+    def strongest(self, word: str) -> float:
+        """The weight of a word's strongest feature."""
+        return max(self.lexicon.get(f, 0.0) for f in word_features(word)) if self.tells(word) else 0.0
 
     def weight(self, word: bytes) -> float:
-        """The strongest feature of the restored word."""
-        return max((self.lexicon.get(f, 0.0) for f in word_features(restored(word, self.characters))), default=0.0)
+        """The strongest feature of the restored word; most words of a-z, which stay as they are, are told by their first bytes to have none."""
+        plain = word.strip(_EDGE_BYTES)
+        if plain.isalpha() and plain not in self.whole_bytes and plain[: BEGINNINGS[0]] not in self.start_bytes and not _THRICE_BYTES.search(plain):
+            return 0.0
+        return self.strongest(restored(word, self.characters))
 
     def evidence(self, text: bytes | None, known: Cache) -> np.ndarray:
         written = split_words(text)
         words = set(written)
-        found = [known[w] for w in words]
+        found = list(map(known.__getitem__, words))
         for run in short_runs(written, self.short):
             found += self.runs[run] if len(run) < 200 else self.joined(run)
         telling = sorted((w for w in found if w > 0), reverse=True)

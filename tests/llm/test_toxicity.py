@@ -93,3 +93,26 @@ def test_runs_passed_over_have_no_weight(spark):
         assert sum(scorer.joined(run)) == sum(whole)
         told += sum(whole) > 0
     assert told
+
+
+def test_plain_words_without_weight_are_not_read(spark, monkeypatch):
+    """The first bytes of a word of a-z tell that it has no weight; every other word gets what its restored form has."""
+    scorer = toxicity.Scorer(english(spark), {"=idiot": 3.0, "^moro": 2.0, "^trashy": 1.0, "=a": 0.5}, toxicity.np.ones(5))
+    restored, read = toxicity.restored, []
+    monkeypatch.setattr(toxicity, "restored", lambda word, model: read.append(word) or restored(word, model))
+    plain = [b"house", b"'house,", b"letters.", b"id", b"good"]
+    assert [scorer.weight(w) for w in plain] == [0.0] * len(plain) and not read
+    told = 0
+    words = [b"idiot", b"idiots", b"moron!!", b"morose", b"trashes", b"trashyest", b"a", b"iddiot", b"idiiiot", b"1d10t", b"i.d.i.o.t", b"moroon", b"mooooron",
+             b"\xc3\xa9idiot", b"\xff", b"...", b"", b"tr@shy", b"(moron)", b"'a'", b"12345", b"moro_n"]
+    for word in plain + words:
+        want = max(scorer.lexicon.get(f, 0.0) for f in toxicity.word_features(restored(word, scorer.characters)))
+        assert scorer.weight(word) == want
+        told += want > 0
+    assert told > 8
+
+
+def test_short_words_as_trimmed(spark):
+    for word in (b"id", b"iot", b"(id)", b"idio", b"idiot.", b"1d1", b"!!!", b"\xc3\xa9t\xc3\xa9", b"...", b"a_b", b"a" * 17, b"'a" + b"'" * 20, b"|d"):
+        text = toxicity.trimmed(word.decode()) or word.decode().strip("".join(set(toxicity._EDGES) - set(toxicity.LOOK_ALIKES)))
+        assert toxicity.short_word(word) == (text if len(word) <= 16 and len(text) <= toxicity.SHORT else None)
