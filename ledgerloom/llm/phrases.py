@@ -11,7 +11,8 @@ those into words between spaces and tabs.
    of frequent pairs: only ``(fingerprint, count)`` of a batch's different
    n-grams is shuffled.  The last scan counts these and all longer n-grams
    whose triples are all frequent, with check values and a pointer to an
-   occurrence.  What is frequent reaches the tasks as a ``Sieve``, a bit map of
+   occurrence; a task adds up the rows of one n-gram before they leave it.
+   What is frequent reaches the tasks as a ``Sieve``, a bit map of
    at most 32 MB; a false positive costs a row, never a result.
 3. *Text*: only fingerprints that are frequent are looked up, through their
    pointers; both hashes of the text found there must agree.  Fingerprints
@@ -52,6 +53,8 @@ SHIFTS = (0, 18, 36)
 _CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BATCH = 6_000_000
+#: So many rows of the last scan a task holds to add up those of one n-gram.
+HELD = 1 << 20
 
 
 class Sieve:
@@ -228,7 +231,7 @@ def phrase_counts(docs: DataFrame, sieves: list, longest: int, width: int) -> Da
     The n-gram of no words stands for the language: its count is that of all words.
     """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, grams in grams_of(batches, width):
             yield _checked(grams, np.zeros(1, dtype=np.int64), 0, np.array([len(grams)]))
             places = np.empty(0, dtype=np.int64)
@@ -238,9 +241,57 @@ def phrase_counts(docs: DataFrame, sieves: list, longest: int, width: int) -> Da
                     places = places[sieves[n - 1].value.holds(grams.values(places, n))]
                 yield _checked(grams, places, n)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added_up(checked(batches))
+
     return docs.mapInArrow(scan, COUNTED)
 
 
+def added_up(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """One row for each key among as many rows as may be held, as the aggregate after it would make."""
+    kept: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if rows + batch.num_rows > held and rows:
+            kept = [_merged(kept)]
+            rows = kept[0].num_rows
+            if 2 * rows > held or rows + batch.num_rows > held:
+                yield from _slices(kept.pop())
+                rows = 0
+        kept.append(batch)
+        rows += batch.num_rows
+    if kept:
+        yield from _slices(_merged(kept))
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for begin in range(0, batch.num_rows, rows):
+        yield batch.slice(begin, rows)
+
+
+def _merged(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Sums of counts, least and greatest check value, a pointer to a document with an id if there is one."""
+    if len(batches) == 1:
+        return batches[0]
+    table = pa.Table.from_batches(batches).combine_chunks()
+    if not table.num_rows:
+        return batches[0]
+    keys, known = table["key"].to_numpy(), table["doc_id"].is_valid().to_numpy()
+    order = np.lexsort((~known, keys))
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    pick = pa.array(order[first])
+
+    def reduced(column: str, how: np.ufunc) -> pa.Array:
+        return pa.array(how.reduceat(table[column].to_numpy()[order], first))
+
+    columns = [
+        pa.array(keys[first]), reduced("n", np.minimum), reduced("count", np.add), reduced("low", np.minimum), reduced("high", np.maximum),
+        *(table[c].combine_chunks().take(pick) for c in ("doc_id", "start")),
+    ]
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], table.column_names)
+
+
 def _checked(grams: Grams, places: np.ndarray, n: int, counts: np.ndarray | None = None) -> pa.RecordBatch:
     keys, check = grams.values(places, n), grams.values(places, n, True).view(np.int64)
     order = np.argsort(keys, kind="stable")

@@ -119,3 +119,36 @@ def test_oracle(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     want = sorted(con.execute(ORACLES["op13_collocations"]).fetchall())
     assert got(QUERIES["op13_collocations"](spark, folder)) == want and want
+
+
+def test_rows_of_a_task_are_added_up():
+    """One row for each n-gram however many batches it comes in, within the rows that may be held; nothing is lost."""
+    import pyarrow as pa
+
+    texts = [b"a b c", b"a b d. a b", b"e a b c"] * 4
+    batches = [phrases._checked(g, np.arange(len(g)), 1) for g in (phrases.Grams(b"en", [(i if i % 3 else None, t)]) for i, t in enumerate(texts))]
+    want = Counter()
+    for b in batches:
+        for r in b.to_pylist():
+            want[r["key"]] += r["count"]
+    for held in (1 << 20, 30, 8, 1):
+        rows = pa.Table.from_batches(list(phrases.added_up(iter(batches), held))).to_pylist()
+        sums = Counter()
+        for r in rows:
+            sums[r["key"]] += r["count"]
+        assert sums == want
+        if held == 1 << 20:
+            assert len(rows) == len(want) and all(r["doc_id"] is not None and r["low"] == r["high"] for r in rows)
+    assert list(phrases.added_up(iter([]))) == []
+    apart = pa.RecordBatch.from_pylist([{"key": 1, "n": 2, "count": 3, "low": 5, "high": 5, "doc_id": None, "start": 9}], batches[0].schema)
+    other = pa.RecordBatch.from_pylist([{"key": 1, "n": 1, "count": 4, "low": 4, "high": 6, "doc_id": 7, "start": 8}], batches[0].schema)
+    (row,) = phrases._merged([apart, other]).to_pylist()
+    assert row == {"key": 1, "n": 1, "count": 7, "low": 4, "high": 6, "doc_id": 7, "start": 8}
+
+
+def test_tasks_send_one_row_for_each_phrase(spark):
+    rows = [(i, "red green blue " * 700, "en") for i in range(1500)]
+    docs = phrases.slim(frame(spark, rows).coalesce(1))
+    assert sum(len(t) for _, t, _ in rows) > 2 * phrases._BATCH
+    counted = phrases.phrase_counts(docs, [], 2, 64).collect()
+    assert len(counted) == 7 and {r["count"] for r in counted if r["n"] == 0} == {1500 * 2100}
