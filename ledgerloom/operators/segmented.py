@@ -5,8 +5,9 @@ task.  One document (or the catch-all id of documents without one) may hold a
 third of all rows, so here every key is cut into *segments* by its position
 column: a window runs inside a segment (at most ``width`` rows when positions
 are unique within the key), a small summary per segment is carried along the
-key, and the two are joined again.  The summary of a key has one row per
-segment, so it is ``width`` times smaller than the data.
+key, and comes back to the segment: as its first row, or by a join.  The
+summary of a key has one row per segment, so it is ``width`` times smaller than
+the data.
 
 Positions are non-negative integers that rise within a key: a row index, a
 node ordinal, an event number.
@@ -47,10 +48,9 @@ def carry_last(
     """
     order = order or [F.col(position)]
     end = 0 if inclusive else -1
-    cut = with_segment(df, position, width)
-    inside, along = _carry_windows(keys, order)
+    cut = with_segment(df, position, width).repartition(*keys, _SEG)  # one shuffle for the summary and the rows
+    inside, along = _carry_windows(keys, [F.col("_in_segment"), *order])
     before = inside.rowsBetween(Window.unboundedPreceding, end)
-    local = cut.withColumns({f"_in_{o}": F.last(v, ignorenulls=True).over(before) for v, o in values.items()})
     rank = F.struct(*order)
     summary = cut.groupBy(*keys, _SEG).agg(
         *[F.max_by(v, F.when(F.col(v).isNotNull(), rank)).alias(f"_end_{o}") for v, o in values.items()]
@@ -60,10 +60,13 @@ def carry_last(
         _SEG,
         *[F.last(f"_end_{o}", ignorenulls=True).over(along).alias(f"_from_{o}") for o in values.values()],
     )
-    carried = carried.where(" OR ".join(f"`_from_{o}` IS NOT NULL" for o in values.values()))
-    joined = local.join(carried, [*keys, _SEG], "left")
-    out = joined.withColumns({o: F.coalesce(f"_in_{o}", f"_from_{o}") for o in values.values()})
-    return out.drop(_SEG, *[f"_in_{o}" for o in values.values()], *[f"_from_{o}" for o in values.values()])
+    carried = carried.where(" OR ".join(f"`_from_{o}` IS NOT NULL" for o in values.values())).withColumn("_in_segment", F.lit(False))
+    # what enters a segment stands before its rows: one sort, no join
+    entered = cut.withColumn("_in_segment", F.lit(True)).unionByName(carried, allowMissingColumns=True)
+    out = entered.withColumns(
+        {o: F.last(F.coalesce(v, f"_from_{o}"), ignorenulls=True).over(before) for v, o in values.items()}
+    ).where("_in_segment")
+    return out.drop(_SEG, "_in_segment", *[f"_from_{o}" for o in values.values()])
 
 
 def running_total(

@@ -375,3 +375,22 @@ def test_named_checks_alone(spark, capsys):
     assert "Aggregate" not in capsys.readouterr().out
     with pytest.raises(ValueError):
         critic.document_violations(rows, checks=("all",))
+
+
+@pytest.mark.parametrize("inclusive", (False, True))
+def test_carried_values_come_back_without_a_join(spark, inclusive):
+    """The last value before each row, whatever the width; the input is shuffled once for rows and summary."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b"]), i, rng.choice([None, None, None, f"v{i}"]), rng.choice([None, i])) for i in rng.sample(range(400), 120)]
+    df = spark.createDataFrame([*rows, ("c", 3, None, None), ("c", 300, None, 1)], "k string, i long, v string, _row long")
+    want = {}
+    for k, i, _, _ in rows:
+        before = [r for r in rows if r[0] == k and (r[1] < i or (inclusive and r[1] == i))]
+        want[k, i] = tuple(max(((r[1], r[c]) for r in before if r[c] is not None), default=(0, None))[1] for c in (2, 3))
+    want |= {("c", 3): (None, None), ("c", 300): (None, 1 if inclusive else None)}
+    for width in (1, 16, 1000):
+        out = segmented.carry_last(df, ["k"], "i", {"v": "p", "_row": "q"}, inclusive=inclusive, width=width)
+        assert out.columns == ["k", "i", "v", "_row", "p", "q"]
+        got = out.collect()
+        assert len(got) == len(want) and {(r.k, r.i): (r.p, r.q) for r in got} == want
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
