@@ -11,7 +11,8 @@ those into words between spaces and tabs.
    of frequent pairs: only ``(fingerprint, count)`` of a batch's different
    n-grams is shuffled.  The last scan counts these and all longer n-grams
    whose triples are all frequent, with check values and a pointer to an
-   occurrence; a task adds up the rows of one n-gram before they leave it.
+   occurrence; a task adds up the rows of one n-gram before they leave it,
+   and there are no more tasks than cores.
    What is frequent reaches the tasks as a ``Sieve``, a bit map of
    at most 32 MB; a false positive costs a row, never a result.
 3. *Text*: only fingerprints that are frequent are looked up, through their
@@ -229,6 +230,8 @@ def phrase_counts(docs: DataFrame, sieves: list, longest: int, width: int) -> Da
     """Counts with check values and pointers: n-grams that pass the sieves, and longer ones all of whose parts do.
 
     The n-gram of no words stands for the language: its count is that of all words.
+    Nearly every task meets nearly every frequent n-gram, so there is one task for each
+    core, however many splits the documents have.
     """
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,20 +247,24 @@ def phrase_counts(docs: DataFrame, sieves: list, longest: int, width: int) -> Da
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return added_up(checked(batches))
 
-    return docs.mapInArrow(scan, COUNTED)
+    return docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(scan, COUNTED)
 
 
 def added_up(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
-    """One row for each key among as many rows as may be held, as the aggregate after it would make."""
+    """One row for each key among as many rows as may be held, as the aggregate after it would make.
+
+    Rows are merged as soon as there are twice as many as the last merge left.
+    """
     kept: list[pa.RecordBatch] = []
-    rows = 0
+    rows, most = 0, held >> 2
     for batch in batches:
-        if rows + batch.num_rows > held and rows:
+        if rows + batch.num_rows > most and rows:
             kept = [_merged(kept)]
             rows = kept[0].num_rows
             if 2 * rows > held or rows + batch.num_rows > held:
                 yield from _slices(kept.pop())
                 rows = 0
+            most = max(held >> 2, 2 * rows)
         kept.append(batch)
         rows += batch.num_rows
     if kept:

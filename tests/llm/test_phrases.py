@@ -152,3 +152,23 @@ def test_tasks_send_one_row_for_each_phrase(spark):
     assert sum(len(t) for _, t, _ in rows) > 2 * phrases._BATCH
     counted = phrases.phrase_counts(docs, [], 2, 64).collect()
     assert len(counted) == 7 and {r["count"] for r in counted if r["n"] == 0} == {1500 * 2100}
+
+
+def test_rows_do_not_rise_with_splits(spark):
+    """Many splits that all hold the same n-grams: one row for each n-gram and core, not for each split."""
+    rows = [(i, "red green blue " * 5, "en") for i in range(400)]
+    cores = spark.sparkContext.defaultParallelism
+    docs = phrases.slim(frame(spark, rows).repartition(8 * cores))
+    assert docs.rdd.getNumPartitions() == 8 * cores
+    counted = phrases.phrase_counts(docs, [], 2, 64).collect()
+    assert len(counted) <= 7 * cores and sum(r["count"] for r in counted if r["n"] == 0) == 400 * 15
+
+
+def test_rows_are_merged_early(monkeypatch):
+    """A task holds about twice its different n-grams, not all rows that it may hold."""
+    most, merged = [], phrases._merged
+    monkeypatch.setattr(phrases, "_merged", lambda kept: most.append(sum(b.num_rows for b in kept)) or merged(kept))
+    grams = phrases.Grams(b"en", [(1, b"a b c d")])
+    batch = phrases._checked(grams, np.arange(4), 1)
+    (out,) = phrases.added_up(iter([batch] * 100), 64)
+    assert out.num_rows == 4 and set(out.column("count").to_pylist()) == {100} and max(most) <= 20
