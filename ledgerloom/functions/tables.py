@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .hof import any_pattern, let, map_last_wins, strip  # noqa: F401
+from .hof import BLANKS, any_pattern, let, map_last_wins, strip  # noqa: F401
 
 TABLE_TYPE = "struct<headers:array<string>,rows:array<array<string>>>"
 _MARKER = r"<fcel>|<nl>|<ecel>|<lcel>|<ucel>"
@@ -124,15 +124,19 @@ def table_to_columnar(table: Column) -> Column:
 
 def parse_json_table(text: Column) -> Column:
     """``{headers, rows}`` or ``{header: [cells]}``; null for anything else."""
-    rows = F.from_json(text, "struct<headers:array<string>,rows:array<array<string>>>")
-    columns = F.from_json(text, "map<string,array<string>>")
-    as_rows = F.when(
-        rows["headers"].isNotNull() & rows["rows"].isNotNull(),
-        table_struct(blank_nulls(rows["headers"]), F.transform(rows["rows"], blank_nulls)),
+    as_rows = let(
+        F.from_json(text, "struct<headers:array<string>,rows:array<array<string>>>"),
+        lambda rows: F.when(
+            rows["headers"].isNotNull() & rows["rows"].isNotNull(),
+            table_struct(blank_nulls(rows["headers"]), F.transform(rows["rows"], blank_nulls)),
+        ),
     )
-    as_columns = F.when(
-        (F.size(columns) > 0) & F.forall(F.map_values(columns), lambda v: v.isNotNull()),
-        columnar_to_table(columns),
+    as_columns = let(
+        F.from_json(text, "map<string,array<string>>"),
+        lambda columns: F.when(
+            (F.size(columns) > 0) & F.forall(F.map_values(columns), lambda v: v.isNotNull()),
+            columnar_to_table(columns),
+        ),
     )
     return F.coalesce(as_rows, as_columns)
 
@@ -174,6 +178,32 @@ def table_notation(text: Column) -> Column:
     )
 
 
+def notation_and_table(text: Column) -> Column:
+    """``struct<notation, table>``: ``table_notation`` and ``normalize_table``, each text parsed once."""
+
+    def read(notation: Column, table: Column) -> Column:
+        return F.struct(notation.alias("notation"), table.alias("table"))
+
+    def other(t: Column) -> Column:
+        """Text that is no JSON table."""
+        in_json = F.when(looks_json(t), _otsl_in_json(t))
+        blob = table_struct(F.array(F.lit("content")), F.array(F.array(strip(t))))
+        otsl = F.when(is_otsl(t), read(F.lit("otsl"), F.coalesce(in_json, parse_otsl(t))))
+        pipes = let(
+            F.when(t.contains("|"), parse_markdown(t)),
+            lambda p: read(F.when(p.isNotNull(), "markdown").otherwise("blob"), F.coalesce(in_json, p, blob)),
+        )
+        return F.coalesce(otsl, pipes)
+
+    def filled(t: Column) -> Column:
+        return let(
+            F.when(looks_json(t), parse_json_table(t)),
+            lambda j: F.when(j.isNotNull(), read(F.lit("json"), j)).otherwise(other(t)),
+        )
+
+    return let(text, lambda t: F.when(t.rlike(f"[^{BLANKS}]"), filled(t)).otherwise(read(F.lit("empty"), empty_table())))
+
+
 def key_value_lines(text: Column) -> Column:
     """``key: value`` and ``key = value`` lines as a map; the last of a key wins."""
 

@@ -19,15 +19,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixed_values import WEAK_TEXT_LENGTH
-from ..functions.hof import strip
-from ..functions.tables import TABLE_TYPE, fit_rows, header_keys, header_key, normalize_table, table_notation, table_struct
-from ..session import cut_lineage
+from ..functions.hof import BLANK_CHARS, strip
+from ..functions.tables import TABLE_TYPE, fit_rows, header_keys, header_key, notation_and_table, table_struct
+from ..session import cut_lineage, written_once
 from .segmented import carry_last, running_total
 
 BLOCK = 4096
@@ -36,7 +38,7 @@ _SIG = "page int, sep bigint, usable boolean, headers array<string>"
 
 def is_weak(kind: Column, content: Column) -> Column:
     """Short text that may stand between two halves of a table."""
-    length = F.length(strip(F.coalesce(content, F.lit(""))))
+    length = F.length(F.btrim(F.coalesce(content, F.lit("")), F.lit(BLANK_CHARS)))
     return kind.isin("TEXT", "SECTION_HEADER", "TITLE") & (length > 0) & (length < WEAK_TEXT_LENGTH)
 
 
@@ -47,13 +49,13 @@ def parsed_tables(nodes: DataFrame, keys: list[str], position: str = "ord", skip
     if skip_weak:
         separator = separator & ~is_weak(kind, F.col("content"))
     counted = running_total(nodes, keys, position, F.when(separator, 1).otherwise(0), "sep", inclusive=False)
-    content = F.col("content")
-    return counted.where(kind == "TABLE").withColumn("table", normalize_table(content)).withColumns(
+    return counted.where(kind == "TABLE").withColumn("_read", notation_and_table(F.col("content"))).withColumns(
         {
-            "usable": table_notation(content).isin("json", "otsl", "markdown") & (F.size("table.headers") > 0),
-            "header_keys": header_keys(F.col("table.headers")),
+            "table": F.col("_read.table"),
+            "usable": F.col("_read.notation").isin("json", "otsl", "markdown") & (F.size("_read.table.headers") > 0),
+            "header_keys": header_keys(F.col("_read.table.headers")),
         }
-    )
+    ).drop("_read")
 
 
 # Signature of a table: (page, separators before, usable, header keys).
@@ -273,21 +275,25 @@ def table_heads(tables: DataFrame, keys: list[str], position: str = "ord", mode:
         entering = entering_heads(maps, keys, levels, mode).select(*keys, F.col("node").alias("block"), head.alias("entering"))
         entered = blocks.join(entering, [*keys, "block"], "left")
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: dict[str, list] = {f: [] for f in out_type.fieldNames()}
-            for rec in batch.to_dict("records"):
-                positions = [int(r["at"]) for r in rec["rows"]]
-                given = rec["entering"]
+            lists = batch.column("rows")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            tables = lists.flatten()
+            at, page, sep, usable, headers = (tables.field(f) for f in ("at", "page", "sep", "usable", "headers"))
+            positions = at.to_pylist()
+            signatures = list(zip(page.to_pylist(), sep.to_pylist(), usable.to_pylist(), map(tuple, headers.to_pylist())))
+            heads: list[int] = []
+            begin = 0
+            for size, given in zip(sizes.tolist(), batch.column("entering").to_pylist()):
                 head = (int(given["at"]), _signatures([given])[0]) if given is not None else None
-                heads = _fold(positions, _signatures(rec["rows"]), head, MODES[mode])
-                for k in keys:
-                    columns[k] += [rec[k]] * len(positions)
-                columns[position] += positions
-                columns["head"] += heads
-            yield pd.DataFrame(columns)
+                heads += _fold(positions[begin : begin + size], signatures[begin : begin + size], head, MODES[mode])
+                begin += size
+            of = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            columns = [*(batch.column(k).take(of) for k in keys), at, pa.array(heads, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, out_type.fieldNames())
 
-    return entered.mapInPandas(assign, out_type)
+    return entered.mapInArrow(assign, out_type)
 
 
 def aligned_rows(table: Column, head: Column, mode: str) -> Column:
@@ -308,10 +314,15 @@ def aligned_rows(table: Column, head: Column, mode: str) -> Column:
 
 def stitched_rows(nodes: DataFrame, keys: list[str], position: str = "ord", mode: str = "assembly", width: int = BLOCK) -> DataFrame:
     """Rows of all runs: keys, head, part (position of the table), row, headers, values."""
-    tables = parsed_tables(nodes, keys, position, skip_weak=mode == "assembly")
+    # parsed once: heads, parts and headers of heads each read their columns
+    tables = written_once(parsed_tables(nodes, keys, position, skip_weak=mode == "assembly").select(
+        *keys, position, "page", "sep", "usable", "header_keys", "table"
+    ), "tables")
     heads = table_heads(tables, keys, position, mode, width)
     parts = tables.select(*keys, position, "table").join(heads, [*keys, position])
-    of_head = tables.select(*keys, F.col(position).cast("long").alias("head"), F.col("table").alias("head_table"))
+    of_head = tables.select(
+        *keys, F.col(position).cast("long").alias("head"), F.struct(F.col("table.headers").alias("headers")).alias("head_table")
+    )
     joined = parts.join(of_head, [*keys, "head"])
     rows = F.when(F.col(position) == F.col("head"), F.col("table.rows")).otherwise(
         aligned_rows(F.col("table"), F.col("head_table"), mode)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """A Parquet table in the scratch folder, read again: for rows that several joins read, each only some columns.
+
+    The owner of ``spark.checkpoint.dir`` clears the folder.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

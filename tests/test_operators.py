@@ -394,3 +394,23 @@ def test_carried_values_come_back_without_a_join(spark, inclusive):
         got = out.collect()
         assert len(got) == len(want) and {(r.k, r.i): (r.p, r.q) for r in got} == want
         assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stitched_rows_parse_each_table_once(spark):
+    """What the joins read is parsed already, and heads bring their headers only."""
+    nodes = [("d", i, i // 2, "TABLE", '{"Item":["%d"],"Amount":["1"]}' % i) for i in range(6)] + [("e", 0, None, "TABLE", "| A | B |\n|---|---|\n| 1 | 2 |")]
+    df = spark.createDataFrame(nodes, "document_id string, ord long, page int, type string, content string")
+    rows = stitching.stitched_rows(df, ["document_id"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan and "head_table" in plan
+    got = sorted((r["document_id"], r["head"], r["part"], r["headers"], r["values"]) for r in rows.collect())
+    heads = stitch_reference([(d, o, kind, content, page) for d, o, page, kind, content in nodes[:6]])
+    assert [g[:3] for g in got[:6]] == [("d", heads["d", i], i) for i in range(6)]
+    assert got[6] == ("e", 0, 0, ["A", "B"], ["1", "2"])
+    assert stitching.stitched_rows(df.limit(0), ["document_id"]).collect() == []
+
+
+def test_weak_text_with_any_blanks(spark):
+    texts = [None, "", "  \n", "a", "　" * 200 + "note" + "\t" * 200, "x" * 200, " \x1c "]
+    df = spark.createDataFrame([("TEXT", t) for t in texts], "k string, c string")
+    assert [r[0] for r in df.select(stitching.is_weak(F.col("k"), F.col("c"))).collect()] == [False, False, False, True, True, False, False]
