@@ -60,6 +60,53 @@ def test_many_different_vectors_at_one_distance(spark):
     assert found(vectors.nearest(table, queries, 5, shard_rows=700)) == want
 
 
+def misjudged(node, inside=False):
+    """What is broadcast by an estimate that is too low: rows copied after the last shuffle, and vectors, by their compressed file."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return misjudged(node.executedPlan(), inside)
+    if kind.endswith("QueryStageExec"):
+        return misjudged(node.plan(), inside)
+    sent = kind == "BroadcastExchangeExec"
+    inside = sent or inside and kind != "ShuffleExchangeExec"
+    bad = inside and kind == "GenerateExec" or sent and "array<double>" in node.schema().simpleString()
+    below = [x for i in range(node.children().size()) for x in misjudged(node.children().apply(i), inside)]
+    return [f"{kind} {node.schema().simpleString()}"] * bad + below
+
+
+def test_copies_and_vectors_never_reach_the_driver(spark):
+    """Few queries meet many shards: however small the queries are, their copies (20 MB here) are not broadcast."""
+    rng = np.random.default_rng(3)
+    rows = list(enumerate(rng.normal(size=(1200, 64)).tolist()))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    frame = vectors.nearest(table, table.where("vec_id % 6 = 0"), 2, shard_rows=6)
+    assert found(frame) == brute(rows, rows[::6], 2)
+    assert misjudged(frame._jdf.queryExecution().executedPlan()) == []
+
+
+def test_groups_of_shards_and_parts_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, v) for i, v in enumerate([*rng.choice([-1.0, 1.0], size=(300, 6)).tolist(), *rng.normal(size=(200, 5)).tolist()])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    single = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    want = brute(single, single[::3], 4)
+    for groups, held in ((1, 1 << 20), (2, 1 << 20), (1, 500), (3, 200)):
+        monkeypatch.setattr(vectors, "GROUPS", groups)
+        monkeypatch.setattr(vectors, "HELD_BYTES", held)
+        assert found(vectors.nearest(table, table.where("vec_id % 3 = 0"), 4, shard_rows=20, query_block=7)) == want
+
+
+def test_recall_of_relaxed_pruning_over_shards(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(20, 16))
+    points = centres[rng.integers(0, 20, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    rows = list(enumerate(points.tolist()))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {x[::2] for x in brute(rows, rows[::50], 5)}
+    got = {x[::2] for x in found(vectors.nearest(table, table.where("vec_id % 50 = 0"), 5, factor=1.3, shard_rows=500))}
+    assert len(want & got) / len(want) >= 0.9
+
+
 def test_awkward(spark):
     same = [1.0, 2.0, 3.0]
     rows = [(i, same) for i in range(0, 60)] + [(60, [1.0, 2.0, 3.5]), (60, [1.0, 2.0, 3.5]), (61, None), (62, []), (63, [0.0, 0.0, 0.0]),
