@@ -39,7 +39,7 @@ from .common import written
 SHARD_ROWS = 8192
 QUERY_BLOCK = 1024
 GROUPS = 64  # of shards, each with a copy of all queries; more only where the index is copied as often
-HELD_BYTES = 128 << 20  # of the query vectors in a part
+HELD_BYTES = 64 << 20  # of the query vectors in a part
 LEAF = 64
 FACTOR = 1.0
 POOL = 1_000_000  # pairs held before the best are chosen
